@@ -22,17 +22,22 @@ def _unnamed(table: Table) -> list[str]:
     return [c for c in table.texts if c not in named]
 
 
-def _matches(c: Column, pattern: str) -> Column:
-    found = c.rlike(pattern)
-    return c.contains("@") & found if "@" in pattern else found
+SHORTEST_DIGIT_MATCH = 7      # no pattern but the e-mail one matches a shorter text
 
 
-def _winner(c: Column) -> tuple[Column, Column]:
-    """(type, matches) of the first pattern that more than a twentieth of the values match."""
+def _winner(table: Table, name: str) -> tuple[Column, Column]:
+    """(type, matches) of the first pattern that more than a twentieth of the values match.
+
+    Every pattern but the e-mail one needs a digit, so text without digits is tested once.
+    """
+    c = table.col(name)
+    digits = table.flag("digits", name, lambda: (F.length(c) >= SHORTEST_DIGIT_MATCH)
+                        & c.rlike("[0-9]"))
     values = F.count(c)
     kind, hits = F.lit(None).cast("string"), F.lit(0).cast("bigint")
     for name, pattern in reversed(fv.PII_PATTERNS):
-        n = F.count_if(_matches(c, pattern))
+        possible = c.contains("@") if "@" in pattern else digits
+        n = F.count_if(possible & c.rlike(pattern))
         kind = F.when(n > values * MIN_SHARE, name).otherwise(kind)
         hits = F.when(n > values * MIN_SHARE, n).otherwise(hits)
     return kind, hits
@@ -42,7 +47,7 @@ def pii_columns(table: Table) -> DataFrame:
     """(column_name, pii_type, detected_by, affected_rows, total_rows); one scan, all values."""
     aggregates, cells = [F.count(F.lit(1)).alias("total")], []
     found = [(c, "name", F.lit(kind), F.count(table.col(c))) for c, kind in _named(table)]
-    found += [(c, "pattern", *_winner(table.col(c))) for c in _unnamed(table)]
+    found += [(c, "pattern", *_winner(table, c)) for c in _unnamed(table)]
     schema = ("column_name string, pii_type string, detected_by string, affected_rows bigint, "
               "total_rows bigint")
     if not found:
@@ -56,7 +61,7 @@ def pii_columns(table: Table) -> DataFrame:
             (F.col(f"k{i}") if how == "pattern" else kind).alias("pii_type"),
             F.lit(how).alias("detected_by"), F.col(f"n{i}").alias("affected_rows"),
             F.col("total").alias("total_rows")))
-    return (table.df.agg(*aggregates).select(F.inline(F.array(*cells)))
+    return (table.frame().agg(*aggregates).select(F.inline(F.array(*cells)))
             .where(F.col("pii_type").isNotNull() & (F.col("affected_rows") > 0)))
 
 
@@ -66,7 +71,7 @@ def pii_rules(table: Table) -> list[Rule]:
                   severity="HIGH", risk="HIGH", fix="mask_pii", text=f"named like {kind}")
              for c, kind in _named(table)]
     for c in _unnamed(table):
-        kind, hits = _winner(table.col(c))
+        kind, hits = _winner(table, c)
         rules.append(Rule("pii_security", c, "pii_detected_by_pattern", affected=hits,
                           severity="HIGH", risk="HIGH", fix="mask_pii", text="values look like",
                           note=kind))

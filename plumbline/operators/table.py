@@ -85,6 +85,10 @@ class Table:
     def stripped(self, name: str) -> Column:
         return self._derive("strip", name, lambda: text.strip(self.text(name)))
 
+    def flag(self, tag: str, name: str, make: Callable[[], Column]) -> Column:
+        """A named test of a column that several rules share."""
+        return self._derive(tag, name, make)
+
     def frame(self) -> DataFrame:
         """The table plus every derived column asked for so far."""
         if not self._derived:
