@@ -8,6 +8,7 @@ view. A rule is broken where its condition holds and its check is false; an unkn
 from __future__ import annotations
 
 import datetime as dt
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -105,34 +106,24 @@ def unique_issues(table: Table, fields: dict[str, FieldSpec], total: int,
                   fix="deduplicate_ids", text="declared unique broken", first=first)
 
 
-def check_rules(typed: Table, checks: list[CheckSpec]) -> list[Rule]:
-    """Rules for the checks whose columns exist; the others do not apply to this table."""
-    rules = []
-    for spec in checks:
-        broken = F.expr(f"({spec.condition}) AND NOT ({spec.check})")
-        if applies(typed.df, broken):
-            rules.append(Rule("business_rules", spec.name, "declared_rule_violation", broken,
-                              severity=spec.severity, fix=spec.fix, text=f"[{spec.name}]"))
-    return rules
+def mentioned(spec: CheckSpec) -> set[str]:
+    """The words of a check outside its quoted texts."""
+    return set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", f"{spec.condition} {spec.check}")))
 
 
-def applies(df: DataFrame, predicate: Column) -> bool:
-    """True when the predicate can be resolved on ``df``; a bad expression still raises."""
-    from pyspark.errors import AnalysisException
-    try:
-        df.select(predicate).schema
-    except AnalysisException as error:
-        if str(error.getCondition()).startswith("UNRESOLVED_COLUMN"):
-            return False
-        raise
-    return True
+def check_rules(typed: Table, checks: list[CheckSpec], known: set[str] = frozenset()) -> list[Rule]:
+    """Rules for the checks; a check on a ``known`` column that this table lacks does not apply."""
+    return [Rule("business_rules", spec.name, "declared_rule_violation",
+                 F.expr(f"({spec.condition}) AND NOT ({spec.check})"), severity=spec.severity,
+                 fix=spec.fix, text=f"[{spec.name}]")
+            for spec in checks if not (mentioned(spec) & known) - set(typed.df.columns)]
 
 
 def declared_issues(table: Table, fields: dict[str, FieldSpec], checks: list[CheckSpec],
                     as_of: dt.date) -> DataFrame:
     """Issues of a whole rule catalogue entry: one scan, plus one grouping for unique columns."""
     typed = typed_view(table, fields, as_of)
-    rules = field_rules(table, typed, fields) + check_rules(typed, checks)
+    rules = field_rules(table, typed, fields) + check_rules(typed, checks, set(fields))
     found = measure(typed, rules)
     unique = unique_issues(table, fields, table.df.count(), len(rules))
     return found if unique is None else found.unionByName(unique)
