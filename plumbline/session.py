@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,6 +28,16 @@ def build(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new path under the cluster's checkpoint folder, for tables that jobs hand to each other.
+
+    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets a folder of its own.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = base or spark.sparkContext.getCheckpointDir()
+    return f"{base or tempfile.mkdtemp(prefix='plumbline-')}/tables-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the cluster's checkpoint folder and read it from there.
 

@@ -715,8 +715,9 @@ def _pii_sql(v: str, named: dict, unnamed: list[str]) -> str:
     parts = [f"SELECT '{c}' AS column_name, '{k}' AS pii_type, 'name' AS detected_by, "
              f"CAST(count({c}) AS BIGINT) AS affected_rows, CAST(count(*) AS BIGINT) AS total_rows FROM {v}"
              for c, k in named.items()]
-    parts += [f"SELECT '{c}', {_winner_sql(c, True)}, 'pattern', CAST({_winner_sql(c, False)} AS BIGINT), "
-              f"CAST(count(*) AS BIGINT) FROM {v}" for c in unnamed]
+    parts += [f"SELECT '{c}' AS column_name, {_winner_sql(c, True)} AS pii_type, 'pattern' AS detected_by, "
+              f"CAST({_winner_sql(c, False)} AS BIGINT) AS affected_rows, "
+              f"CAST(count(*) AS BIGINT) AS total_rows FROM {v}" for c in unnamed]
     return ("SELECT * FROM (" + " UNION ALL ".join(parts)
             + ") WHERE pii_type IS NOT NULL AND affected_rows > 0")
 
