@@ -13,8 +13,13 @@ BREAKS_TITLE_CASE = r"(?<!\p{L})\p{Ll}|(?<=\p{L})[\p{Lu}\p{Lt}]"
 
 
 def strip(c: Column) -> Column:
-    """Drop all leading and trailing white space, Unicode spaces included."""
-    return F.btrim(c, F.lit(WHITESPACE))
+    """Drop all leading and trailing white space, Unicode spaces included.
+
+    Text that starts and ends with a visible ASCII character, nearly all of it, is left alone
+    without a search.
+    """
+    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
 def not_title_case(c: Column) -> Column:
@@ -71,10 +76,14 @@ def indel_ratio(left: Column | str, right: Column | str) -> Column:
         return len(a) - row.bit_count()
 
     def ratio(lefts: pd.Series, rights: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if a is None or b is None
-             else 100.0 if not a and not b
-             else 200.0 * common_subsequence(a, b) / (len(a) + len(b))
-             for a, b in zip(lefts, rights)], dtype="float64")
+        known: dict[tuple, float | None] = {}     # the same values meet again within a batch
+        for a, b in set(zip(lefts, rights)):
+            if a is None or b is None:
+                known[a, b] = None
+            elif not a and not b:
+                known[a, b] = 100.0
+            else:
+                known[a, b] = 200.0 * common_subsequence(a, b) / (len(a) + len(b))
+        return pd.Series([known[pair] for pair in zip(lefts, rights)], dtype="float64")
 
     return F.pandas_udf(ratio, T.DoubleType())(left, right)

@@ -12,7 +12,7 @@ from pyspark.sql import Column, functions as F
 
 from ..functions import fixed_values as fv, text
 from .rule import Rule
-from .table import Table
+from .table import PREFIX, Table
 
 
 def _days_before(as_of: dt.date, days: int) -> Column:
@@ -25,10 +25,10 @@ def _range_of(limits: tuple, as_of: dt.date) -> tuple[float, float]:
 
 
 def completeness(table: Table) -> list[Rule]:
-    rules = [Rule("completeness", c, "missing_values", table.col(c).isNull(),
+    rules = [Rule("completeness", c, "missing_values", f"{table.sql(c)} IS NULL",
                   fix="impute_or_flag", auto="low", text="missing values")
              for c in table.columns]
-    rules += [Rule("completeness", c, "empty_strings", table.stripped(c) == "", risk="LOW",
+    rules += [Rule("completeness", c, "empty_strings", f"{table.stripped_sql(c)} = ''", risk="LOW",
                    fix="replace_with_null", auto=True, text="empty or blank text", value=table.col(c))
               for c in table.texts]
     return rules
@@ -106,21 +106,22 @@ def consistency(table: Table) -> list[Rule]:
     return rules
 
 
-def _minority(counts: list[Column]) -> Column:
-    total = counts[0]
-    for c in counts[1:]:
-        total = total + c
-    return total - F.greatest(*counts)
+def _minority(counts: list[str]) -> str:
+    return f"{' + '.join(counts)} - greatest({', '.join(counts)})"
 
 
 def standardization(table: Table) -> list[Rule]:
     rules = []
     for c in fv.MIXED_DATE_COLUMNS:
         if table.has(c) and table.is_text(c):
-            counts = [F.count_if(table.col(c).rlike(shape)) for _, shape in fv.DATE_SHAPES]
-            summary = F.concat_ws(", ", *[
-                F.when(n > 0, F.concat(F.lit(f"{label} "), n.cast("string")))
-                for n, (label, _) in zip(counts, fv.DATE_SHAPES)])
+            # The shapes exclude each other, so the first match decides.
+            table.flag("shape", c, lambda c=c: F.expr("CASE " + " ".join(
+                f"WHEN `{c}` RLIKE r'{p}' THEN {i}" for i, (_, p) in enumerate(fv.DATE_SHAPES))
+                + " END"))
+            counts = [f"count_if(`{PREFIX}shape_{c}` = {i})" for i in range(len(fv.DATE_SHAPES))]
+            summary = "concat_ws(', ', " + ", ".join(
+                f"CASE WHEN {n} > 0 THEN concat('{label} ', {n}) END"
+                for n, (label, _) in zip(counts, fv.DATE_SHAPES)) + ")"
             rules.append(Rule("standardization", c, "mixed_date_formats", affected=_minority(counts),
                               risk="MEDIUM", fix="standardize_date_format", auto=True,
                               text="several date formats", note=summary))
@@ -143,7 +144,7 @@ def standardization(table: Table) -> list[Rule]:
                           (size < shortest) | (size > longest), risk="MEDIUM",
                           fix="standardize_phone_format",
                           text=f"not {shortest} to {longest} digits", value=table.col("phone")))
-    rules += [Rule("standardization", c, "whitespace_issue", table.col(c) != table.stripped(c),
+    rules += [Rule("standardization", c, "whitespace_issue", f"`{c}` != {table.stripped_sql(c)}",
                    severity="LOW", risk="LOW", fix="strip_whitespace", auto=True, over=0.01,
                    text="outer blanks", value=table.col(c))
               for c in table.texts]
@@ -204,17 +205,16 @@ def business(table: Table) -> list[Rule]:
 
 
 def reconciliation(table: Table) -> list[Rule]:
-    everything = F.count(F.lit(1))
     rules = []
     for c in table.columns:
         if text.contains_any(c, fv.RECONCILED_WORDS) and table.is_simple(c):
-            readable = F.count(table.number(c))
+            readable = f"count({table.number_sql(c)})"
             rules.append(Rule("reconciliation", c, "amount_reconciliation_gap",
-                              affected=everything - readable, when=readable < everything * 0.5,
+                              affected=f"count(1) - {readable}", when=f"{readable} < count(1) * 0.5",
                               severity="HIGH", risk="HIGH", fix="require_source_refresh",
                               text="amounts missing"))
-    rules.append(Rule("reconciliation", "DATASET", "insufficient_row_count", affected=everything,
-                      when=everything < 10, severity="HIGH", risk="HIGH",
+    rules.append(Rule("reconciliation", "DATASET", "insufficient_row_count", affected="count(1)",
+                      when="count(1) < 10", severity="HIGH", risk="HIGH",
                       fix="verify_full_data_load", text="too few rows"))
     for result, a, b, how in _derived(table):
         rules.append(Rule("reconciliation", result, "enrichment_accuracy",
@@ -254,20 +254,21 @@ def constraints(table: Table) -> list[Rule]:
     for c in table.columns:
         if text.contains_any(c, fv.NEGATIVE_WORDS) and table.is_simple(c):
             v = table.number(c)
-            rules.append(Rule("constraints", c, "constraint_violation_negative_value", v < 0,
-                              fix="absolute_value", auto=True, text="negative value", value=v))
+            rules.append(Rule("constraints", c, "constraint_violation_negative_value",
+                              f"{table.number_sql(c)} < 0", fix="absolute_value", auto=True,
+                              text="negative value", value=v))
     return rules
 
 
 def accessibility(table: Table) -> list[Rule]:
-    return [Rule("accessibility", c, "unreadable_chars", table.col(c).rlike(text.NON_ASCII),
+    return [Rule("accessibility", c, "unreadable_chars", f"`{c}` RLIKE r'{text.NON_ASCII}'",
                  fix="strip_non_ascii", auto=True, text="characters outside ASCII",
                  value=table.col(c))
             for c in table.texts]
 
 
 def enrichment(table: Table) -> list[Rule]:
-    return [Rule("enrichment", c, "suboptimal_enrichment", F.length(table.col(c)).between(1, 2),
+    return [Rule("enrichment", c, "suboptimal_enrichment", f"length(`{c}`) BETWEEN 1 AND 2",
                  severity="LOW", risk="LOW", fix="flag_for_enrichment", over=0.10,
                  text="one or two characters only", value=table.col(c))
             for c in table.texts
@@ -275,11 +276,11 @@ def enrichment(table: Table) -> list[Rule]:
             and c.lower() not in fv.SHORT_TEXT_SKIP_COLUMNS]
 
 
-def placeholder(table: Table, c: str) -> Column | None:
+def placeholder(table: Table, c: str) -> str | None:
     if table.is_text(c):
-        return F.upper(table.col(c)).isin(fv.PLACEHOLDER_TEXT)
+        return f"upper(`{c}`) IN ({', '.join(map(repr, fv.PLACEHOLDER_TEXT))})"
     if table.is_number(c):
-        return table.col(c).isin(fv.PLACEHOLDER_NUMBERS)
+        return f"{table.sql(c)} IN ({', '.join(map(str, fv.PLACEHOLDER_NUMBERS))})"
     return None
 
 
@@ -309,19 +310,21 @@ def timeliness(table: Table, as_of: dt.date, sla: int) -> list[Rule]:
     rules = []
     c = update_column(table)
     if c:
+        date = table.date_sql(c)
         old = table.date(c) < _days_before(as_of, 2 * 365)
         rules.append(Rule("timeliness", c, "stale_records_critical", old, risk="HIGH",
                           fix="flag_for_archival_or_refresh", text="not updated for two years",
                           value=table.col(c)))
         rules.append(Rule("timeliness", c, "stale_records", stale(table, as_of, sla),
-                          when=F.count_if(old) == 0, risk="MEDIUM", fix="flag_for_refresh",
+                          when=f"count_if({date} < DATE'{as_of - dt.timedelta(730)}') = 0",
+                          risk="MEDIUM", fix="flag_for_refresh",
                           text=f"older than 3 x {sla} days", value=table.col(c)))
     events = [c for c in fv.EVENT_DATE_COLUMNS if table.has(c)]
     for c in events:
         future = table.date(c) > F.lit(as_of)
         rules.append(Rule("timeliness", c, "future_dated_record", future, risk="HIGH",
                           fix="flag_or_nullify_future_dates", text="dated in the future, latest",
-                          note=F.max(F.when(future, table.date(c))).cast("string"),
+                          note=f"CAST(max({table.date_sql(c)}) AS STRING)",
                           value=table.col(c)))
     for c in events:
         rules.append(Rule("timeliness", c, "ancient_dates",
@@ -344,23 +347,22 @@ def missing_lineage(table: Table) -> list[str]:
 def lineage(table: Table) -> list[Rule]:
     if len(missing_lineage(table)) <= 2:
         return []
-    return [Rule("lineage", None, "missing_traceability_metadata", affected=F.count(F.lit(1)),
+    return [Rule("lineage", None, "missing_traceability_metadata", affected="count(1)",
                  severity="MEDIUM", risk="LOW", fix="add_default_lineage_metadata", auto=True,
                  text="lineage columns missing")]
 
 
 def audit(table: Table) -> list[Rule]:
-    everything = F.count(F.lit(1))
     rules = []
     stamps = [c for c in fv.AUDIT_COLUMNS if table.has(c)]
     if not stamps:
-        rules.append(Rule("auditability", "DATASET", "missing_audit_timestamp", affected=everything,
+        rules.append(Rule("auditability", "DATASET", "missing_audit_timestamp", affected="count(1)",
                           severity="MEDIUM", risk="MEDIUM", fix="add_audit_timestamp_column",
                           text="no audit column"))
     if not any(c.lower() in fv.KEY_COLUMNS or c.lower().endswith("_id") for c in table.columns):
-        rules.append(Rule("auditability", "DATASET", "missing_primary_key", affected=everything,
+        rules.append(Rule("auditability", "DATASET", "missing_primary_key", affected="count(1)",
                           severity="HIGH", risk="HIGH", fix="add_primary_key", text="no key column"))
-    rules += [Rule("auditability", c, "missing_audit_timestamp_value", table.col(c).isNull(),
+    rules += [Rule("auditability", c, "missing_audit_timestamp_value", f"{table.sql(c)} IS NULL",
                    risk="MEDIUM", fix="populate_audit_timestamps", text="audit value missing")
               for c in stamps]
     return rules
@@ -368,14 +370,14 @@ def audit(table: Table) -> list[Rule]:
 
 def profile_flags(table: Table) -> list[Rule]:
     """Constant and all-null columns; high cardinality needs a distinct count (``profile``)."""
-    everything = F.count(F.lit(1))
     rules = []
     for c in table.columns:
+        v = table.sql(c)
         if table.is_simple(c):
-            rules.append(Rule("profiling", c, "constant_column", affected=everything,
-                              when=F.min(table.col(c)) == F.max(table.col(c)), severity="MEDIUM",
-                              risk="LOW", fix="review_or_drop_column", text="a single value"))
-        rules.append(Rule("profiling", c, "all_null_column", affected=everything,
-                          when=F.count(table.col(c)) == 0, severity="HIGH", risk="MEDIUM",
+            rules.append(Rule("profiling", c, "constant_column", affected="count(1)",
+                              when=f"min({v}) = max({v})", severity="MEDIUM", risk="LOW",
+                              fix="review_or_drop_column", text="a single value"))
+        rules.append(Rule("profiling", c, "all_null_column", affected="count(1)",
+                          when=f"count({v}) = 0", severity="HIGH", risk="MEDIUM",
                           fix="drop_column", text="no value at all"))
     return rules

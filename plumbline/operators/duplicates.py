@@ -10,6 +10,9 @@ from .rule import graded
 from .table import Table
 
 
+LONG_PAIR = 500     # longer pairs skip the edit-distance test, whose cost grows with the square
+
+
 def repeated_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: total_rows, duplicate_rows (copies after the first), unique_rows, rate.
 
@@ -98,8 +101,8 @@ def similar_neighbours(table: Table, column: str, threshold: float = 90.0, windo
     Values are taken in row-key order and each is compared with the ``window`` values after it,
     over the whole table. Rows are numbered in parallel and cut into blocks; each block also gets
     the first rows of the next, so the comparison is a set of leads inside a block and every row
-    meets the same neighbours wherever the cuts fall. Pairs whose lengths rule out the threshold
-    are dropped before any comparison.
+    meets the same neighbours wherever the cuts fall. Pairs whose lengths or edit distance rule
+    out the threshold are dropped before the comparison in Python.
     """
     key = table.row_key[0]
     values = (table.df.where(F.col(column).isNotNull())
@@ -115,8 +118,11 @@ def similar_neighbours(table: Table, column: str, threshold: float = 90.0, windo
              .select("k", "v", F.explode("after").alias("o"))
              .select("k", "v", F.col("o.k").alias("k2"), F.col("o.v").alias("v2")))
     a, b = F.length("v"), F.length("v2")
+    # Insertions and deletions are at least as many as edits, so too many edits rule a pair out.
+    edits = f"CAST(floor({(100 - threshold) / 100} * (length(v) + length(v2)) + 1e-9) AS INT)"
+    near = F.expr(f"length(v) + length(v2) > {LONG_PAIR} OR levenshtein(v, v2, {edits}) >= 0")
     possible = pairs.where((F.col("v") != F.col("v2"))
-                           & (F.lit(200.0) * F.least(a, b) >= threshold * (a + b)))
+                           & (F.lit(200.0) * F.least(a, b) >= threshold * (a + b))).where(near)
     return (possible.withColumn("ratio", text.indel_ratio("v", "v2"))
             .where((F.col("ratio") >= threshold) & (F.col("ratio") < 100))
             .select(F.col("k").alias("left_key"), F.col("k2").alias("right_key"),

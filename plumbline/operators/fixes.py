@@ -364,7 +364,8 @@ def nullify_placeholders(df: DataFrame, context: Context) -> Fixed:
     for c in table.columns:
         where = checks.placeholder(table, c)
         if where is not None:
-            rewrite.change(c, F.lit(None), where, "nullify_dummy_values", "placeholder removed")
+            rewrite.change(c, F.lit(None), F.expr(where), "nullify_dummy_values",
+                           "placeholder removed")
     return rewrite.done()
 
 
@@ -442,7 +443,7 @@ def _flag(dimension: str, action: str, detail: str, rules) -> Callable:
         table = Table(df, context.row_key)
         mark = F.lit(False)
         for rule in rules(table, context):
-            mark = mark | F.coalesce(rule.predicate, F.lit(False))
+            mark = mark | F.coalesce(rule.test, F.lit(False))
         frame = table.frame().withColumn(name, mark)
         return Fixed(frame.select(*df.columns, name), _note(df, dimension, action, detail).log)
     return fix

@@ -46,7 +46,7 @@ def outside(value: Column, fence: dict) -> Column:
 
 def outlier_rules(table: Table, views: dict[str, Column], fence_of: dict) -> list[Rule]:
     return [Rule("accuracy", c, "statistical_outlier", outside(views[c], f),
-                 base=F.count(views[c]), over=0.005, risk="MEDIUM", fix="cap_winsorize_outliers",
+                 base=views[c], over=0.005, risk="MEDIUM", fix="cap_winsorize_outliers",
                  text=f"outside [{f['lower']:.2f}, {f['upper']:.2f}]", value=views[c])
             for c, f in fence_of.items()]
 

@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from ..functions import fixed_values as fv
 from .ordering import attach, with_row_number
 from .rule import Rule
-from .table import Table
+from .table import PREFIX, Table
 
 MIN_SHARE = 0.05
 
@@ -22,52 +22,49 @@ def _unnamed(table: Table) -> list[str]:
     return [c for c in table.texts if c not in named]
 
 
+ANY_DIGITS = "|".join(f"(?:{p})" for _, p in fv.PII_PATTERNS if "@" not in p)
 SHORTEST_DIGIT_MATCH = 7      # no pattern but the e-mail one matches a shorter text
 
 
-def _winner(table: Table, name: str) -> tuple[Column, Column]:
-    """(type, matches) of the first pattern that more than a twentieth of the values match.
+def _winner(table: Table, name: str) -> tuple[str, str]:
+    """SQL for (type, matches) of the first pattern that more than a twentieth of the values match.
 
-    Every pattern but the e-mail one needs a digit, so text without digits is tested once.
+    A value is tested once against all patterns together; only a hit is tested against each.
+    Every pattern but the e-mail one needs some digits, so short text is not searched at all.
     """
-    c = table.col(name)
-    digits = table.flag("digits", name, lambda: (F.length(c) >= SHORTEST_DIGIT_MATCH)
-                        & c.rlike("[0-9]"))
-    values = F.count(c)
-    kind, hits = F.lit(None).cast("string"), F.lit(0).cast("bigint")
-    for name, pattern in reversed(fv.PII_PATTERNS):
-        possible = c.contains("@") if "@" in pattern else digits
-        n = F.count_if(possible & c.rlike(pattern))
-        kind = F.when(n > values * MIN_SHARE, name).otherwise(kind)
-        hits = F.when(n > values * MIN_SHARE, n).otherwise(hits)
-    return kind, hits
+    table.flag("any_digits", name, lambda: F.expr(
+        f"length(`{name}`) >= {SHORTEST_DIGIT_MATCH} AND `{name}` RLIKE r'{ANY_DIGITS}'"))
+    kinds, hits = [], []
+    for kind, pattern in fv.PII_PATTERNS:
+        possible = f"contains(`{name}`, '@')" if "@" in pattern else f"`{PREFIX}any_digits_{name}`"
+        n = f"count_if({possible} AND `{name}` RLIKE r'{pattern}')"
+        enough = f"WHEN {n} > count(`{name}`) * {MIN_SHARE} THEN"
+        kinds.append(f"{enough} '{kind}'")
+        hits.append(f"{enough} {n}")
+    return f"CASE {' '.join(kinds)} END", f"CASE {' '.join(hits)} ELSE 0 END"
 
 
 def pii_columns(table: Table) -> DataFrame:
     """(column_name, pii_type, detected_by, affected_rows, total_rows); one scan, all values."""
-    aggregates, cells = [F.count(F.lit(1)).alias("total")], []
-    found = [(c, "name", F.lit(kind), F.count(table.col(c))) for c, kind in _named(table)]
+    aggregates, cells = ["count(1) AS total"], []
+    found = [(c, "name", f"'{kind}'", f"count({table.sql(c)})") for c, kind in _named(table)]
     found += [(c, "pattern", *_winner(table, c)) for c in _unnamed(table)]
     schema = ("column_name string, pii_type string, detected_by string, affected_rows bigint, "
               "total_rows bigint")
     if not found:
         return table.df.sparkSession.createDataFrame([], schema)
     for i, (c, how, kind, hits) in enumerate(found):
-        aggregates.append(hits.alias(f"n{i}"))
-        if how == "pattern":
-            aggregates.append(kind.alias(f"k{i}"))
-        cells.append(F.struct(
-            F.lit(c).alias("column_name"),
-            (F.col(f"k{i}") if how == "pattern" else kind).alias("pii_type"),
-            F.lit(how).alias("detected_by"), F.col(f"n{i}").alias("affected_rows"),
-            F.col("total").alias("total_rows")))
-    return (table.frame().agg(*aggregates).select(F.inline(F.array(*cells)))
-            .where(F.col("pii_type").isNotNull() & (F.col("affected_rows") > 0)))
+        aggregates += [f"{hits} AS n{i}", f"any_value({kind}) AS k{i}" if how == "name"
+                       else f"{kind} AS k{i}"]
+        cells.append(f"named_struct('column_name', '{c}', 'pii_type', k{i}, 'detected_by', '{how}', "
+                     f"'affected_rows', n{i}, 'total_rows', total)")
+    return (table.frame().selectExpr(*aggregates).selectExpr(f"inline(array({', '.join(cells)}))")
+            .where("pii_type IS NOT NULL AND affected_rows > 0"))
 
 
 def pii_rules(table: Table) -> list[Rule]:
     """Rules for the shared scan. No real value is ever shown for this dimension."""
-    rules = [Rule("pii_security", c, "pii_detected_by_name", affected=F.count(table.col(c)),
+    rules = [Rule("pii_security", c, "pii_detected_by_name", affected=f"count({table.sql(c)})",
                   severity="HIGH", risk="HIGH", fix="mask_pii", text=f"named like {kind}")
              for c, kind in _named(table)]
     for c in _unnamed(table):

@@ -110,7 +110,7 @@ def dataset_profile(table: Table) -> DataFrame:
 def plan_size_mb(df: DataFrame) -> float:
     """Size Spark expects of the table, in MB; an estimate from statistics, not memory in use."""
     size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return round(int(size.toString()) / 1_048_576, 2)
+    return round(int(str(size)) / 1_048_576, 2)
 
 
 def high_cardinality(table: Table, total: int, first: int = 0) -> DataFrame:
@@ -124,7 +124,7 @@ def high_cardinality(table: Table, total: int, first: int = 0) -> DataFrame:
     empty = spark.createDataFrame([], ISSUE_SCHEMA)
     if not columns or not total:
         return empty
-    row = table.df.agg(*[F.approx_count_distinct(table.col(c), 0.02).alias(f"u{i}")
+    row = table.df.agg(*[F.approx_count_distinct(table.col(c)).alias(f"u{i}")
                          for i, c in enumerate(columns)]).first()
     near = [c for i, c in enumerate(columns) if row[f"u{i}"] > 0.75 * total]
     if not near:

@@ -30,19 +30,23 @@ class Rule:
     dimension: str
     column: str
     issue_type: str
-    predicate: Column | None = None      # row predicate; a null outcome is no violation
+    predicate: Column | str | None = None  # row predicate or its SQL; null is no violation
     severity: str = "rate"               # "rate", "extreme" or a fixed severity
     risk: str = "severity"               # "severity" or a fixed risk
     fix: str = "flag_for_review"
     auto: bool | str = False             # "low": only when the severity is LOW
     text: str = ""
     value: Column | None = None          # shown in violations and samples
-    affected: Column | None = None       # aggregate that replaces count_if(predicate)
-    base: Column | None = None           # aggregate denominator; the row count by default
+    affected: str | None = None          # SQL aggregate that replaces the predicate's count
+    base: Column | None = None           # non-null rows of this are the denominator; else all rows
     over: float = 0.0                    # the share must exceed this
     always: bool = False                 # report even when the count is zero
-    when: Column | None = None           # aggregate condition for reporting
-    note: Column | None = None           # aggregate text appended to the description
+    when: str | None = None              # SQL aggregate condition for reporting
+    note: str | None = None              # SQL aggregate text appended to the description
+
+    @property
+    def test(self) -> Column:
+        return F.expr(self.predicate) if isinstance(self.predicate, str) else self.predicate
 
 
 META_SCHEMA = (
@@ -63,24 +67,28 @@ def _meta(rules: list[Rule], first: int) -> Column:
 
 def _counted(frame: DataFrame, rules: list[Rule], first: int) -> DataFrame:
     """One row per rule: its fixed part, count, denominator, report flag and note."""
-    flags = [r.predicate.alias(f"p{i}") for i, r in enumerate(rules) if r.affected is None]
-    aggregates = [F.expr("count(1) AS total")]
+    # Expressions go to the JVM as SQL text where they can: one call for all of them.
+    columns = [r.predicate.alias(f"p{i}") for i, r in enumerate(rules)
+               if r.affected is None and not isinstance(r.predicate, str)]
+    columns += [r.base.alias(f"v{i}") for i, r in enumerate(rules) if r.base is not None]
+    texts = [f"({r.predicate}) AS p{i}" for i, r in enumerate(rules)
+             if r.affected is None and isinstance(r.predicate, str)]
+    aggregates = ["count(1) AS total"]
     for i, rule in enumerate(rules):
-        if rule.affected is None:
-            aggregates.append(F.expr(f"count_if(p{i}) AS n{i}"))
-        else:
-            aggregates.append(rule.affected.alias(f"n{i}"))
+        aggregates.append(f"{rule.affected or f'count_if(p{i})'} AS n{i}")
         if rule.base is not None:
-            aggregates.append(rule.base.alias(f"b{i}"))
+            aggregates.append(f"count(v{i}) AS b{i}")
         if rule.when is not None:
-            aggregates.append(rule.when.alias(f"w{i}"))
+            aggregates.append(f"{rule.when} AS w{i}")
         if rule.note is not None:
-            aggregates.append(rule.note.alias(f"t{i}"))
+            aggregates.append(f"{rule.note} AS t{i}")
 
     def gather(name: str, cells: list[str]) -> Column:
-        return F.expr(f"array({', '.join(cells)})").alias(name)
+        return F.expr(f"array({', '.join(cells)}) AS {name}")
 
-    return (frame.select("*", *flags).agg(*aggregates).select(
+    flagged = frame.select("*", *columns) if columns else frame
+    flagged = flagged.selectExpr("*", *texts) if texts else flagged
+    return (flagged.selectExpr(*aggregates).select(
         _meta(rules, first).alias("m"),
         gather("n", [f"CAST(n{i} AS BIGINT)" for i in range(len(rules))]),
         gather("b", [f"CAST({f'b{i}' if r.base is not None else 'total'} AS BIGINT)"
@@ -104,26 +112,26 @@ def measure(table: Table, rules: list[Rule]) -> DataFrame:
     for start in range(0, len(rules), RULES_PER_SCAN):
         part = _counted(frame, rules[start:start + RULES_PER_SCAN], start)
         counted = part if counted is None else counted.unionByName(part)
+    shares = counted.selectExpr(
+        "*", "COALESCE(affected_rows, 0L) AS hits",
+        "CAST(COALESCE(try_divide(affected_rows, base), 0) AS DOUBLE) AS affected_pct")
     rate = F.col("affected_pct")
     severity = (F.when(F.col("severity_policy") == "rate", scoring.severity_of_rate(rate))
                 .when(F.col("severity_policy") == "extreme",
                       F.when(rate > 0.05, "HIGH").otherwise("MEDIUM"))
                 .otherwise(F.col("severity_policy")))
+    risk = (F.when(F.col("risk_policy") == "severity", scoring.risk_of_severity(F.col("severity")))
+            .otherwise(F.col("risk_policy")))
     return (
-        counted
-        .withColumn("affected_rows", F.expr("COALESCE(affected_rows, 0L)"))
-        .withColumn("affected_pct", scoring.share(F.col("affected_rows"), F.col("base")))
-        .where("shown AND (always OR affected_rows > 0) AND (over = 0 OR affected_pct > over)")
-        .withColumn("severity", severity)
-        .withColumn("risk_level", F.when(F.col("risk_policy") == "severity",
-                                         scoring.risk_of_severity(F.col("severity")))
-                    .otherwise(F.col("risk_policy")))
-        .withColumn("auto_fixable", F.expr(
-            "auto_policy = 'true' OR (auto_policy = 'low' AND severity = 'LOW')"))
-        .withColumn("description", F.expr(
-            "concat(concat_ws(' ', text, note), ': ', format_number(affected_rows, 0), ' rows')"))
-        .withColumn("sample_values", F.expr("CAST(array() AS ARRAY<STRING>)"))
-        .select(*ISSUE_COLUMNS))
+        shares.where("shown AND (always OR hits > 0) AND (over = 0 OR affected_pct > over)")
+        .select("*", severity.alias("severity"))
+        .select("*", risk.alias("risk_level"))
+        .selectExpr(
+            "dimension", "column_name", "issue_type",
+            "concat(concat_ws(' ', text, note), ': ', format_number(hits, 0), ' rows') AS description",
+            "hits AS affected_rows", "affected_pct", "severity", "risk_level", "fix_action",
+            "auto_policy = 'true' OR (auto_policy = 'low' AND severity = 'LOW') AS auto_fixable",
+            "CAST(array() AS ARRAY<STRING>) AS sample_values", "issue_no"))
 
 
 def violations(table: Table, rules: list[Rule]) -> DataFrame:
@@ -135,7 +143,7 @@ def violations(table: Table, rules: list[Rule]) -> DataFrame:
         if rule.predicate is None:
             continue
         shown = rule.value if rule.value is not None else F.lit(None)
-        hits.append(F.when(rule.predicate, F.struct(
+        hits.append(F.when(rule.test, F.struct(
             F.lit(rule.dimension).alias("dimension"), F.lit(rule.column).alias("column_name"),
             F.lit(rule.issue_type).alias("issue_type"), shown.cast("string").alias("value"))))
     if not hits:
@@ -161,11 +169,6 @@ def samples(table: Table, rules: list[Rule], size: int = 5) -> DataFrame:
             .select(*group, F.transform("s", lambda s: s["value"]).alias("sample_values")))
 
 
-def local_issues(spark: SparkSession, rows: list[tuple]) -> DataFrame:
-    """Issue table from rows that schema checks found, without touching the data."""
-    return spark.createDataFrame(rows, ISSUE_SCHEMA)
-
-
 def graded(facts: DataFrame, dimension: str, issue_type: str, severity: str = "rate",
            risk: str = "severity", fix: str = "flag_for_review", text: str = "",
            first: int = 0) -> DataFrame:

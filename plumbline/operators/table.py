@@ -53,10 +53,14 @@ class Table:
     def col(self, name: str) -> Column:
         """The column itself; NaN counts as null."""
         if name not in self._columns:
-            floating = isinstance(self.kinds[name], (T.DoubleType, T.FloatType))
-            self._columns[name] = F.expr(f"nanvl(`{name}`, NULL)" if floating else f"`{name}`")
+            self._columns[name] = F.expr(self.sql(name))
         return self._columns[name]
 
+    def sql(self, name: str) -> str:
+        """The column as SQL text; NaN counts as null."""
+        floating = isinstance(self.kinds[name], (T.DoubleType, T.FloatType))
+        return f"nanvl(`{name}`, NULL)" if floating else f"`{name}`"
+
     def text(self, name: str) -> Column:
         return self.col(name) if self.is_text(name) else self.col(name).cast("string")
 
@@ -71,6 +75,19 @@ class Table:
         return self._derive("num", name,
                             lambda: text.number(F.col(f"`{name}`"), self.kinds[name]))
 
+    def number_sql(self, name: str) -> str:
+        self.number(name)
+        return f"`{PREFIX}num_{name}`"
+
+    def date_sql(self, name: str) -> str:
+        self.date(name)
+        is_date = isinstance(self.kinds[name], T.DateType)
+        return f"`{name}`" if is_date else f"`{PREFIX}date_{name}`"
+
+    def stripped_sql(self, name: str) -> str:
+        self.stripped(name)
+        return f"`{PREFIX}strip_{name}`"
+
     def money(self, name: str) -> Column:
         if not self.is_text(name):
             return self.number(name)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions import fixed_values as fv
 from ..operators import checks, declared, duplicates, entities, outliers, privacy, profile
 from ..operators.quantiles import exact_quantiles
-from ..operators.rule import ISSUE_SCHEMA, Rule, local_issues, measure
+from ..operators.rule import ISSUE_SCHEMA, Rule, measure
 from ..operators.table import Table
 from . import scores as score_plan
 
@@ -72,6 +72,17 @@ def predicate_rules(table: Table, domain: str, as_of: dt.date, config: dict,
     return rules
 
 
+# Below this size per core a table is spread over all cores and kept for the passes of a check.
+SMALL_BYTES_PER_CORE = 32 << 20
+
+
+def spread_small(df: DataFrame) -> DataFrame | None:
+    """A persisted, evenly spread copy of a small table; None for a table of many partitions."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores).persist() if size <= SMALL_BYTES_PER_CORE * cores else None
+
+
 def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
             row_key: str | None = None, config: dict | None = None,
             dimensions: list[str] | None = None, catalogue: tuple | None = None) -> Analysis:
@@ -79,7 +90,20 @@ def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
 
     ``row_key`` names a unique ordered column; it takes no part in the checks and gives the order
     for the neighbour comparison. ``catalogue`` is (fields, checks) of declared rules to evaluate.
+    A small table is spread over the cores and kept in memory for the passes; a large one is read
+    by each pass, pruned to the columns the pass needs.
     """
+    small = spread_small(df)
+    try:
+        return _analyze(df if small is None else small, as_of, domain, row_key, config, dimensions,
+                        catalogue)
+    finally:
+        if small is not None:
+            small.unpersist()
+
+
+def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, config: dict | None,
+             dimensions: list[str] | None, catalogue: tuple | None) -> Analysis:
     config = config or {}
     spark = df.sparkSession
     wanted = dimensions or DIMENSIONS
@@ -103,17 +127,16 @@ def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
 
     # Counts that only the scores need travel in the same scan.
     old = checks.stale(table, as_of, checks.freshness_days(domain, config))
-    extra = [Rule("__facts", "rows", "rows", affected=F.count(F.lit(1)), always=True),
-             Rule("__facts", "stale", "stale", affected=F.count_if(old) if old is not None
-                  else F.lit(0).cast("bigint") * F.count(F.lit(1)), always=True)]
-    measured = measure(table, rules + extra).collect()
+    rules += [Rule("__facts", "rows", "rows", affected="count(1)", always=True),
+              Rule("__facts", "stale", "stale", "false" if old is None else old, always=True)]
+    measured = measure(table, rules).collect()
     counts = {r["column_name"]: r["affected_rows"] for r in measured if r["dimension"] == "__facts"}
     total = counts["rows"]
     rows = [tuple(r) for r in measured if r["dimension"] != "__facts"]
     if "pii_security" in wanted:
         rows = _with_exposure(rows, table, total)
 
-    found = [local_issues(spark, rows)]
+    found = []
     if total and "uniqueness" in wanted:
         found.append(duplicates.uniqueness_issues(table, total))
         if row_key and config.get("near_duplicates", True):
@@ -128,7 +151,6 @@ def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
             found.append(part)
     if catalogue and "business_rules" in wanted:
         found.append(declared.declared_issues(table, *catalogue, as_of))
-    rows = []
     for part in found:
         rows += [tuple(r) for r in part.collect()]       # issue rows: a few per column
     issues = spark.createDataFrame(rows, ISSUE_SCHEMA)

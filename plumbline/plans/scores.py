@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv, scoring
 
@@ -20,56 +20,46 @@ class Facts:
     missing_lineage: int = 0
 
 
-def _of(kind: str, value: Column) -> Column:
-    return F.sum(F.when(F.col("issue_type") == kind, value).otherwise(0))
+def score_of(facts: Facts) -> dict[str, str]:
+    """One SQL aggregate over the issues of a dimension per dimension."""
+    total = float(max(facts.total_rows, 1))
+    rows, shares = "sum(affected_rows)", "sum(affected_pct)"
 
+    def of(kind: str, value: str = "affected_rows") -> str:
+        return f"sum(CASE WHEN issue_type = '{kind}' THEN {value} ELSE 0 END)"
 
-def _not_negative(c: Column) -> Column:
-    return F.greatest(F.lit(0.0), c)
+    def by_share(points: int) -> str:
+        return f"100 - {shares} * {points}"
 
+    def capped(points: int, divisor: int = 1) -> str:
+        return f"100 - least(100, {rows} / {total * divisor}D * {points})"
 
-def score_of(facts: Facts) -> dict[str, Column]:
-    """One aggregate over the issues of a dimension per dimension."""
-    total = max(facts.total_rows, 1)
-    rows = F.sum("affected_rows")
-    shares = F.sum("affected_pct")
-    types = F.col("issue_type")
-    severe = F.count_if(scoring.is_critical(F.col("severity")))
-    deduction = (F.when(types == "missing_audit_timestamp", 25.0)
-                 .when(types == "missing_primary_key", 30.0)
-                 .when(types == "missing_audit_timestamp_value", F.col("affected_pct") * 20)
-                 .otherwise(0.0))
-
-    def by_share(points: float) -> Column:
-        return 100.0 - shares * points
-
-    def capped(points: float, divisor: int = 1) -> Column:
-        return 100.0 - F.least(F.lit(100.0), rows / (total * divisor) * points)
-
+    lineage = 60 if facts.missing_lineage > 2 else 100 - 5 * facts.missing_lineage
     return {
-        "completeness": 100.0 - _of("missing_values", F.col("affected_rows"))
-        / (total * max(facts.columns, 1)) * 200,
-        "uniqueness": 100.0 - _of("exact_duplicates", F.col("affected_rows")) / total * 60
-        - _of("duplicate_ids", F.col("affected_pct")) * 30,
-        "validity": 100.0 - rows / (total * max(1, facts.checked_columns)) * 300,
+        "completeness": f"100 - {of('missing_values')} / {total * max(facts.columns, 1)}D * 200",
+        "uniqueness": f"100 - {of('exact_duplicates')} / {total}D * 60"
+                      f" - {of('duplicate_ids', 'affected_pct')} * 30",
+        "validity": f"100 - {rows} / {total * max(1, facts.checked_columns)}D * 300",
         "consistency": capped(200),
         "standardization": capped(200, 3),
-        "accuracy": 100.0 - rows / max(facts.numeric_cells, 1) * 150,
-        "timeliness": 100.0 - facts.stale_rows / total * 50
-        - _of("future_dated_record", F.col("affected_rows")) / total * 100,
-        "profiling": 100.0 - severe * 10,
+        "accuracy": f"100 - {rows} / {float(max(facts.numeric_cells, 1))}D * 150",
+        "timeliness": f"100 - {facts.stale_rows / total}D * 50"
+                      f" - {of('future_dated_record')} / {total}D * 100",
+        "profiling": "100 - count_if(severity IN ('CRITICAL', 'HIGH')) * 10",
         "business_rules": capped(300),
-        "pii_security": 100.0 - F.count_if(types.startswith("pii_detected")) * 10,
-        "auditability": 100.0 - F.sum(deduction),
-        "reconciliation": 100.0 - rows / total * 50,
-        "survivorship": 100.0 - _of("survivorship_conflict", F.col("affected_rows")) / total * 200,
+        "pii_security": "100 - count_if(startswith(issue_type, 'pii_detected')) * 10",
+        "auditability": f"100 - {of('missing_audit_timestamp', '25')}"
+                        f" - {of('missing_primary_key', '30')}"
+                        f" - {of('missing_audit_timestamp_value', 'affected_pct')} * 20",
+        "reconciliation": f"100 - {rows} / {total}D * 50",
+        "survivorship": f"100 - {of('survivorship_conflict')} / {total}D * 200",
         "accessibility": by_share(100),
         "conformity": by_share(100),
         "constraints": by_share(100),
         "enrichment": by_share(20),
         "freshness": by_share(80),
         "integrity": by_share(150),
-        "lineage": F.lit(60.0 if facts.missing_lineage > 2 else 100.0 - 5 * facts.missing_lineage),
+        "lineage": str(lineage),
         "reasonableness": by_share(80),
         "reliability": by_share(100),
     }
@@ -83,22 +73,17 @@ def dimension_scores(issues: DataFrame, facts: Facts, dimensions: list[str]) ->
     spark = issues.sparkSession
     every = spark.createDataFrame([(d, fv.DIMENSION_NAMES[d]) for d in dimensions],
                                   "dimension string, display_name string")
-    joined = F.broadcast(every).join(issues, "dimension", "left").withColumn(
-        "affected_rows", F.coalesce("affected_rows", F.lit(0))).withColumn(
-        "affected_pct", F.coalesce("affected_pct", F.lit(0.0))).withColumn(
-        "real", F.col("issue_type").isNotNull()).withColumn(
-        "issue_type", F.coalesce("issue_type", F.lit("none"))).withColumn(
-        "severity", F.coalesce("severity", F.lit("OK")))
+    joined = F.broadcast(every).join(issues, "dimension", "left").selectExpr(
+        "dimension", "display_name", "issue_type IS NOT NULL AS real",
+        "COALESCE(affected_rows, 0L) AS affected_rows", "COALESCE(affected_pct, 0D) AS affected_pct",
+        "COALESCE(issue_type, 'none') AS issue_type", "COALESCE(severity, 'OK') AS severity")
     formulas = score_of(facts)
+    cases = " ".join(f"WHEN '{d}' THEN {formulas[d]}" for d in dimensions)
     grouped = joined.groupBy("dimension", "display_name").agg(
-        F.count_if("real").alias("issues_found"),
-        *[formulas[d].cast("double").alias(f"s_{d}") for d in dimensions])
-    score = F.lit(None).cast("double")
-    for d in dimensions:
-        score = F.when(F.col("dimension") == d, F.col(f"s_{d}")).otherwise(score)
-    return (grouped.withColumn("score", F.round(_not_negative(score), 2))
-            .select("dimension", "display_name", "score",
-                    scoring.severity_of_score(F.col("score")).alias("severity"), "issues_found"))
+        F.expr("count_if(real) AS issues_found"),
+        F.expr(f"round(greatest(0D, CAST(CASE dimension {cases} END AS DOUBLE)), 2) AS score"))
+    return grouped.select("dimension", "display_name", "score",
+                          scoring.severity_of_score(F.col("score")).alias("severity"), "issues_found")
 
 
 def overall_score(scores: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:

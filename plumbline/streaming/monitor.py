@@ -18,7 +18,7 @@ def violation_rates(table: Table, rules: list[Rule], time: str, window: str = "1
     stamped = table.frame().withColumn(time, F.col(time).cast("timestamp")).withWatermark(time, late)
     counts = stamped.groupBy(F.window(time, window).alias("w")).agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(r.predicate).alias(f"n{i}") for i, r in enumerate(rules)])
+        *[F.count_if(r.test).alias(f"n{i}") for i, r in enumerate(rules)])
     cells = F.array(*[F.struct(F.lit(r.issue_type).alias("issue_type"),
                                F.lit(r.column).alias("column_name"),
                                F.col(f"n{i}").alias("affected_rows"))
