@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 from ..operators.fixes import Context, Fixed, apply_fix
 from . import reports
@@ -45,12 +45,11 @@ class Remediation:
     @property
     def successes(self) -> DataFrame:
         """(dimension, column_name, success): did the number of affected rows fall?"""
-        return self.before.issues.alias("b").join(
-            self.after.issues.alias("a"), ["dimension", "column_name", "issue_type"], "left"
-        ).groupBy("dimension", "column_name").agg({"b.affected_rows": "sum", "a.affected_rows": "sum"}) \
-            .selectExpr("dimension", "column_name",
-                        "CAST(COALESCE(`sum(a.affected_rows)`, 0) < `sum(b.affected_rows)` AS INT)"
-                        " AS success")
+        keys = ["dimension", "column_name"]
+        was = self.before.issues.groupBy(*keys).agg(F.sum("affected_rows").alias("was"))
+        now = self.after.issues.groupBy(*keys).agg(F.sum("affected_rows").alias("now"))
+        fell = F.coalesce("now", F.lit(0)) < F.col("was")
+        return was.join(now, keys, "left").select(*keys, fell.cast("int").alias("success"))
 
 
 def remediate(df: DataFrame, dimensions: list[str], context: Context, domain: str = "unknown",
