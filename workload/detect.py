@@ -275,7 +275,21 @@ def duplicate_order_lines(spark, sf_dir):
     return duplicates.repeated_ids(Table(lines)).select("affected_rows", "repeated_values")
 
 
-@query("near_duplicates")
+# The longest common subsequence by bit sets, one fold over the characters of the second value.
+NEAR = """
+WITH n AS (SELECT row_key AS k, customer_name AS v, row_number() OVER (ORDER BY row_key) AS n FROM dirty_customers WHERE customer_name IS NOT NULL),
+ p AS (SELECT a.k AS left_key, b.k AS right_key, a.v AS left_value, b.v AS right_value FROM n a JOIN n b ON b.n > a.n AND b.n <= a.n + 19 WHERE a.v <> b.v),
+ m AS (SELECT *, CAST(1 AS HUGEINT) << length(left_value) AS top,
+  list_transform(string_split(right_value, ''), lambda ch: list_sum(list_transform(range(1, length(left_value) + 1),
+   lambda i: CASE WHEN left_value[i] = ch THEN (CAST(1 AS BIGINT) << CAST(i - 1 AS INT)) ELSE 0 END))::BIGINT) AS masks FROM p),
+ s AS (SELECT *, list_reduce(list_prepend((top - 1)::BIGINT, masks),
+  lambda r, x: ((r + (r & x)) | (r - (r & x))) & (top - 1)::BIGINT) AS rest FROM m)
+SELECT left_key, right_key, left_value, right_value, round(ratio, 4) AS ratio FROM (
+ SELECT *, 200.0 * (length(left_value) - bit_count(rest)) / (length(left_value) + length(right_value)) AS ratio FROM s)
+WHERE ratio >= 90 AND ratio < 100"""
+
+
+@query("near_duplicates", NEAR)
 def near_duplicates(spark, sf_dir):
     return duplicates.similar_neighbours(keyed(spark, sf_dir, C), "customer_name").withColumn(
         "ratio", F.round("ratio", 4))
