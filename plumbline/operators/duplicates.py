@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, text
+from ..session import cut_lineage
 from .ordering import BROADCAST_ROWS, attach, with_row_number
 from .rule import graded
 from .table import Table
@@ -21,18 +22,16 @@ def repeated_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     columns = columns or df.columns
+    total = df.count()
     hashed = df.select(*columns, F.xxhash64(*columns).alias("__hash"))
-    counts = hashed.groupBy("__hash").count()
-    fact = counts.agg(F.sum("count").alias("rows"),
-                      F.count_if(F.col("count") > 1).alias("repeated")).first()
-    total, repeated = fact["rows"] or 0, fact["repeated"]
+    again = cut_lineage(hashed.groupBy("__hash").count().where("count > 1").select("__hash"))
+    repeated = again.count()
     if not repeated:
         copies = spark.createDataFrame([(0,)], "duplicate_rows bigint")
     else:
-        suspects = hashed
-        if repeated <= BROADCAST_ROWS:
-            again = counts.where(F.col("count") > 1).select("__hash")
-            suspects = hashed.join(F.broadcast(again), "__hash", "left_semi")
+        # Beyond the limit the rows with a repeated hash are no longer worth picking out first.
+        suspects = hashed if repeated > BROADCAST_ROWS else hashed.join(
+            F.broadcast(again), "__hash", "left_semi")
         copies = (suspects.groupBy(*columns).count()
                   .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")))
     n = F.lit(total).cast("bigint")
@@ -81,9 +80,9 @@ def repeated_ids(table: Table, columns: list[str] | None = None) -> DataFrame:
 
 def repeated_id_rows(table: Table, column: str) -> DataFrame:
     """(row key, value): every row whose id occurs more than once; hot ids are broadcast."""
-    counts = (table.df.where(F.col(column).isNotNull()).groupBy(column)
-              .agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
-              .withColumn("again", F.lit(True)))
+    counts = cut_lineage(table.df.where(F.col(column).isNotNull()).groupBy(column)
+                         .agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
+                         .withColumn("again", F.lit(True)))
     keys = table.df.select(*table.row_key, column)
     return (attach(keys, column, counts, ["again"], "rows").where(F.col("again"))
             .select(*table.row_key, F.col(column).alias("value")))

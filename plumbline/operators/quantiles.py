@@ -2,7 +2,8 @@
 
 A sketch brackets every wanted order statistic, a counting pass says where in the bracket it
 lies, and a last pass fetches it. Each pass is one aggregate over the numeric columns; only a few
-numbers per column reach the driver. Small tables skip the sketch and use ``percentile``.
+numbers per column and the values of the last, small brackets reach the driver. Small tables
+skip the sketch and use ``percentile``.
 """
 
 from __future__ import annotations
@@ -13,8 +14,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000
-SMALL = 1_000_000     # up to this many values Spark's exact percentile is used directly
-FETCH = 50_000        # an open bracket of at most this many values is fetched whole
+SMALL = 4_000_000     # up to this many values, all columns of a pass together, percentile is used
+FETCH = 200_000       # open brackets are fetched once they hold no more values than this together
+COLUMNS_PER_PASS = 16 # more columns are done in turn, so a task holds the sketches of a few only
 
 
 @dataclass
@@ -47,6 +49,12 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: li
     """
     if not columns:
         return {}
+    if len(columns) > COLUMNS_PER_PASS:
+        names, out = list(columns), {}
+        for start in range(0, len(names), COLUMNS_PER_PASS):
+            part = {n: columns[n] for n in names[start:start + COLUMNS_PER_PASS]}
+            out |= exact_quantiles(df, part, probabilities, small, fetch, accuracy)
+        return out
     names = list(columns)
     row = df.agg(*[a for i, n in enumerate(names) for a in (
         F.count(columns[n]).alias(f"n{i}"), F.avg(columns[n]).alias(f"m{i}"),
@@ -54,13 +62,16 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: li
     facts = {n: {"count": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"],
                  "quantiles": None} for i, n in enumerate(names)}
     filled = [n for n in names if facts[n]["count"]]
-    easy = [n for n in filled if facts[n]["count"] <= small]
+    easy = []
+    for n in sorted(filled, key=lambda n: facts[n]["count"]):
+        if sum(facts[e]["count"] for e in easy) + facts[n]["count"] <= small:
+            easy.append(n)
     if easy:
         row = df.agg(*[F.percentile(columns[n], F.array(*map(F.lit, probabilities))).alias(f"q{i}")
                        for i, n in enumerate(easy)]).first()
         for i, n in enumerate(easy):
             facts[n]["quantiles"] = list(row[f"q{i}"])
-    hard = [n for n in filled if facts[n]["count"] > small]
+    hard = [n for n in filled if n not in easy]
     if hard:
         ranks = {}
         for n in hard:
@@ -87,34 +98,44 @@ def _resolve(df: DataFrame, columns: dict, ranks: dict, fetch: int, accuracy: in
         todo = [(n, t) for n, ts in ranks.items() for t in ts.values() if t.value is None]
         if not todo:
             return
-        near = [(n, t) for n, t in todo if t.inside <= fetch]
+        near = []
+        for n, t in sorted(todo, key=lambda x: x[1].inside):
+            if sum(u.inside for _, u in near) + t.inside <= fetch:
+                near.append((n, t))
         if near:
+            open_brackets = {(n, t.low, t.high): t for n, t in near}
             row = df.agg(*[F.sort_array(F.collect_list(
                 F.when(_within(columns[n], t), columns[n]))).alias(f"v{i}")
-                for i, (n, t) in enumerate(near)]).first()
-            for i, (_, t) in enumerate(near):
-                t.value = row[f"v{i}"][t.rank - t.below]
-        wide = [(n, t) for n, t in todo if t.inside > fetch]
+                for i, ((n, _, _), t) in enumerate(open_brackets.items())]).first()
+            place = {key: i for i, key in enumerate(open_brackets)}
+            for n, t in near:
+                t.value = row[f"v{place[n, t.low, t.high]}"][t.rank - t.below]
+        wide = [(n, t) for n, t in todo if t.value is None]
         if not wide:
             continue
-        step = 4.0 / accuracy
+        # Targets of one column in one interval share a sketch; neighbouring ranks share a bracket.
+        sketches: dict[tuple, list[_Target]] = {}
+        for n, t in wide:
+            sketches.setdefault((n, t.low, t.high), []).append(t)
         aggregates = []
-        for i, (n, t) in enumerate(wide):
-            at = (t.rank - t.below + 0.5) / t.inside
-            aggregates.append(F.percentile_approx(
-                F.when(_within(columns[n], t), columns[n]),
-                [max(0.0, at - step), min(1.0, at + step)], accuracy).alias(f"b{i}"))
+        for i, ((n, _, _), targets) in enumerate(sketches.items()):
+            marks = []
+            for t in targets:
+                cell = math.floor((t.rank - t.below + 0.5) / t.inside * accuracy)
+                marks += [max(0.0, (cell - 2) / accuracy), min(1.0, (cell + 3) / accuracy)]
+            inside = F.when(_within(columns[n], targets[0]), columns[n])
+            aggregates.append(F.percentile_approx(inside, marks, accuracy).alias(f"b{i}"))
         row = df.agg(*aggregates).first()
-        for i, (_, t) in enumerate(wide):
-            t.bracket = tuple(row[f"b{i}"])
-        aggregates = []
-        for i, (n, t) in enumerate(wide):
-            c, (low, high) = columns[n], t.bracket
-            aggregates += [F.count_if(c < low).alias(f"lt{i}"), F.count_if(c <= low).alias(f"le{i}"),
-                           F.count_if(c < high).alias(f"ht{i}"),
-                           F.count_if(c <= high).alias(f"he{i}")]
-        row = df.agg(*aggregates).first()
-        for i, (_, t) in enumerate(wide):
+        for i, targets in enumerate(sketches.values()):
+            for k, t in enumerate(targets):
+                t.bracket = tuple(row[f"b{i}"][2 * k:2 * k + 2])
+        brackets = list(dict.fromkeys((n, *t.bracket) for n, t in wide))
+        row = df.agg(*[a for i, (n, low, high) in enumerate(brackets) for a in (
+            F.count_if(columns[n] < low).alias(f"lt{i}"), F.count_if(columns[n] <= low).alias(f"le{i}"),
+            F.count_if(columns[n] < high).alias(f"ht{i}"),
+            F.count_if(columns[n] <= high).alias(f"he{i}"))]).first()
+        for n, t in wide:
+            i = brackets.index((n, *t.bracket))
             low, high = t.bracket
             under_low, upto_low = row[f"lt{i}"], row[f"le{i}"]
             under_high, upto_high = row[f"ht{i}"], row[f"he{i}"]
