@@ -10,9 +10,8 @@ from plumbline.operators import (checks, declared, duplicates, entities, outlier
 from plumbline.operators.table import Table
 from plumbline.plans import catalogue
 
-from .inputs import AS_OF, VIEWS, table, view
-from .registry import SQL, date_sql, issue_sql, query, rule_query, shown
-from . import inputs
+from .inputs import AS_OF, table, view
+from .registry import date_sql, issue_sql, query, rule_query, shown
 
 AS_OF_SQL = "DATE '2026-01-01'"
 O, C, S, L, A = ("dirty_orders", "dirty_customers", "dirty_services", "dirty_claims",

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fv
 from plumbline.operators import privacy
-from plumbline.operators.table import Table
 from plumbline.plans import history, reports
 
 from .detect import C, NAMED, PII_CUSTOMERS, keyed

@@ -6,12 +6,10 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import entities, privacy
 from plumbline.operators.fixes import Context, apply_fix, drop_copies, keep_last
-from plumbline.operators.table import Table
 from plumbline.plans import history, remediation
 
-from . import inputs
-from .detect import A, ASCII, C, COST_OFF, L, O, S, TOTAL_OFF, NUMBER_DUMMY, TEXT_DUMMY
-from .inputs import AS_OF, VIEWS, table, view
+from .detect import A, C, COST_OFF, L, O, S, TOTAL_OFF, NUMBER_DUMMY, TEXT_DUMMY
+from .inputs import AS_OF, table, view
 from .registry import date_sql, query
 
 

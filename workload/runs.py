@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import fixed_values as fv, scoring
+from plumbline.functions import fixed_values as fv
 from plumbline.operators.fixes import Context
-from plumbline.plans import remediation, reports, scores
+from plumbline.plans import remediation, reports
 from plumbline.plans.analysis import analyze
 
-from .detect import (A, C, COMPARED, L, NUMBER_DUMMY, O, O_NUMBERS, ORDER_COLUMNS, ORDER_TEXTS, S,
-                     TEXT_DUMMY, TOTAL_OFF, _fences, _mixed, _pii_sql)
+from .detect import (C, NUMBER_DUMMY, O, O_NUMBERS, ORDER_COLUMNS, ORDER_TEXTS, S, TEXT_DUMMY,
+                     TOTAL_OFF, _fences, _mixed, _pii_sql)
 from .inputs import AS_OF, view
 from .registry import date_sql, query
 

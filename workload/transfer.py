@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, profile, rule
+from plumbline.operators import checks, profile
 from plumbline.operators.table import Table
 from plumbline.plans import history
 from plumbline.session import shared_folder
 from plumbline.sources import faults, readers, writers
 from plumbline.streaming import monitor
 
-from .detect import A, C, L, O, S, keyed
+from .detect import C, L, O, S
 from .inputs import AS_OF, TABLES, table, view
 from .registry import query
 
