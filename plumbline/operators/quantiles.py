@@ -14,7 +14,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000
-SMALL = 4_000_000     # up to this many values, all columns of a pass together, percentile is used
+SMALL = 6_000_000     # up to this many values, all columns of a pass together, percentile is used
 FETCH = 200_000       # open brackets are fetched once they hold no more values than this together
 COLUMNS_PER_PASS = 16 # more columns are done in turn, so a task holds the sketches of a few only
 
