@@ -31,7 +31,7 @@ def grams(word: str, n: int) -> list[str]:
 
 
 def learn(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id",
-          sample: int = 4000, words: int = 40_000, units: int = 20_000) -> dict[str, dict]:
+          sample: int = 1200, words: int = 40_000, units: int = 20_000) -> dict[str, dict]:
     """Counts of words and n-grams per language, from texts with a non-null language.
 
     About ``sample`` documents of each language are read, chosen by a hash of the id, so that equal

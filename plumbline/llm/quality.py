@@ -164,10 +164,10 @@ def grade(docs: DataFrame, model: Model, id_column: str = "doc_id", text: str =
     or only one grade was rated, every text is selected. Equal texts get equal answers; an empty
     table gives an empty one; columns besides the id, the text and ``carry`` are ignored.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds, model.grades))
 
     def make():
-        features, fitted = Features(), sent.value
+        features, fitted = Features(), Model(*sent.value)
         wanted = len(fitted.grades) - 1 if least is None else sum(g < least for g in fitted.grades)
 
         def run(columns):
