@@ -29,9 +29,9 @@ from .suffix_sort import Suffixes
 
 LENGTH, GRAM = 100, 32
 BEFORE = LENGTH - GRAM              # bytes of context before an anchor
-CHUNK = 1 << 20                     # bytes of a long text that are handled at a time
+CHUNK = 1 << 18                     # bytes that are handled at a time
 MOST = 20_000                       # contexts that one task sorts together
-TAG = 1 << 20                       # tells rows apart that share an id
+TAG = 1 << 20                       # room below a place for the row's tag and a mark
 
 
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
@@ -44,64 +44,103 @@ def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
 
 
 class Anchors:
+    """Anchors of many texts at a time: short texts are joined, so that arrays are long."""
+
     def __init__(self):
         self.rolling = Rolling(seed=44)
 
-    def _part(self, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the anchors of all windows in the bytes."""
+    def _part(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the anchors of all windows that lie in one text; ``ends`` are the
+        texts' ends in the bytes."""
         prefix = self.rolling.prefix(data)
         at = np.arange(len(data) - GRAM + 1)
-        hashes = mix(self.rolling.ranges(prefix, at, at + GRAM))
+        hashes = mix(self.rolling.ranges(prefix, at, at + GRAM)) | np.uint64(1)
         width = LENGTH - GRAM + 1
         least = _sliding(hashes, width, np.minimum)     # one per window
+        for end in ends[:-1].tolist():                  # windows across two texts have none
+            least[max(end - LENGTH + 1, 0):end] = 0
         # A place is an anchor if it is least in some window that holds it.
         wall = np.zeros(width - 1, np.uint64)
         top = _sliding(np.concatenate((wall, least, wall)), width, np.maximum)
         places = np.flatnonzero(top == hashes)
         return places, hashes[places]
 
-    def of(self, raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Places, string hashes and context hashes of a text's anchors."""
-        n = len(raw)
-        if n < LENGTH:
-            none = np.zeros(0, np.int64)
-            return none, none, none
-        data, places, hashes = np.frombuffer(raw, np.uint8), [], []
-        for start in range(0, n - LENGTH + 1, CHUNK):
-            p, h = self._part(data[start:min(n, start + CHUNK + LENGTH - 1)])
+    def _joined(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        ends = np.cumsum([len(r) for r in raws])
+        joined = b"".join(raws)
+        data, places, hashes = np.frombuffer(joined, np.uint8), [], []
+        for start in range(0, len(data) - LENGTH + 1, CHUNK):
+            stop = min(len(data), start + CHUNK + LENGTH - 1)
+            inside = ends[(ends > start) & (ends < stop)] - start
+            p, h = self._part(data[start:stop], np.append(inside, stop - start))
             places.append(p + start)
             hashes.append(h)
+        if not places:
+            return (np.zeros(0, np.int64),) * 4
         places, first = np.unique(np.concatenate(places), return_index=True)
         hashes = np.concatenate(hashes)[first].view(np.int64)
+        text = np.searchsorted(ends, places, "right")
+        begin = (ends - [len(r) for r in raws])[text]
         digest = xxhash.xxh3_64_intdigest
         contexts = np.fromiter(
-            (digest(raw[max(p - BEFORE, 0):p + LENGTH], min(p, BEFORE)) for p in places.tolist()),
+            (digest(joined[a:b], n) for a, b, n in zip(
+                np.maximum(places - BEFORE, begin).tolist(), np.minimum(places + LENGTH, ends[text]).tolist(),
+                np.minimum(places - begin, BEFORE).tolist())),
             np.uint64, len(places)).view(np.int64)
-        return places, hashes, contexts
+        return text, places - begin, hashes, contexts
+
+    def of(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
+        """Text number, place, string hash and context hash of all anchors, and whether the place
+        is the first with its string and context in the text."""
+        out, group, held = [], [], 0
+        for i, raw in enumerate(raws):
+            if len(raw) < LENGTH:
+                continue
+            if group and held + len(raw) > CHUNK:
+                out.append((group, self._joined([raws[j] for j in group])))
+                group, held = [], 0
+            group.append(i)
+            held += len(raw)
+        if group:
+            out.append((group, self._joined([raws[j] for j in group])))
+        if not out:
+            return (np.zeros(0, np.int64),) * 5
+        text = np.concatenate([np.array(g)[x[0]] for g, x in out])
+        place, gram, context = (np.concatenate([x[k] for _, x in out]) for k in (1, 2, 3))
+        by = np.lexsort((place, context, gram, text))
+        same = ((text[by][1:] == text[by][:-1]) & (gram[by][1:] == gram[by][:-1])
+                & (context[by][1:] == context[by][:-1]))
+        first = np.ones(len(by), np.int64)
+        first[by[1:][same]] = 0
+        return text, place, gram, context, first
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(id, place, gram, context): place holds the byte offset and, below it, the row's tag."""
+    """(id, place, gram, context): place holds the byte offset, below it the row's tag, and in the
+    lowest bit whether the string has stood in this text before, with the same context."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Anchors()
         for batch in small_batches(batches, "t"):
-            columns = [[], [], [], []]
-            for key, tag, text in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "t"))):
-                p, g, c = finder.of(text.encode("utf-8", "surrogatepass"))
-                for to, x in zip(columns, (np.full(len(p), key, np.int64), p * TAG + tag, g, c)):
-                    to.append(x)
-            if columns[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in columns],
-                                                 names=["id", "place", "gram", "context"])
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("id", "tag"))
+            text, place, gram, context, first = finder.of(
+                [t.encode("utf-8", "surrogatepass") for t in batch.column("t").to_pylist()])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, pa.int64()) for c in (
+                    ids[text], place * TAG + tags[text] * 2 + 1 - first, gram, context)],
+                names=["id", "place", "gram", "context"])
 
     return (rows.where("id IS NOT NULL AND t IS NOT NULL")
             .mapInArrow(run, "id long, place long, gram long, context long"))
 
 
+def tag_of(place: str) -> "F.Column":
+    return F.floor(F.pmod(place, F.lit(TAG)) / 2).alias("tag")
+
+
 def contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, id, place, bytes, before) of the wanted (gram, id, place): the anchor's context and how
     many of its bytes stand before the anchor."""
-    lists = (wanted.groupBy("id", F.pmod("place", F.lit(TAG)).alias("tag"))     # one row per text
+    lists = (wanted.groupBy("id", tag_of("place"))     # one row per text
              .agg(F.collect_list("gram").alias("grams"), F.collect_list("place").alias("places")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,7 +213,7 @@ def sorted_covers(found: DataFrame, buckets: int) -> DataFrame:
         low, high = later_windows(frame["gram"].to_numpy(), frame["rank"].to_numpy(),
                                   frame["bytes"].tolist(), frame["before"].to_numpy(np.int64))
         at, hit = frame["place"].to_numpy() // TAG, high >= 0
-        return pd.DataFrame({"id": frame["id"], "tag": frame["place"] % TAG, "start": at - high,
+        return pd.DataFrame({"id": frame["id"], "tag": frame["place"] % TAG // 2, "start": at - high,
                              "end": at - low + LENGTH})[hit]
 
     return (found.withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)))
@@ -207,35 +246,35 @@ def grouped_covers(found: DataFrame) -> DataFrame:
     at, offset = F.floor(F.col("place") / TAG), F.col("offset")
     return (windows.join(first, ["window", "offset"])
             .where(F.struct("id", "place") > F.col("first"))
-            .select("id", F.pmod("place", F.lit(TAG)).alias("tag"), (at - offset).alias("start"),
+            .select("id", tag_of("place"), (at - offset).alias("start"),
                     (at - offset + LENGTH).alias("end")))
 
 
 def covers(rows: DataFrame, most: int = MOST) -> DataFrame:
     """(id, tag, start, end): stretches of (id, tag, t) that stand earlier. They may overlap."""
     every = anchors(rows)
-    grams = (every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"),
-                                       F.max("context").alias("c1"),
-                                       F.min(F.struct("id", "place")).alias("first"))
-             .where("n > 1").select("gram", (F.col("c0") == F.col("c1")).alias("single"), "first"))
-    later = F.struct("id", "place") > F.col("first")
+    # Written first, so that the join reads plain shuffles, whose hot partitions Spark can split.
+    grams = stored(every.groupBy("gram").agg(
+        F.count(F.lit(1)).alias("n"), F.min("context").alias("c0"), F.max("context").alias("c1"),
+        F.min("id").alias("least")).where("n > 1")
+        .select("gram", (F.col("c0") == F.col("c1")).alias("single"), "least"))
+    later = (F.col("id") > F.col("least")) | (F.col("place") % 2 == 1)
     several = F.when(~F.col("single"), F.col("gram")).alias("gram")
     matched = stored(every.join(grams, "gram").where(~F.col("single") | later)
                      .select("id", "place", several,
                              F.when(~F.col("single"), F.col("context")).alias("context")))
     mixed = matched.where("gram IS NOT NULL")
-    kinds = stored(mixed.groupBy("gram", "context").agg(
-        F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "place")).alias("first")))
-    copies = (mixed.join(kinds.where("n > 1").select("gram", "context", "first"), ["gram", "context"])
-              .where(later).select("id", "place"))
-    whole = matched.where("gram IS NULL").select("id", "place").unionByName(copies)
+    kinds = stored(mixed.groupBy("gram", "context").agg(F.min("id").alias("least")))
+    placed = stored(mixed.join(kinds, ["gram", "context"]).withColumn("later", later))
+    whole = matched.where("gram IS NULL").select("id", "place").unionByName(
+        placed.where("later").select("id", "place"))
     at = F.floor(F.col("place") / TAG)
-    whole = whole.select("id", F.pmod("place", F.lit(TAG)).alias("tag"),
-                         F.greatest(at - BEFORE, F.lit(0)).alias("start"), (at + LENGTH).alias("end"))
+    whole = whole.select("id", tag_of("place"), F.greatest(at - BEFORE, F.lit(0)).alias("start"),
+                         (at + LENGTH).alias("end"))
     sizes = kinds.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     large = sizes.where(F.col("n") > most).select("gram", F.lit(True).alias("large"))
-    wanted = kinds.join(large, "gram", "left").select("gram", "first.id", "first.place", "large")
-    found = stored(contexts(rows, wanted.drop("large")).join(large, "gram", "left"))
+    wanted = placed.where(~F.col("later")).select("gram", "id", "place")
+    found = stored(contexts(rows, wanted).join(large, "gram", "left"))
     buckets = max(1, -(-found.count() // most))
     return (whole.unionByName(sorted_covers(found.where("large IS NULL").drop("large"), buckets))
             .unionByName(grouped_covers(found.where("large"))))
@@ -263,18 +302,16 @@ def remove(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
 
     A byte goes if it is covered by a 100-byte string that also starts earlier: in a text of smaller
     id, or earlier in the same text. ``kept`` are the remaining bytes. A null text is empty; texts
-    under 100 bytes are kept. A text with a null id takes no part and is kept whole. Rows that share
-    an id are one document: an earlier start in any of them counts, and rows equal in id and text
-    get equal results. An empty table gives an empty one; other columns are ignored.
+    under 100 bytes are kept. A text with a null id takes no part and is kept whole. Ids should be
+    unique: rows equal in id and text count as one and get equal results; different texts of one id
+    are compared by place, but not where all of a string's surroundings are equal. An empty table
+    gives an empty one; other columns are ignored.
     """
     rows = docs.select(F.col(id_column).cast("long").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    rows = rows.select("id", F.pmod(F.xxhash64("t"), F.lit(TAG)).alias("tag"), "t")
-    # Stretches of a text are at most as many as its bytes. They are merged where they were made
-    # before they are gathered per text.
-    lists = (covers(rows, most).groupBy("id", "tag", F.floor(F.col("start") / 64).alias("near"))
-             .agg(F.min("start").alias("start"), F.max("end").alias("end"))
-             .groupBy("id", "tag").agg(F.collect_list("start").alias("starts"),
-                                       F.collect_list("end").alias("ends")))
+    rows = rows.select("id", F.pmod(F.xxhash64("t"), F.lit(TAG // 2)).alias("tag"), "t")
+    # The stretches of a text are at most as many as its anchors.
+    lists = covers(rows, most).groupBy("id", "tag").agg(
+        F.collect_list("start").alias("starts"), F.collect_list("end").alias("ends"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "t"):
