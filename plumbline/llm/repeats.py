@@ -21,7 +21,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Rolling, mix, small_batches, stored
@@ -49,45 +48,45 @@ class Anchors:
     def __init__(self):
         self.rolling = Rolling(seed=44)
 
-    def _part(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places and hashes of the anchors of all windows that lie in one text; ``ends`` are the
-        texts' ends in the bytes."""
+    def _part(self, data: np.ndarray, ends: np.ndarray, start: int, stop: int) -> tuple[np.ndarray, ...]:
+        """Places, string hashes and context hashes of the anchors of all windows that begin in
+        start..stop-1 and lie in one text; ``ends`` are the ends of all texts in the bytes."""
+        low = max(start - BEFORE, 0)
+        data = data[low:stop + 2 * LENGTH]
         prefix = self.rolling.prefix(data)
-        at = np.arange(len(data) - GRAM + 1)
-        hashes = mix(self.rolling.ranges(prefix, at, at + GRAM)) | np.uint64(1)
+        begin, size = start - low, min(stop - start + LENGTH - 1, len(data) - (start - low))
+        n = size - GRAM + 1
+        hashes = (prefix[begin + GRAM:begin + GRAM + n] - prefix[begin:begin + n]) \
+            * self.rolling.inverse[begin:begin + n]
+        hashes = mix(hashes) | np.uint64(1)
         width = LENGTH - GRAM + 1
         least = _sliding(hashes, width, np.minimum)     # one per window
-        for end in ends[:-1].tolist():                  # windows across two texts have none
+        inside = ends[(ends > start) & (ends < start + size)] - start
+        for end in inside.tolist():                     # windows across two texts have none
             least[max(end - LENGTH + 1, 0):end] = 0
         # A place is an anchor if it is least in some window that holds it.
         wall = np.zeros(width - 1, np.uint64)
         top = _sliding(np.concatenate((wall, least, wall)), width, np.maximum)
         places = np.flatnonzero(top == hashes)
-        return places, hashes[places]
+        text = np.searchsorted(ends, places + start, "right")
+        first = np.concatenate(([0], ends[:-1]))[text]
+        a = np.maximum(places + start - BEFORE, first)
+        b = np.minimum(places + start + LENGTH, ends[text])
+        left = (places + start - a).astype(np.uint64)
+        context = mix(self.rolling.ranges(prefix, a - low, b - low) ^ (left << np.uint64(8)))
+        return text, places + start - first, hashes[places], context
 
     def _joined(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
         ends = np.cumsum([len(r) for r in raws])
-        joined = b"".join(raws)
-        data, places, hashes = np.frombuffer(joined, np.uint8), [], []
-        for start in range(0, len(data) - LENGTH + 1, CHUNK):
-            stop = min(len(data), start + CHUNK + LENGTH - 1)
-            inside = ends[(ends > start) & (ends < stop)] - start
-            p, h = self._part(data[start:stop], np.append(inside, stop - start))
-            places.append(p + start)
-            hashes.append(h)
-        if not places:
-            return (np.zeros(0, np.int64),) * 4
-        places, first = np.unique(np.concatenate(places), return_index=True)
-        hashes = np.concatenate(hashes)[first].view(np.int64)
-        text = np.searchsorted(ends, places, "right")
-        begin = (ends - [len(r) for r in raws])[text]
-        digest = xxhash.xxh3_64_intdigest
-        contexts = np.fromiter(
-            (digest(joined[a:b], n) for a, b, n in zip(
-                np.maximum(places - BEFORE, begin).tolist(), np.minimum(places + LENGTH, ends[text]).tolist(),
-                np.minimum(places - begin, BEFORE).tolist())),
-            np.uint64, len(places)).view(np.int64)
-        return text, places - begin, hashes, contexts
+        data = np.frombuffer(b"".join(raws), np.uint8)
+        parts = [self._part(data, ends, start, min(start + CHUNK, len(data) - LENGTH + 1))
+                 for start in range(0, len(data) - LENGTH + 1, CHUNK)]
+        if len(parts) == 1:
+            return parts[0]
+        # A place may be an anchor of windows on both sides of a cut.
+        text, place, gram, context = (np.concatenate(x) for x in zip(*parts))
+        _, once = np.unique(place + (text << 44), return_index=True)
+        return text[once], place[once], gram[once], context[once]
 
     def of(self, raws: list[bytes]) -> tuple[np.ndarray, ...]:
         """Text number, place, string hash and context hash of all anchors, and whether the place
@@ -107,11 +106,11 @@ class Anchors:
             return (np.zeros(0, np.int64),) * 5
         text = np.concatenate([np.array(g)[x[0]] for g, x in out])
         place, gram, context = (np.concatenate([x[k] for _, x in out]) for k in (1, 2, 3))
-        by = np.lexsort((place, context, gram, text))
-        same = ((text[by][1:] == text[by][:-1]) & (gram[by][1:] == gram[by][:-1])
-                & (context[by][1:] == context[by][:-1]))
+        key = mix(gram ^ mix(context) ^ (text.astype(np.uint64) << np.uint64(40)))
+        by = np.argsort(key, kind="stable")             # places rise within a text
         first = np.ones(len(by), np.int64)
-        first[by[1:][same]] = 0
+        first[by[1:][key[by[1:]] == key[by[:-1]]]] = 0
+        gram, context = gram.view(np.int64), context.view(np.int64)
         return text, place, gram, context, first
 
 
@@ -182,10 +181,7 @@ def later_windows(gram: np.ndarray, rank: np.ndarray, texts: list[bytes],
         else:
             suffixes = Suffixes(np.ascontiguousarray(data[::-1]), BEFORE)
             places, ends = len(data) - begins - before, len(data) - begins
-        order = suffixes.sort(places, ends, group)
-        shared = suffixes.neighbours(places, ends, order)
-        shared[np.concatenate(([True], group[order][1:] != group[order][:-1]))] = -1
-        classes.append((order, shared))
+        classes.append(suffixes.ordered(places, ends, group))
     after = lengths - before
     low, high = np.full(n, BEFORE + 1), np.full(n, -1)
     ids = [np.empty(n, np.int64), np.empty(n, np.int64)]

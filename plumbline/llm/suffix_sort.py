@@ -25,6 +25,7 @@ class Suffixes:
     def __init__(self, data: np.ndarray, depth: int):
         self.data, self.depth = data, depth
         self.prefix = ROLLING.prefix(data)
+        self.verify = False             # whether every comparison checks the bytes
 
     def common(self, a: np.ndarray, ea: np.ndarray, b: np.ndarray, eb: np.ndarray) -> np.ndarray:
         """Lengths of the common extensions at places a and b, by binary search on hashes."""
@@ -38,7 +39,7 @@ class Suffixes:
             same = (self.prefix[a + middle] - pa) * ia == (self.prefix[b + middle] - pb) * ib
             low = np.where(same, middle, low)
             high = np.where(same, high, np.maximum(middle - 1, low))
-        return self._verified(a, b, low)
+        return self._verified(a, b, low) if self.verify else low
 
     def _verified(self, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
         """The lengths, cut at the first byte that differs where hashes collided."""
@@ -106,10 +107,21 @@ class Suffixes:
             width *= 2
         return order
 
-    def neighbours(self, places: np.ndarray, ends: np.ndarray, order: np.ndarray) -> np.ndarray:
-        """Common extension of each place in sorted order with the one before it (0 for the first)."""
-        out = np.zeros(len(order), np.int64)
-        if len(order) > 1:
-            a, b = order[:-1], order[1:]
-            out[1:] = self.common(places[a], ends[a], places[b], ends[b])
-        return out
+    def ordered(self, places: np.ndarray, ends: np.ndarray,
+                group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(order, common): the places sorted within their groups, and each one's common extension
+        with the one before it (-1 for the first of a group).
+
+        The extensions are verified byte by byte. Where a hash collision shows, all is sorted again
+        with every comparison verified.
+        """
+        order = self.sort(places, ends, group)
+        if len(order) < 2:
+            return order, np.full(len(order), -1, np.int64)
+        a, b = order[:-1], order[1:]
+        found = self.common(places[a], ends[a], places[b], ends[b])
+        true = found if self.verify else self._verified(places[a], places[b], found.copy())
+        if (true != found).any():
+            self.verify = True
+            return self.ordered(places, ends, group)
+        return order, np.concatenate(([-1], np.where(group[a] == group[b], true, -1)))
