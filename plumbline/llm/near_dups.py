@@ -13,11 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import Rolling, map_texts, mix, small_batches, space_words, stored
 
 SUB, WIDTH = 9, 2
+LEADERS = 16          # sets that lead a table in each round but the first
 SHINGLE, PERCENT = 4, 80
 
 
@@ -111,7 +112,7 @@ def members(classes: DataFrame) -> DataFrame:
           for s, c in enumerate("ab")])
     pairs = (lists.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
              .select("h", F.xxhash64("a.i", "b.i", "a.x", "b.x").alias("key")))
-    return shared(pairs, "key")
+    return shared(pairs, "key").join(classes.select("h", "n"), "h")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -142,13 +143,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets (h, n, s)."""
-    left = sets.select(F.col("h").alias("a"), F.col("s").alias("sa"), F.col("n").alias("na"))
-    right = sets.select(F.col("h").alias("b"), F.col("s").alias("sb"), F.col("n").alias("nb"))
-    # The larger set must not exceed 100 / percent times the smaller one.
-    sized = pairs.join(left.drop("sa"), "a").join(right.drop("sb"), "b").where(
-        100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b")
-    rows = sized.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
+    """The pairs (a, b) with 100 * intersection >= percent * union on full sets (h, s)."""
+    left = sets.select(F.col("h").alias("a"), F.col("s").alias("sa"))
+    right = sets.select(F.col("h").alias("b"), F.col("s").alias("sb"))
+    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,47 +160,56 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(node, root) over all sets that confirmed links connect.
-
-    In each table one set after the other leads: it is paired with those behind it that are not yet
-    in its component, and then leaves. A table is done when all that remain in it are in one
-    component. So no link between components is missed, and a group of n copies costs n pairs for
-    the first leader and mostly none after it.
+def led(active: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(pairs, rest) of one round: in every table that holds several components, the first
+    ``leaders`` sets are paired with all sets behind them that are in another component and not too
+    large or too small to be linked; the rest are the sets behind the leaders."""
+    mixed = (active.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
+             .where("r0 <> r1").select("key"))
+    active = stored(active.join(mixed, "key"))
+    # The rank filter is applied in each task before the shuffle, so a hot table sends few rows.
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("h"))
+    heads = stored(active.withColumn("rank", rank).where(F.col("rank") <= leaders))
+    last = heads.groupBy("key").agg(F.max("h").alias("last"), F.count(F.lit(1)).alias("k"))
+    ahead = heads.select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
+    small, large = F.least("n", "na"), F.greatest("n", "na")
+    pairs = (active.join(ahead, "key").where((F.col("h") > F.col("a")) & (F.col("root") != F.col("ra"))
+                                             & (100 * small >= percent * large))
+             .select("a", F.col("h").alias("b")).distinct())
+    rest = (active.join(last.where(F.col("k") == leaders), "key").where(F.col("h") > F.col("last"))
+            .select("key", "h", "n", "root"))
+    return pairs, rest
+
+
+def links(entries: DataFrame, sets: DataFrame, percent: int, leaders: int = LEADERS) -> DataFrame | None:
+    """(node, root) over all sets that confirmed links connect; None if there are none.
+
+    Round by round the first sets of each table lead and then leave (see ``led``), one in the first
+    round and ``leaders`` in each later one, until all that remain in a table are in one component.
+    So no link between components is missed, and a group of n copies costs n pairs for its first
+    leader and mostly none after it. Sets are led in the same order in all tables, so the tables of
+    a group share their leaders' pairs.
     """
-    spark = entries.sparkSession
-    order = F.struct(F.xxhash64("key", "h").alias("o"), F.col("h").alias("h"))
-    active = stored(entries.select("key", "h", order.alias("o"), F.col("h").alias("root")))
-    roots, tried = None, None
+    active, roots, tried, size = entries.withColumn("root", F.col("h")), None, None, 1
     while True:
-        # A table's first remaining set leads; tables whose rest is one component are done.
-        heads = (active.groupBy("key").agg(F.min("o").alias("lead"), F.min_by("root", "o").alias("lead_root"),
-                                           F.min("root").alias("r0"), F.max("root").alias("r1"))
-                 .where("r0 <> r1").drop("r0", "r1"))
-        rest = stored(active.join(heads, "key").where(F.col("o") > F.col("lead")))
-        pairs = (rest.where("root <> lead_root")
-                 .select(F.least("h", "lead.h").alias("a"), F.greatest("h", "lead.h").alias("b")).distinct())
+        pairs, rest = led(active, size, percent)
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = stored(pairs)
+        pairs, rest = stored(pairs), stored(rest)
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = stored(confirmed(pairs, sets, percent))
+        if new.limit(1).count():
+            edges = new
+            if roots is not None:           # earlier components stay connected
+                edges = edges.unionByName(roots.where("node <> root")
+                                          .select(F.col("node").alias("a"), F.col("root").alias("b")))
+            roots = components(edges)
         if not rest.limit(1).count():
             return roots
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        if pairs.limit(1).count():
-            new = stored(confirmed(pairs, sets, percent))
-            if new.limit(1).count():
-                edges = new
-                if roots is not None:           # earlier components stay connected
-                    edges = edges.unionByName(roots.where("node <> root")
-                                              .select(F.col("node").alias("a"), F.col("root").alias("b")))
-                roots = components(edges)
-        rest = rest.drop("root", "lead", "lead_root")
-        if roots is None:
-            active = rest.withColumn("root", F.col("h"))
-        else:
-            active = stored(rest.join(roots.withColumnRenamed("node", "h"), "h", "left")
-                            .withColumn("root", F.coalesce("root", "h"))
-                            .select("key", "h", "o", "root"))
+        active, size = rest, leaders
+        if roots is not None:
+            active = (rest.drop("root").join(roots.withColumnRenamed("node", "h"), "h", "left")
+                      .withColumn("root", F.coalesce("root", "h")))
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE,
@@ -224,7 +231,7 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words
                                       F.first("a").alias("a"), F.first("b").alias("b"))
     classes = stored(classes)
     entries = stored(members(classes))
-    wanted = entries.select("h").distinct().join(classes.select("h", "rep", "n"), "h")
+    wanted = stored(entries.select("h").distinct().join(classes.select("h", "rep"), "h"))
     # Full sets of the candidates only. Repeated ids may bring other texts; the digest sorts them out.
     found = (rows.where("id IS NOT NULL")
              .join(wanted.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"))
@@ -237,13 +244,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words
             for t in columns[1]:
                 s = shingles.of(t)
                 out.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None,
-                            len(s), s.astype("<u8").tobytes()))
+                            s.astype("<u8").tobytes()))
             return out
         return run
 
-    sets = map_texts(found, ["id", "t"], "h binary, n long, s binary", make)
+    sets = map_texts(found, ["id", "t"], "h binary, s binary", make)
     sets = stored(sets.join(wanted.select("h", "rep"), "h").where("id = rep")
-                  .groupBy("h").agg(F.first("n").alias("n"), F.first("s").alias("s")))
+                  .groupBy("h").agg(F.first("s").alias("s")))
     roots = links(entries, sets, percent)
     if roots is None:
         home = classes.select("h", F.col("rep").alias("component_id"))
