@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import Rolling, map_texts, mix, small_batches, space_words, stored
 
 SUB, WIDTH = 9, 2
-LEADERS = 16          # sets that lead a table in each round but the first
+LEADERS = 16          # sets that lead a table in the second round
 SHINGLE, PERCENT = 4, 80
 
 
@@ -185,7 +185,8 @@ def links(entries: DataFrame, sets: DataFrame, percent: int, leaders: int = LEAD
     """(node, root) over all sets that confirmed links connect; None if there are none.
 
     Round by round the first sets of each table lead and then leave (see ``led``), one in the first
-    round and ``leaders`` in each later one, until all that remain in a table are in one component.
+    round, ``leaders`` in the second and eight times as many in each later one, until all that remain
+    in a table are in one component.
     So no link between components is missed, and a group of n copies costs n pairs for its first
     leader and mostly none after it. Sets are led in the same order in all tables, so the tables of
     a group share their leaders' pairs.
@@ -207,6 +208,7 @@ def links(entries: DataFrame, sets: DataFrame, percent: int, leaders: int = LEAD
         if not rest.limit(1).count():
             return roots
         active, size = rest, leaders
+        leaders *= 8
         if roots is not None:
             active = (rest.drop("root").join(roots.withColumnRenamed("node", "h"), "h", "left")
                       .withColumn("root", F.coalesce("root", "h")))
