@@ -9,16 +9,14 @@ Candidates of a table are confirmed on the full shingle sets.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F
 
-from .common import Rolling, map_texts, mix, small_batches, space_words, stored
+from .common import Rolling, map_texts, mix, space_words, stored
 
 SUB, WIDTH = 9, 2
-LEADERS = 16          # sets that lead a table in the second round
+ROOM = 250_000        # shingles that one task compares
 SHINGLE, PERCENT = 4, 80
 
 
@@ -112,7 +110,7 @@ def members(classes: DataFrame) -> DataFrame:
           for s, c in enumerate("ab")])
     pairs = (lists.withColumn("a", F.explode("a")).withColumn("b", F.explode("b"))
              .select("h", F.xxhash64("a.i", "b.i", "a.x", "b.x").alias("key")))
-    return shared(pairs, "key").join(classes.select("h", "n"), "h")
+    return shared(pairs, "key")
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -142,76 +140,93 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
                        .select("node", F.least("root", F.coalesce("top", "root")).alias("root")))
 
 
-def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) with 100 * intersection >= percent * union on full sets (h, s)."""
-    left = sets.select(F.col("h").alias("a"), F.col("s").alias("sa"))
-    right = sets.select(F.col("h").alias("b"), F.col("s").alias("sb"))
-    rows = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                x, y = (np.frombuffer(v.as_buffer(), "<u8") for v in (x, y))
-                inter = np.intersect1d(x, y, assume_unique=True).size
-                keep.append(100 * inter >= percent * (len(x) + len(y) - inter))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, "a binary, b binary")
-
-
-def led(active: DataFrame, leaders: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(pairs, rest) of one round: in every table that holds several components, the first
-    ``leaders`` sets are paired with all sets behind them that are in another component and not too
-    large or too small to be linked; the rest are the sets behind the leaders."""
-    mixed = (active.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"))
-             .where("r0 <> r1").select("key"))
-    active = stored(active.join(mixed, "key"))
-    # The rank filter is applied in each task before the shuffle, so a hot table sends few rows.
-    rank = F.row_number().over(Window.partitionBy("key").orderBy("h"))
-    heads = stored(active.withColumn("rank", rank).where(F.col("rank") <= leaders))
-    last = heads.groupBy("key").agg(F.max("h").alias("last"), F.count(F.lit(1)).alias("k"))
-    ahead = heads.select("key", F.col("h").alias("a"), F.col("n").alias("na"), F.col("root").alias("ra"))
-    small, large = F.least("n", "na"), F.greatest("n", "na")
-    pairs = (active.join(ahead, "key").where((F.col("h") > F.col("a")) & (F.col("root") != F.col("ra"))
-                                             & (100 * small >= percent * large))
-             .select("a", F.col("h").alias("b")).distinct())
-    rest = (active.join(last.where(F.col("k") == leaders), "key").where(F.col("h") > F.col("last"))
-            .select("key", "h", "n", "root"))
-    return pairs, rest
-
-
-def links(entries: DataFrame, sets: DataFrame, percent: int, leaders: int = LEADERS) -> DataFrame | None:
-    """(node, root) over all sets that confirmed links connect; None if there are none.
-
-    Round by round the first sets of each table lead and then leave (see ``led``), one in the first
-    round, ``leaders`` in the second and eight times as many in each later one, until all that remain
-    in a table are in one component.
-    So no link between components is missed, and a group of n copies costs n pairs for its first
-    leader and mostly none after it. Sets are led in the same order in all tables, so the tables of
-    a group share their leaders' pairs.
+class Forest:
+    """Union-find over numbers from 0."""
+
+    def __init__(self, n: int):
+        self.root = np.arange(n)
+
+    def join(self, x: int, others: np.ndarray) -> list[int]:
+        """Connect x with the others; returns one of them from each component that was not x's."""
+        new = []
+        for y in others.tolist():
+            if self.root[y] != self.root[x]:
+                new.append(y)
+                self.root[self.root == self.root[y]] = self.root[x]
+        return new
+
+
+def linked(sets: list[np.ndarray], side: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """Links between the sets that connect what the full sets connect, at most one per set.
+
+    ``side`` is 0 or 1; sets of two sides are compared across only, those of one side among
+    themselves. All intersections of a set are counted at once over an inverted index.
     """
-    active, roots, tried, size = entries.withColumn("root", F.col("h")), None, None, 1
-    while True:
-        pairs, rest = led(active, size, percent)
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs, rest = stored(pairs), stored(rest)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        new = stored(confirmed(pairs, sets, percent))
-        if new.limit(1).count():
-            edges = new
-            if roots is not None:           # earlier components stay connected
-                edges = edges.unionByName(roots.where("node <> root")
-                                          .select(F.col("node").alias("a"), F.col("root").alias("b")))
-            roots = components(edges)
-        if not rest.limit(1).count():
-            return roots
-        active, size = rest, leaders
-        leaders *= 8
-        if roots is not None:
-            active = (rest.drop("root").join(roots.withColumnRenamed("node", "h"), "h", "left")
-                      .withColumn("root", F.coalesce("root", "h")))
+    n, sizes = len(sets), np.array([len(s) for s in sets])
+    tokens = np.concatenate(sets)
+    _, token = np.unique(tokens, return_inverse=True)
+    owner = np.repeat(np.arange(n), sizes)
+    by = np.argsort(token, kind="stable")
+    posting, start = owner[by], np.concatenate(([0], np.cumsum(np.bincount(token))))
+    ends = np.cumsum(sizes)
+    two, forest, out = side.any() and not side.all(), Forest(n), []
+    for x in range(n):
+        if two and side[x]:
+            continue
+        other = (side == 1) if two else (np.arange(n) > x)
+        if not (other & (forest.root != forest.root[x])).any():
+            continue
+        mine = token[ends[x] - sizes[x]:ends[x]]
+        counts = np.bincount(np.concatenate([posting[start[t]:start[t + 1]] for t in mine.tolist()]),
+                             minlength=n)
+        near = np.flatnonzero(other & (100 * counts >= percent * (sizes[x] + sizes - counts)))
+        out += [(x, y) for y in forest.join(x, near)]
+    return out
+
+
+def confirmed(sets: DataFrame, clusters: DataFrame, percent: int, room: int = ROOM) -> DataFrame:
+    """(a, b): links confirmed on full sets (h, n, s), enough to connect what all links connect.
+
+    Sets of one cluster of candidates are compared in a task. A cluster with more than ``room``
+    shingles is cut into blocks and every two blocks meet in a task of their own, so that no task
+    holds more than two blocks; small clusters share tasks.
+    """
+    rows = sets.join(clusters.withColumnRenamed("node", "h"), "h")
+    sizes = rows.groupBy("root").agg(F.sum("n").alias("total"))
+    sizes = stored(sizes.withColumn("blocks", F.ceil(F.col("total") / room)))
+    many = F.col("blocks") > 1
+    total = sizes.where(~many).agg(F.sum("total")).first()[0] or 0
+    shelves = max(1, -(-int(total) // room))
+    own = F.pmod(F.xxhash64("h"), F.col("blocks"))
+    # Block i meets blocks j >= i: a set goes to all tasks of its block, as side 0 or 1.
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))
+    placed = (rows.join(sizes.drop("total"), "root").withColumn("own", own).withColumn("other", other)
+              .select("root", "h", "s", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"),
+                      (F.col("own") > F.col("other")).cast("int").alias("side"),
+                      F.when(many, F.xxhash64("root")).otherwise(
+                          F.pmod(F.xxhash64("root"), F.lit(shelves))).alias("shelf")))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, part in frame.groupby("root", sort=False):
+            if len(part) > 1:
+                names = part["h"].tolist()
+                found = linked([np.frombuffer(s, "<u8") for s in part["s"]], part["side"].to_numpy(), percent)
+                out += [(names[x], names[y]) for x, y in found]
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return placed.groupBy("shelf", "i", "j").applyInPandas(run, "a binary, b binary")
+
+
+def links(entries: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(node, root) over all sets that confirmed links connect.
+
+    The tables connect candidates to clusters; no link leaves its cluster, as its two sets share a
+    table. Within each cluster all sets are compared.
+    """
+    heads = entries.groupBy("key").agg(F.min("h").alias("a"))
+    stars = entries.join(heads, "key").where("h <> a").select("a", F.col("h").alias("b")).distinct()
+    return components(stored(confirmed(sets, components(stars), percent)))
 
 
 def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = SHINGLE,
@@ -252,15 +267,13 @@ def groups(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words
 
     sets = map_texts(found, ["id", "t"], "h binary, s binary", make)
     sets = stored(sets.join(wanted.select("h", "rep"), "h").where("id = rep")
-                  .groupBy("h").agg(F.first("s").alias("s")))
+                  .groupBy("h").agg(F.first("s").alias("s"))
+                  .withColumn("n", F.length("s") / 8))
     roots = links(entries, sets, percent)
-    if roots is None:
-        home = classes.select("h", F.col("rep").alias("component_id"))
-    else:
-        placed = classes.select("h", "rep").join(roots.withColumnRenamed("node", "h"), "h", "left")
-        placed = placed.withColumn("root", F.coalesce("root", "h"))
-        least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
-        home = placed.join(least, "root").select("h", "component_id")
+    placed = classes.select("h", "rep").join(roots.withColumnRenamed("node", "h"), "h", "left")
+    placed = placed.withColumn("root", F.coalesce("root", "h"))
+    least = placed.groupBy("root").agg(F.min("rep").alias("component_id"))
+    home = placed.join(least, "root").select("h", "component_id")
     return (signed.select("id", "n_shingles", "h").join(home, "h", "left")
             .select(F.col("id").alias(id_column), "n_shingles",
                     F.when(F.col("id").isNull(), F.lit(None)).otherwise(
