@@ -116,28 +116,31 @@ def members(classes: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root): the smallest node that each node of the edges is connected with.
 
-    Each round takes the least root among a node's neighbours and then the root's own root; every
-    round is written to the shared folder. Nothing is gathered in one place but one count a round.
+    Each round gives every node the smallest of itself and its neighbours and replaces the edges by
+    those between different such roots, so that the edges shrink fast. The rounds' answers are
+    chained at the end. Every round is written to the shared folder, and nothing is gathered in one
+    place.
     """
-    both = stored(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))
-                  .unionByName(edges.select(F.col(b).alias("x"), F.col(a).alias("y"))).distinct())
-    roots = stored(both.groupBy("x").agg(F.min("y").alias("y"))
-                   .select(F.col("x").alias("node"), F.least("x", "y").alias("root")))
-    while True:
-        around = (both.join(roots, both["y"] == roots["node"]).groupBy("x").agg(F.min("root").alias("near")))
-        # A node's own root may learn of a smaller one through any of its nodes.
-        lower = (roots.join(around, roots["node"] == around["x"])
-                 .select("node", F.col("root").alias("old"), F.least("root", "near").alias("root")))
-        hooks = lower.groupBy("old").agg(F.min("root").alias("better"))
-        lower = (lower.join(hooks.withColumnRenamed("old", "__old"), F.col("old") == F.col("__old"))
-                 .select("node", "old", F.least("root", "better").alias("root")))
-        lower = stored(lower)
-        up = lower.select(F.col("node").alias("__node"), F.col("root").alias("top"))
-        moved = lower.where("root <> old").limit(1).count()
-        if not moved:
-            return roots
-        roots = stored(lower.join(up, F.col("root") == F.col("__node"), "left")
-                       .select("node", F.least("root", F.coalesce("top", "root")).alias("root")))
+    def tidy(pairs):
+        return pairs.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y")).where(
+            "x <> y").distinct()
+
+    level = stored(tidy(edges.select(F.col(a).alias("x"), F.col(b).alias("y"))))
+    rounds = []
+    while not rounds or level.limit(1).count():
+        both = level.unionByName(level.select(F.col("y").alias("x"), F.col("x").alias("y")))
+        found = stored(both.groupBy("x").agg(F.min("y").alias("y"))
+                       .select(F.col("x").alias("node"), F.least("x", "y").alias("root")))
+        rounds.append(found)
+        left = found.select(F.col("node").alias("x"), F.col("root").alias("rx"))
+        right = found.select(F.col("node").alias("y"), F.col("root").alias("ry"))
+        level = stored(tidy(level.join(left, "x").join(right, "y")
+                            .select(F.col("rx").alias("x"), F.col("ry").alias("y"))))
+    out = rounds[0]
+    for found in rounds[1:]:
+        step = found.select(F.col("node").alias("root"), F.col("root").alias("top"))
+        out = out.join(step, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return stored(out)
 
 
 class Forest:
