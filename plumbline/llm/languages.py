@@ -87,21 +87,17 @@ class Scorer:
 
     def __init__(self, model: dict[str, dict]):
         self.names = sorted(model)
-        self.units: dict[tuple[int, str], np.ndarray] = {}
-        floors = np.array([[math.log(0.5 / (model[k]["totals"].get(size, 0) + 1))
-                            for k in self.names] for size in range(MAX_GRAM + 1)])
+        self.units: dict[tuple[int, str], list[float]] = {}
+        floors = [[math.log(0.5 / (model[k]["totals"].get(size, 0) + 1)) for k in self.names]
+                  for size in range(MAX_GRAM + 1)]
         for i, name in enumerate(self.names):
             totals = model[name]["totals"]
             for (size, unit), n in model[name]["units"].items():
                 row = self.units.setdefault((size, unit), floors[size].copy())
                 row[i] = math.log((n + 0.5) / (totals[size] + 1))
-        self.known: dict[str, np.ndarray] = {}
+        self.known: dict[str, tuple[float, ...]] = {}
 
-    def shares(self, logs: np.ndarray) -> np.ndarray:
-        logs = logs - logs.max()
-        return np.maximum(logs - math.log(np.exp(logs).sum()), FLOOR)
-
-    def word(self, word: str) -> np.ndarray:
+    def word(self, word: str) -> tuple[float, ...]:
         found = self.known.get(word)
         if found is None:
             found = self._score(word)
@@ -110,15 +106,20 @@ class Scorer:
             self.known[word] = found
         return found
 
-    def _score(self, word: str) -> np.ndarray:
+    def _score(self, word: str) -> tuple[float, ...]:
+        """Log shares of the languages: of the word, else of its longest known n-grams on average."""
         row = self.units.get((0, word))
-        if row is not None:
-            return self.shares(row)
-        for size in range(min(MAX_GRAM, len(word) + 2), 0, -1):
+        size = min(MAX_GRAM, len(word) + 2)
+        while row is None and size:
             rows = [r for g in grams(word, size) if (r := self.units.get((size, g))) is not None]
             if rows:
-                return self.shares(np.mean(rows, axis=0))
-        return np.full(len(self.names), -math.log(len(self.names)))
+                row = rows[0] if len(rows) == 1 else [sum(c) / len(rows) for c in zip(*rows)]
+            size -= 1
+        if row is None:
+            return (-math.log(len(self.names)),) * len(self.names)
+        top = max(row)
+        whole = top + math.log(sum(math.exp(x - top) for x in row))
+        return tuple(max(x - whole, FLOOR) for x in row)
 
     def text(self, text: str | None) -> tuple[str, float]:
         words = WORD.findall((text or "").lower())
