@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -201,8 +202,8 @@ def later_windows(gram: np.ndarray, rank: np.ndarray, texts: list[bytes],
 
 def sorted_covers(found: DataFrame, buckets: int) -> DataFrame:
     """(id, tag, start, end) that suffix sorting covers; ``found`` as ``contexts`` returns it."""
-    def run(frame):
-        import pandas as pd
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.drop_duplicates(["gram", "id", "place"])      # rows equal in id and text
         rank = np.empty(len(frame), np.int64)
         rank[np.lexsort((frame["place"], frame["id"]))] = np.arange(len(frame))
         frame = frame.assign(rank=rank).sort_values("gram", kind="stable", ignore_index=True)
