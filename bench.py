@@ -8,6 +8,7 @@ queries' times; a short unrelated job warms the session up first.
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -33,6 +34,7 @@ def main() -> None:
     cpus = os.environ.get("BENCH_CPUS") or str(os.cpu_count() or 8)
     spark = session.build(f"local[{cpus}]", **{
         "spark.sql.shuffle.partitions": cpus, "spark.driver.memory": "16g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="plumbline-bench-"),
         "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("OFF")
     names = sys.argv[1:] or HEADLINE

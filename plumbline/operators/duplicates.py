@@ -89,8 +89,9 @@ def repeated_id_rows(table: Table, column: str) -> DataFrame:
 
 
 def similar_columns(table: Table) -> list[str]:
-    names = [c for c in table.texts if text.contains_any(c, fv.SIMILAR_TEXT_WORDS)]
-    return names[:2]
+    """All text columns whose names tell of names or labels; id columns are no similar text."""
+    keys = set(id_columns(table))
+    return [c for c in table.texts if text.contains_any(c, fv.SIMILAR_TEXT_WORDS) and c not in keys]
 
 
 def similar_neighbours(table: Table, column: str, threshold: float = 90.0, window: int = 19,
@@ -131,7 +132,8 @@ def similar_neighbours(table: Table, column: str, threshold: float = 90.0, windo
 def similar_pairs_issue(table: Table, column: str, total: int, threshold: float = 90.0,
                         first: int = 0) -> DataFrame:
     pairs = similar_neighbours(table, column, threshold)
-    facts = pairs.agg((F.count(F.lit(1)) * 2).alias("affected_rows")).select(
+    rows = pairs.select(F.explode(F.array("left_key", "right_key")).alias("k")).distinct()
+    facts = rows.agg(F.count(F.lit(1)).alias("affected_rows")).select(
         F.lit(column).alias("column_name"), "affected_rows", F.lit(total).alias("base"))
     return graded(facts, "uniqueness", "near_duplicates", severity="MEDIUM", risk="HIGH",
                   fix="fuzzy_deduplication", text="nearly equal neighbours", first=first)

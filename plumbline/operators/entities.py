@@ -13,7 +13,8 @@ def entity_keys(table: Table) -> list[str]:
     return [c for c in table.columns if text.contains_any(c, fv.ENTITY_KEY_WORDS)]
 
 
-def compared_columns(table: Table, key: str, limit: int = 5) -> list[str]:
+def compared_columns(table: Table, key: str, limit: int | None = None) -> list[str]:
+    """All columns whose values should agree within an entity; ``limit`` takes the first few."""
     return [c for c in table.columns if c != key and table.is_simple(c)
             and text.contains_any(c, fv.CONFLICT_WORDS)][:limit]
 

@@ -29,25 +29,29 @@ def build(master: str | None = None, **extra: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """A new path under the cluster's checkpoint folder, for tables that jobs hand to each other.
+def checkpoint_root(spark: SparkSession) -> str:
+    """The folder named in ``spark.checkpoint.dir``.
 
-    Only a session without ``spark.checkpoint.dir`` (a test on one machine) gets a folder of its own.
+    A session on one machine without that setting (a test) gets a folder of its own; on a cluster
+    the machines would not see each other's files, so the setting is required there.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
-    base = base or spark.sparkContext.getCheckpointDir()
-    return f"{base or tempfile.mkdtemp(prefix='plumbline-')}/tables-{uuid.uuid4().hex}"
+    if base:
+        return base
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return tempfile.mkdtemp(prefix="plumbline-")
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the cluster's checkpoint folder and read it from there.
+def shared_folder(spark: SparkSession) -> str:
+    """A new path under the cluster's checkpoint folder, for tables that jobs hand to each other."""
+    return f"{checkpoint_root(spark)}/tables-{uuid.uuid4().hex}"
 
-    The folder is the one named in ``spark.checkpoint.dir``. Only a session without that
-    setting (a test on one machine) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the cluster's checkpoint folder and read it from there."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="plumbline-checkpoint-"))
+        context.setCheckpointDir(checkpoint_root(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -57,9 +57,14 @@ def infer_types(df: DataFrame) -> DataFrame:
 
 
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", schema=None,
-             clean_nulls: bool = True) -> DataFrame:
-    """CSV with a header. Without a schema the types are found after cleaning null tokens."""
-    reader = spark.read.option("header", True).option("encoding", encoding)
+             clean_nulls: bool = True, multi_line: bool = True) -> DataFrame:
+    """CSV with a header. Without a schema the types are found after cleaning null tokens.
+
+    Quotes inside quoted values are doubled, and quoted values may hold newlines. A file is then
+    read by one task; ``multi_line=False`` lets Spark split files that have no such values.
+    """
+    reader = (spark.read.option("header", True).option("encoding", encoding)
+              .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
     if schema is not None:
         return reader.schema(schema).csv(path)
     texts = reader.csv(path)

@@ -15,7 +15,7 @@ def _flat_text(df: DataFrame) -> DataFrame:
 def write_csv(df: DataFrame, folder: str, domain: str, stamp: str) -> str:
     """{folder}/{domain}_cleaned_{stamp}.csv, a folder of part files with headers."""
     path = f"{folder.rstrip('/')}/{domain}_cleaned_{stamp}.csv"
-    _flat_text(df).write.mode("error").option("header", True).csv(path)
+    _flat_text(df).write.mode("error").option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -41,5 +41,5 @@ def write_drilldown(issues: DataFrame, dimension: str, folder: str) -> str:
     """The issues of one dimension as CSV."""
     path = f"{folder.rstrip('/')}/dq_drilldown_{dimension}.csv"
     picked = issues.where(F.col("dimension") == dimension)
-    _flat_text(picked).write.mode("error").option("header", True).csv(path)
+    _flat_text(picked).write.mode("error").option("header", True).option("escape", '"').csv(path)
     return path

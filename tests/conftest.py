@@ -9,8 +9,9 @@ from plumbline import session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     spark = session.build("local[8]", **{"spark.sql.shuffle.partitions": "8",
+                                         "spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared")),
                                          "spark.ui.showConsoleProgress": "false"})
     spark.sparkContext.setLogLevel("ERROR")
     yield spark
