@@ -26,9 +26,9 @@ def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (operator 9): the one with the smallest id.
 
-    Documents without an id are in no group and stay.
+    Groups link texts whose sets of five-word shingles have a similarity of 0.8 or more. Documents without an id are in no group and stay.
     """
-    groups = near_dups.groups(docs).where("kept").select(F.col("doc_id").alias("id")).distinct()
+    groups = near_dups.groups(docs, words=5).where("kept").select(F.col("doc_id").alias("id")).distinct()
     docs = docs.select(*COLUMNS)
     return (docs.join(groups, docs["doc_id"] == groups["id"], "left_semi")
             .unionByName(docs.where("doc_id IS NULL")))

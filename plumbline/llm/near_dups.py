@@ -17,7 +17,7 @@ from .common import Rolling, map_texts, mix, space_words, stored
 
 SUB, WIDTH = 9, 2
 ROOM = 250_000        # shingles that one task compares
-SHINGLE, PERCENT = 4, 80
+SHINGLE, PERCENT = 5, 80
 
 
 class Shingles:

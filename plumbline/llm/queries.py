@@ -44,7 +44,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dups.groups(read(spark, sf_dir, "documents"))
+    return near_dups.groups(read(spark, sf_dir, "documents"), words=4)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -54,7 +54,7 @@ def test_near_duplicates(docs, texts, monkeypatch):
     wanted = brute.near_groups(list(texts.items()))
     for room in (near_dups.ROOM, 500):          # the second cuts clusters into blocks
         monkeypatch.setattr(near_dups.confirmed, "__defaults__", (room,))
-        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.groups(docs).collect()}
+        got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_dups.groups(docs, words=4).collect()}
         assert got == wanted
 
 
@@ -212,7 +212,7 @@ def test_pipeline_stages(spark, docs):
         assert rows.columns == p.COLUMNS
         if name == "near_duplicates":
             ids = {r.doc_id: r.text for r in rows.collect()}
-            assert all(k == c for k, (_, c) in brute.near_groups(list(ids.items())).items())
+            assert all(k == c for k, (_, c) in brute.near_groups(list(ids.items()), 5).items())
         if name == "personal_data":
             assert all(not personal_data.identifiers(r.text) for r in rows.limit(50).collect())
     assert 0 < p.pieces(spark, rows, SMALL).count() <= 3 * kept
