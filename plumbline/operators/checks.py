@@ -374,8 +374,10 @@ def profile_flags(table: Table) -> list[Rule]:
     for c in table.columns:
         v = table.sql(c)
         if table.is_simple(c):
+            # Texts are compared by a 64-bit hash, so that the aggregate stays a hash aggregate.
+            same = f"if({v} IS NULL, NULL, xxhash64({v}))" if table.is_text(c) else v
             rules.append(Rule("profiling", c, "constant_column", affected="count(1)",
-                              when=f"min({v}) = max({v})", severity="MEDIUM", risk="LOW",
+                              when=f"min({same}) = max({same})", severity="MEDIUM", risk="LOW",
                               fix="review_or_drop_column", text="a single value"))
         rules.append(Rule("profiling", c, "all_null_column", affected="count(1)",
                           when=f"count({v}) = 0", severity="HIGH", risk="MEDIUM",

@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import datetime as dt
 import re
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import dates, text
@@ -107,24 +108,69 @@ def unique_issues(table: Table, fields: dict[str, FieldSpec], total: int,
 
 
 def mentioned(spec: CheckSpec) -> set[str]:
-    """The words of a check outside its quoted texts."""
-    return set(re.findall(r"[a-z_]+", re.sub(r"'[^']*'", "", f"{spec.condition} {spec.check}")))
+    """The words of a check outside its quoted texts, in lower case."""
+    bare = re.sub(r"'[^']*'", "", f"{spec.condition} {spec.check}")
+    return {(quoted or word).lower() for quoted, word in re.findall(r"`([^`]+)`|([^\W\d]\w*)", bare)}
 
 
-def check_rules(typed: Table, checks: list[CheckSpec], known: set[str] = frozenset()) -> list[Rule]:
-    """Rules for the checks; a check on a ``known`` column that this table lacks does not apply."""
-    return [Rule("business_rules", spec.name, "declared_rule_violation",
-                 F.expr(f"({spec.condition}) AND NOT ({spec.check})"), severity=spec.severity,
-                 fix=spec.fix, text=f"[{spec.name}]")
-            for spec in checks if not (mentioned(spec) & known) - set(typed.df.columns)]
+def check_rules(typed: Table, checks: list[CheckSpec], known: set[str] = frozenset(),
+                errors: dict[str, str] | None = None) -> list[Rule]:
+    """Rules for the checks; a check on a ``known`` column that this table lacks does not apply.
+
+    With ``errors``, a check that does not resolve against the table is noted there under its name
+    and left out, so that the others still count.
+    """
+    names, columns = {k.lower() for k in known}, {c.lower() for c in typed.df.columns}
+    rules = []
+    for spec in checks:
+        if (mentioned(spec) & names) - columns:
+            continue
+        try:
+            broken = F.expr(f"({spec.condition}) AND NOT ({spec.check})")
+            if errors is not None:
+                typed.df.where(broken).schema
+        except PySparkException as error:
+            if errors is None:
+                raise
+            errors[spec.name] = str(error).split("\n")[0]
+            continue
+        rules.append(Rule("business_rules", spec.name, "declared_rule_violation", broken,
+                          severity=spec.severity, fix=spec.fix, text=f"[{spec.name}]"))
+    return rules
+
+
+def measured_checks(typed: Table, rules: list[Rule]) -> DataFrame:
+    """Issues of declared checks; an operation that fails in a row (a division by zero, a cast)
+    is null there, so the check says nothing about that row and the others still count.
+
+    Spark fixes how an expression fails when it resolves it, so the flags are resolved without
+    ANSI mode and counted as plain columns.
+    """
+    spark = typed.df.sparkSession
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", "false")
+    try:
+        flags = typed.df.select(*[r.test.alias(f"__check{i}") for i, r in enumerate(rules)])
+        flags.schema
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+    return measure(Table(flags), [replace(r, predicate=F.col(f"__check{i}"))
+                                  for i, r in enumerate(rules)])
 
 
 def declared_issues(table: Table, fields: dict[str, FieldSpec], checks: list[CheckSpec],
-                    as_of: dt.date) -> DataFrame:
-    """Issues of a whole rule catalogue entry: one scan, plus one grouping for unique columns."""
+                    as_of: dt.date, errors: dict[str, str] | None = None) -> DataFrame:
+    """Issues of a whole rule catalogue entry: one scan for the limits and one for the checks, plus
+    one grouping for unique columns. ``errors`` collects checks that do not resolve."""
     typed = typed_view(table, fields, as_of)
-    rules = field_rules(table, typed, fields) + check_rules(typed, checks, set(fields))
+    rules = field_rules(table, typed, fields)
     found = measure(typed, rules)
+    tests = check_rules(typed, checks, set(fields), errors)
+    if tests:
+        counted = measured_checks(typed, tests)
+        found = found.unionByName(counted.withColumn(
+            "issue_no", (F.col("issue_no") + len(rules)).cast("int")))
+        rules = rules + tests
     unique = unique_issues(table, fields, table.df.count(), len(rules))
     return found if unique is None else found.unionByName(unique)
 

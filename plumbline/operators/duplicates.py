@@ -21,7 +21,7 @@ def repeated_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     unique are certainly unique; only the others are grouped by their full content.
     """
     spark = df.sparkSession
-    columns = columns or df.columns
+    columns = [f"`{c}`" for c in columns or df.columns]
     total = df.count()
     hashed = df.select(*columns, F.xxhash64(*columns).alias("__hash"))
     again = cut_lineage(hashed.groupBy("__hash").count().where("count > 1").select("__hash"))
@@ -49,7 +49,7 @@ def value_counts(table: Table, columns: list[str]) -> DataFrame:
     """(column_name, value, rows) for the non-null values of several columns: one shuffle,
     partial counts before it."""
     texts = table.df.select(*[table.col(c).cast("string").alias(c) for c in columns])
-    return (texts.unpivot([], columns, "column_name", "value")
+    return (texts.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
             .where(F.col("value").isNotNull())
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows")))
 
@@ -80,12 +80,12 @@ def repeated_ids(table: Table, columns: list[str] | None = None) -> DataFrame:
 
 def repeated_id_rows(table: Table, column: str) -> DataFrame:
     """(row key, value): every row whose id occurs more than once; hot ids are broadcast."""
-    counts = cut_lineage(table.df.where(F.col(column).isNotNull()).groupBy(column)
+    counts = cut_lineage(table.df.where(F.col(f"`{column}`").isNotNull()).groupBy(f"`{column}`")
                          .agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > 1)
                          .withColumn("again", F.lit(True)))
-    keys = table.df.select(*table.row_key, column)
+    keys = table.df.select(*table.row_key, f"`{column}`")
     return (attach(keys, column, counts, ["again"], "rows").where(F.col("again"))
-            .select(*table.row_key, F.col(column).alias("value")))
+            .select(*table.row_key, F.col(f"`{column}`").alias("value")))
 
 
 def similar_columns(table: Table) -> list[str]:
@@ -105,8 +105,8 @@ def similar_neighbours(table: Table, column: str, threshold: float = 90.0, windo
     out the threshold are dropped before the comparison in Python.
     """
     key = table.row_key[0]
-    values = (table.df.where(F.col(column).isNotNull())
-              .select(F.col(key).alias("k"), F.col(column).alias("v")))
+    values = (table.df.where(F.col(f"`{column}`").isNotNull())
+              .select(F.col(f"`{key}`").alias("k"), F.col(f"`{column}`").alias("v")))
     numbered = with_row_number(values, ["k", "v"], "n")
     home = F.floor(F.col("n") / block)
     carried = (F.col("n") % block < window) & (F.col("n") >= block)

@@ -28,7 +28,7 @@ def _entities(table: Table, key: str) -> DataFrame:
     compared = compared_columns(table, key)
     ends = [e for i, c in enumerate(compared)
             for e in (F.min(table.col(c)).alias(f"lo{i}"), F.max(table.col(c)).alias(f"hi{i}"))]
-    grouped = (table.df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("entity"))
+    grouped = (table.df.where(table.col(key).isNotNull()).groupBy(table.col(key).alias("entity"))
                .agg(F.count(F.lit(1)).alias("rows"), *ends).where(F.col("rows") > 1))
     first = F.lit(None).cast("string")
     low = high = F.lit(None).cast("string")

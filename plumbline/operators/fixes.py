@@ -139,7 +139,8 @@ def drop_copies(df: DataFrame, context: Context) -> Fixed:
         F.lit("copies removed").alias("detail")))
     if key is None:
         return Fixed(df.dropDuplicates(), log)
-    kept = df.groupBy(*columns).agg(F.min(key).alias(key)).select(*df.columns)
+    kept = (df.groupBy(*[f"`{c}`" for c in columns]).agg(F.min(f"`{key}`").alias(key))
+            .select(*[f"`{c}`" for c in df.columns]))
     return Fixed(kept, log)
 
 
@@ -390,6 +391,9 @@ def add_audit_columns(df: DataFrame, context: Context) -> Fixed:
     for c in ("last_updated", "created_at"):
         if not table.has(c):
             rewrite.add(c, stamp, "inject_audit_column", "audit column added")
+        elif table.is_number(c):        # seconds since 1970
+            rewrite.change(c, stamp.cast("timestamp").cast("long").cast(table.kinds[c]),
+                           table.col(c).isNull(), "populate_audit_timestamps", "missing stamps filled")
         else:
             rewrite.change(c, stamp.cast(table.kinds[c]), table.col(c).isNull(),
                            "populate_audit_timestamps", "missing stamps filled")

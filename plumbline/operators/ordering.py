@@ -46,15 +46,15 @@ def attach(df: DataFrame, key: str, found: DataFrame, values: list[str], rows: s
     a shuffle, so no task gets a hot key's rows.
     """
     size = found.agg(F.count(F.lit(1)).alias("keys"), F.sum(rows).alias("rows")).first()
-    wanted = found.select(F.col(key).alias("__key"), *values, rows)
+    wanted = found.select(F.col(f"`{key}`").alias("__key"), *values, rows)
     if size["keys"] <= broadcast_rows:
-        return (df.join(F.broadcast(wanted.drop(rows)), df[key] == F.col("__key"), "left")
+        return (df.join(F.broadcast(wanted.drop(rows)), df[f"`{key}`"] == F.col("__key"), "left")
                 .drop("__key"))
     hot_from = size["rows"] / HOT_SHARE
     hot = wanted.where(F.col(rows) > hot_from).drop(rows).withColumn("__hot", F.lit(True))
     cold = wanted.where(F.col(rows) <= hot_from).drop(rows)
-    marked = df.join(F.broadcast(hot), df[key] == F.col("__key"), "left").drop("__key")
-    done = marked.where(F.col(key).isNull() | F.col("__hot")).drop("__hot")
-    rest = marked.where(F.col(key).isNotNull() & F.col("__hot").isNull()).drop("__hot", *values)
-    joined = rest.join(cold, rest[key] == F.col("__key"), "left").drop("__key")
+    marked = df.join(F.broadcast(hot), df[f"`{key}`"] == F.col("__key"), "left").drop("__key")
+    done = marked.where(F.col(f"`{key}`").isNull() | F.col("__hot")).drop("__hot")
+    rest = marked.where(F.col(f"`{key}`").isNotNull() & F.col("__hot").isNull()).drop("__hot", *values)
+    joined = rest.join(cold, rest[f"`{key}`"] == F.col("__key"), "left").drop("__key")
     return done.unionByName(joined.select(*done.columns))

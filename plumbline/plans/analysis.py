@@ -137,8 +137,11 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
         rows = _with_exposure(rows, table, total)
 
     found = []
+    check_errors: dict[str, str] = {}       # declared checks that do not resolve, by name
     if total and "uniqueness" in wanted:
         found.append(duplicates.uniqueness_issues(table, total))
+        if not row_key and config.get("near_duplicates", True) and duplicates.similar_columns(table):
+            check_errors["near_duplicates"] = "left out: neighbours need a row key"
         if row_key and config.get("near_duplicates", True):
             for i, c in enumerate(duplicates.similar_columns(table)):
                 found.append(duplicates.similar_pairs_issue(
@@ -150,7 +153,7 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
         if part is not None:
             found.append(part)
     if catalogue and "business_rules" in wanted:
-        found.append(declared.declared_issues(table, *catalogue, as_of))
+        found.append(declared.declared_issues(table, *catalogue, as_of, check_errors))
     for part in found:
         rows += [tuple(r) for r in part.collect()]       # issue rows: a few per column
     issues = spark.createDataFrame(rows, ISSUE_SCHEMA)
@@ -160,6 +163,7 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
         numeric_cells=sum(f["count"] for f in facts_of.values()), stale_rows=counts["stale"],
         missing_lineage=len(checks.missing_lineage(table)))
     ran = [d for d in wanted if d not in errors]
+    errors |= check_errors
     return Analysis(domain, issues, score_plan.dimension_scores(issues, facts, ran), facts, errors)
 
 

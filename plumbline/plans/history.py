@@ -37,7 +37,28 @@ SCHEMAS = {
     "audit_trail": "event_type string, event_detail string, domain string, user_action string, "
                    "timestamp string",
 }
-MAX_ROW_KEYS = 100     # how many row keys an issue keeps
+
+# The issue type that each repair action answers, so that issues and fixes can be matched.
+ISSUE_OF_ACTION = {
+    "impute_median": "missing_values", "impute_mean": "missing_values", "impute_zero": "missing_values",
+    "impute_mode": "missing_values", "impute_unknown": "missing_values",
+    "exact_dedup": "exact_duplicates", "id_dedup": "duplicate_ids",
+    "title_case": "case_inconsistency", "upper_case": "case_inconsistency",
+    "standardize_date": "mixed_date_formats", "strip_whitespace": "whitespace_issue",
+    "strip_currency_symbol": "type_mismatch", "nullify_out_of_range": "range_violation",
+    "standardize_enum": "enum_inconsistency", "recalculate_total": "calculation_inconsistency",
+    "recalculate_cost": "calculation_inconsistency", "winsorize_outliers": "statistical_outlier",
+    "abs_negative_amounts": "business_rule_violation",
+    "nullify_invalid_quantity": "business_rule_violation", "fix_fraud_flag": "business_rule_violation",
+    "strip_non_ascii": "unreadable_chars", "nullify_invalid_emails": "email_format_violation",
+    "clean_zipcodes": "zipcode_format_violation", "clip_age_constraint": "constraint_violation_age",
+    "nullify_dummy_values": "unreliable_default_values",
+    "add_lineage_metadata": "missing_traceability_metadata",
+    "inject_audit_column": "missing_audit_timestamp",
+    "populate_audit_timestamps": "missing_audit_timestamp_value",
+    "reconcile_missing_amount": "amount_reconciliation_gap", "archive_stale_data": "ancient_dates",
+    "golden_record_generation": "survivorship_conflict",
+}
 
 
 class Store:
@@ -83,7 +104,7 @@ class Store:
         issues = analysis.issues
         if row_keys is not None:
             issues = issues.join(row_keys, ["dimension", "column_name", "issue_type"], "left")
-            keys = F.to_json(F.slice("row_keys", 1, MAX_ROW_KEYS))
+            keys = F.to_json("row_keys")
         else:
             keys = F.lit(None).cast("string")
         self.append("issue_log", issues.select(
@@ -104,10 +125,12 @@ class Store:
             rows = rows.join(F.broadcast(successes), ["dimension", "column_name"], "left")
         else:
             rows = rows.withColumn("success", F.lit(1))
+        answers = F.create_map(*[F.lit(x) for pair in ISSUE_OF_ACTION.items() for x in pair])
         self.append("fix_history", rows.select(
             F.expr("uuid()").alias("fix_id"), F.lit(run_id).cast("bigint").alias("run_id"),
             F.lit(domain).alias("domain"), "dimension", "column_name",
-            F.col("dimension").alias("issue_type"), F.col("action").alias("fix_action"),
+            F.coalesce(F.try_element_at(answers, F.col("action")), "dimension").alias("issue_type"),
+            F.col("action").alias("fix_action"),
             "rows_affected", F.coalesce("success", F.lit(1)).cast("int").alias("success"),
             F.lit("Applied").alias("status"), F.lit("user").alias("applied_by"),
             F.lit(at.isoformat()).alias("applied_at"), F.col("detail").alias("notes")))

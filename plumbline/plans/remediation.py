@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators.fixes import Context, Fixed, apply_fix
+from ..session import shared_folder
 from . import reports
 from .analysis import Analysis, analyze
 
@@ -55,8 +56,15 @@ class Remediation:
 def remediate(df: DataFrame, dimensions: list[str], context: Context, domain: str = "unknown",
               config: dict | None = None, before: Analysis | None = None,
               check: list[str] | None = None) -> Remediation:
-    """Check, repair the given dimensions, check the repaired table."""
+    """Check, repair the given dimensions, check the repaired table.
+
+    The repaired table is written to the shared folder once, so that the passes of the second check
+    read it instead of repeating the repairs.
+    """
     before = before or analyze(df, context.as_of, domain, context.row_key, config, check)
     fixed = apply_all(df, dimensions, context)
+    path = shared_folder(df.sparkSession)
+    fixed.df.write.parquet(path)
+    fixed = Fixed(df.sparkSession.read.schema(fixed.df.schema).parquet(path), fixed.log, fixed.token_maps)
     after = analyze(fixed.df, context.as_of, domain, context.row_key, config, check)
     return Remediation(before, after, fixed)

@@ -40,7 +40,10 @@ def append_copies(df: DataFrame, rate: float, key: str, rekey: dict[str, Column]
 # --- value makers -----------------------------------------------------------------------------------
 
 def code(prefix: str, width: int, shift: int = 0) -> Column:
-    return F.concat(F.lit(prefix), F.lpad((F.col(KEY) + shift).cast("string"), width, "0"))
+    """The key with leading zeros up to ``width`` digits; longer keys are kept whole."""
+    digits = (F.col(KEY) + shift).cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0"))
+                    .otherwise(digits))
 
 
 def whole(label: str, low: int, high: int) -> Column:
@@ -131,7 +134,7 @@ def healthcare(df: DataFrame, key: str, shift: int) -> DataFrame:
     for column, rate in (("diagnosis_code", 0.12), ("physician_name", 0.07), ("treatment", 0.09),
                          ("insurance_id", 0.06), ("email", 0.05), ("last_updated", 0.05)):
         t = inject_nulls(t, column, rate, KEY)
-    t = append_copies(t, 0.06, KEY, {"patient_id": code("PAT-", 6, shift)})
+    t = append_copies(t, 0.06, KEY, {KEY: F.col(KEY) + shift, "patient_id": code("PAT-", 6, shift)})
     t = corrupt(t, "age", 0.02, KEY, lambda c: F.element_at(
         F.array(*map(F.lit, [-5, -1, 150, 200, 999])), whole("bad age", 1, 5).cast("int")).cast("bigint"))
     t = _mix_case(_mix_case(t, "gender", 0.08), "status", 0.06)
@@ -168,7 +171,7 @@ def finance(df: DataFrame, key: str, shift: int) -> DataFrame:
         text_of(day("updated", "2020-01-01", 1800)).alias("last_updated"))
     for column, rate in (("account_id", 0.07), ("email", 0.05), ("merchant", 0.04)):
         t = inject_nulls(t, column, rate, KEY)
-    t = append_copies(t, 0.08, KEY, {})
+    t = append_copies(t, 0.08, KEY, {KEY: F.col(KEY) + shift})
     t = t.withColumn("number", F.when(hit("negative", 0.04) & (F.col("transaction_type") == "Credit"),
                                       -F.col("number")).otherwise(F.col("number")))
     t = _mix_case(t, "currency", 0.07)
@@ -203,7 +206,7 @@ def insurance(df: DataFrame, key: str, shift: int) -> DataFrame:
     t = t.withColumn("settlement_amount", F.when(F.col("claim_status") == "Settled",
                                                  F.round(F.col("claim_amount") * 0.8, 2)))
     t = inject_nulls(inject_nulls(t, "adjuster", 0.12, KEY), "zip_code", 0.05, KEY)
-    t = append_copies(t, 0.06, KEY, {"policy_id": code("POL-", 7, shift)})
+    t = append_copies(t, 0.06, KEY, {KEY: F.col(KEY) + shift, "policy_id": code("POL-", 7, shift)})
     t = corrupt(t, "claim_amount", 0.05, KEY, lambda c: F.col("coverage_amount") * 2)
     t = corrupt(t, "policy_end", 0.03, KEY, lambda c: F.lit("2017-06-01"))
     t = corrupt(t, "zip_code", 0.04, KEY, lambda c: F.lit("ZIP-NA"))
@@ -238,7 +241,7 @@ def supply_chain(df: DataFrame, key: str, shift: int) -> DataFrame:
     t = corrupt(t, "total_amount", 0.07, KEY, lambda c: F.round(c * 1.5, 2))
     t = corrupt(t, "actual_delivery", 0.04, KEY, lambda c: F.lit("2021-12-01"))
     t = corrupt(t, "expected_delivery", 0.03, KEY, lambda c: F.lit("2021-12-15"))
-    t = append_copies(t, 0.05, KEY, {"order_id": code("ORD-", 8, shift)})
+    t = append_copies(t, 0.05, KEY, {KEY: F.col(KEY) + shift, "order_id": code("ORD-", 8, shift)})
     t = _mix_case(t, "category", 0.06)
     return _done(t.withColumn("quantity", F.when(hit("zero", 0.02), 0).otherwise(F.col("quantity"))))
 
@@ -267,7 +270,7 @@ def automotive(df: DataFrame, key: str, shift: int) -> DataFrame:
     t = t.withColumn("cost", F.round(F.col("parts_cost") + F.col("labor_cost"), 2))
     t = t.withColumn("warranty_status", F.when(F.col("year") >= 2020, "Active").otherwise("Expired"))
     t = corrupt(t, "vin", 0.06, KEY, lambda c: F.lit("INVALIDVIN123"))
-    t = append_copies(t, 0.06, KEY, {"service_id": code("SVC-", 8, shift)})
+    t = append_copies(t, 0.06, KEY, {KEY: F.col(KEY) + shift, "service_id": code("SVC-", 8, shift)})
     t = corrupt(t, "cost", 0.07, KEY, lambda c: F.round(c * 1.5, 2))
     t = _mix_case(t, "make", 0.08)
     t = corrupt(t, "service_date", 0.03, KEY, lambda c: F.lit("2030-01-01"))

@@ -75,10 +75,22 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def holds_json_lines(spark: SparkSession, path: str) -> bool:
+    """Whether the first line that is not blank is a whole JSON object; one line is looked at."""
+    line = F.ltrim("value")
+    whole = line.startswith("{") & F.try_parse_json("value").isNotNull()
+    found = (spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1)
+             .select(whole.alias("whole")).first())
+    return bool(found and found["whole"])
+
+
 def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool | None = None) -> DataFrame:
-    """JSON arrays (.json) or JSON lines (.jsonl); lines can be split between tasks, arrays not."""
+    """JSON arrays and objects over several lines, or JSON lines, whatever the suffix.
+
+    Lines can be split between tasks, the other layouts not.
+    """
     if multi_line is None:
-        multi_line = not path.split("?")[0].lower().endswith(".jsonl")
+        multi_line = not (path.split("?")[0].lower().endswith(".jsonl") or holds_json_lines(spark, path))
     reader = spark.read.option("multiLine", multi_line)
     return (reader.schema(schema) if schema is not None else reader).json(path)
 

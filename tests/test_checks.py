@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, declared, outliers, privacy, profile, rule
+from plumbline.operators import checks, declared, duplicates, outliers, privacy, profile, rule
 from plumbline.operators.declared import CheckSpec, FieldSpec
 from plumbline.operators.table import Table
 from plumbline.plans import catalogue
@@ -146,6 +146,32 @@ def test_bad_rule_text_raises(spark):
         rule.measure(t, declared.check_rules(t, [CheckSpec("x", "a >", "LOW", "f")])).collect()
 
 
+def test_failing_checks_leave_the_others(spark):
+    t = declared.typed_view(table(spark, [(1, 0), (2, 5)], "a int, `B2` int"), {}, AS_OF)
+    specs = [CheckSpec(n, c, "LOW", "f") for n, c in (
+        ("syntax", "a >"), ("unknown", "gone > 1"), ("dividing", "a / B2 > 1"), ("good", "a > 1"))]
+    errors = {}
+    rules = declared.check_rules(t, specs, {"B2"}, errors)
+    got = {r["column_name"]: r["affected_rows"] for r in declared.measured_checks(t, rules).collect()}
+    assert got == {"dividing": 1, "good": 1} and set(errors) == {"syntax", "unknown"}
+    assert spark.conf.get("spark.sql.ansi.enabled") == "true"
+    absent = CheckSpec("absent", "Address2 > 1", "LOW", "f")
+    assert declared.check_rules(t, [absent], {"address2"}) == []
+
+
+def test_names_with_dots(spark):
+    t = table(spark, [("a", 1), ("a", 1), ("b", 2)], "`geo.x_id` string, k int")
+    assert duplicates.repeated_rows(t.df).first()["duplicate_rows"] == 1
+    assert duplicates.repeated_ids(t).first()["affected_rows"] == 2
+    assert {r["issue_type"] for r in duplicates.uniqueness_issues(t, 3).collect()} == {
+        "exact_duplicates", "duplicate_ids"}
+
+
+def test_constant_texts(spark):
+    t = table(spark, [("x", "a", None), ("x", "b", None), (None, "a", None)], "s string, v string, n string")
+    assert {k[0] for k in found(rule.measure(t, checks.profile_flags(t))) if k[1] == "constant_column"} == {"s"}
+
+
 def test_profile_ties_and_summary(spark):
     t = table(spark, [("b", 1.0), ("a", 2.0), (None, 10.0)], "s string, x double")
     top = profile.text_profile(t).first()

@@ -108,6 +108,9 @@ def test_repair_improves_and_is_learned_from(spark, tmp_path):
                 history.learning_patterns(store.read("fix_history")).collect()}
     total = patterns["total_amount", "recalculate_total"]
     assert (total["occurrence_count"], total["success_rate"], total["auto_fix_eligible"]) == (3, 1.0, 1)
+    again = {(r["column_name"], r["issue_type"]): r for r in history.recurrence(
+        store.read("issue_log"), store.read("fix_history")).collect()}
+    assert again["total_amount", "calculation_inconsistency"]["fixes"] == 3
     summary = history.global_summary(store.read("analysis_runs"), store.read("dimension_scores"),
                                      store.read("issue_log"), ["validity"]).collect()
     assert [(r["domain"], r["run_id"]) for r in summary] == [("supply_chain", 3)]

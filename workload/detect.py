@@ -926,19 +926,22 @@ _field_query("declared_fields_healthcare", A, "healthcare", [
 CUSTOM = [(1, "finance", "balance_positive", "balance >= 0", "HIGH", "flag_for_review", 1),
           (2, "finance", "adult_customer", "age BETWEEN 18 AND 130", "MEDIUM", None, 1),
           (3, "finance", "retired_rule", "age < 0", "LOW", None, 0),
-          (4, "insurance", "other_domain", "age < 0", "LOW", None, 1)]
+          (4, "insurance", "other_domain", "age < 0", "LOW", None, 1),
+          (5, "finance", "unknown_column", "no_such_column > 0", "LOW", None, 1),
+          (6, "finance", "dividing", "100 / (age % 5) <= 30", "LOW", "recheck", 1)]
 
 
 @query("custom_rules", """
 SELECT * FROM (SELECT 'balance_positive' AS rule, CAST(count(*) FILTER (WHERE NOT balance >= 0) AS BIGINT) AS affected_rows, 'HIGH' AS severity, 'flag_for_review' AS fix_action FROM dirty_customers
-UNION ALL SELECT 'adult_customer', CAST(count(*) FILTER (WHERE NOT age BETWEEN 18 AND 130) AS BIGINT), 'MEDIUM', 'flag_for_review' FROM dirty_customers) WHERE affected_rows > 0""")
+UNION ALL SELECT 'adult_customer', CAST(count(*) FILTER (WHERE NOT age BETWEEN 18 AND 130) AS BIGINT), 'MEDIUM', 'flag_for_review' FROM dirty_customers
+UNION ALL SELECT 'dividing', CAST(count(*) FILTER (WHERE age % 5 <> 0 AND NOT 100.0 / nullif(age % 5, 0) <= 30) AS BIGINT), 'LOW', 'recheck' FROM dirty_customers) WHERE affected_rows > 0""")
 def custom_rules(spark, sf_dir):
     rules = spark.createDataFrame(CUSTOM, "rule_id int, domain string, rule_name string, "
                                           "rule_expression string, severity string, "
                                           "fix_action string, is_active int")
     typed = declared.typed_view(keyed(spark, sf_dir, C), {}, AS_OF)
     specs = declared.custom_checks(rules, "finance")
-    return rule.measure(typed, declared.check_rules(typed, specs)).select(
+    return declared.measured_checks(typed, declared.check_rules(typed, specs, errors={})).select(
         F.col("column_name").alias("rule"), "affected_rows", "severity", "fix_action")
 
 

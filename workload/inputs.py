@@ -21,8 +21,8 @@ VIEWS: dict[str, str] = {}
 VIEWS["dirty_orders"] = """
 SELECT o_orderkey AS row_key,
  CASE WHEN o_orderkey % 97 = 0 THEN 'BAD-' || CAST(o_orderkey AS STRING)
-      WHEN o_orderkey % 50 = 1 THEN 'ORD-' || lpad(CAST(o_orderkey - 1 AS STRING), 8, '0')
-      ELSE 'ORD-' || lpad(CAST(o_orderkey AS STRING), 8, '0') END AS order_id,
+      WHEN o_orderkey % 50 = 1 THEN 'ORD-' || lpad(CAST(o_orderkey - 1 AS STRING), CAST(greatest(8, length(CAST(o_orderkey - 1 AS STRING))) AS INT), '0')
+      ELSE 'ORD-' || lpad(CAST(o_orderkey AS STRING), CAST(greatest(8, length(CAST(o_orderkey AS STRING))) AS INT), '0') END AS order_id,
  CASE WHEN o_orderkey % 17 = 0 THEN NULL ELSE 'SUP-' || lpad(CAST(o_orderkey % 80 AS STRING), 5, '0') END AS supplier_id,
  CASE WHEN o_orderkey % 14 = 0 THEN 'acme SUPPLY' ELSE 'Acme Supply' END AS supplier_name,
  CASE WHEN o_orderkey % 11 = 0 THEN substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 6, 2) || '/' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 9, 2) || '/' || substr(CAST(CAST(o_orderdate AS DATE) AS STRING), 1, 4)
@@ -46,7 +46,7 @@ FROM orders
 # Finance and people: one row per customer.
 VIEWS["dirty_customers"] = """
 SELECT c_custkey AS row_key,
- 'CUST-' || lpad(CAST(c_custkey - c_custkey % 20 % 2 AS STRING), 5, '0') AS customer_id,
+ 'CUST-' || lpad(CAST(c_custkey - c_custkey % 20 % 2 AS STRING), CAST(greatest(5, length(CAST(c_custkey - c_custkey % 20 % 2 AS STRING))) AS INT), '0') AS customer_id,
  CASE WHEN c_custkey % 25 = 0 THEN upper(c_name) WHEN c_custkey % 33 = 0 THEN '  ' ELSE c_name END AS customer_name,
  CASE WHEN c_custkey % 20 = 0 THEN NULL WHEN c_custkey % 18 = 0 THEN 'not-an-email' ELSE 'user' || CAST(c_custkey AS STRING) || '@example.com' END AS email,
  CASE WHEN c_custkey % 16 = 0 THEN '12345' ELSE '(555) 010-' || lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') END AS phone,
@@ -75,8 +75,8 @@ SELECT event_id, user_id, event_type, value FROM events WHERE event_id % 16 = 0
 # Automotive: one row per part.
 VIEWS["dirty_services"] = """
 SELECT p_partkey AS row_key,
- CASE WHEN p_partkey % 40 = 0 THEN 'VEH-1' ELSE 'VEH-' || lpad(CAST(p_partkey - p_partkey % 4 AS STRING), 6, '0') END AS vehicle_id,
- CASE WHEN p_partkey % 17 = 0 THEN 'INVALIDVIN123' WHEN p_partkey % 31 = 0 THEN '1HGBH41JXMI109186' ELSE '1HGBH41JX' || lpad(CAST(p_partkey AS STRING), 8, '0') END AS vin,
+ CASE WHEN p_partkey % 40 = 0 THEN 'VEH-1' ELSE 'VEH-' || lpad(CAST(p_partkey - p_partkey % 4 AS STRING), CAST(greatest(6, length(CAST(p_partkey - p_partkey % 4 AS STRING))) AS INT), '0') END AS vehicle_id,
+ CASE WHEN p_partkey % 17 = 0 THEN 'INVALIDVIN123' WHEN p_partkey % 31 = 0 THEN '1HGBH41JXMI109186' ELSE '1HGBH41JX' || lpad(CAST(p_partkey AS STRING), CAST(greatest(8, length(CAST(p_partkey AS STRING))) AS INT), '0') END AS vin,
  CASE WHEN p_partkey % 12 = 0 THEN 'FORD' WHEN p_partkey % 12 = 1 THEN 'honda' WHEN p_partkey % 3 = 0 THEN 'Ford' ELSE 'Toyota' END AS make,
  p_type AS model,
  CAST(CASE WHEN p_partkey % 53 = 0 THEN 2099 WHEN p_partkey % 47 = 0 THEN 1899 ELSE 1985 + p_partkey % 38 END AS INT) AS year,
@@ -97,9 +97,9 @@ FROM part
 # Insurance: one row per order.
 VIEWS["dirty_claims"] = """
 SELECT o_orderkey AS row_key,
- CASE WHEN o_orderkey % 90 = 1 THEN 'POL-' || lpad(CAST(o_orderkey - 1 AS STRING), 7, '0') ELSE 'POL-' || lpad(CAST(o_orderkey AS STRING), 7, '0') END AS policy_id,
- CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN 'CLM-X' ELSE 'CLM-' || lpad(CAST(o_orderkey AS STRING), 8, '0') END AS claim_id,
- 'CUST-' || lpad(CAST(o_custkey AS STRING), 6, '0') AS customer_id,
+ CASE WHEN o_orderkey % 90 = 1 THEN 'POL-' || lpad(CAST(o_orderkey - 1 AS STRING), CAST(greatest(7, length(CAST(o_orderkey - 1 AS STRING))) AS INT), '0') ELSE 'POL-' || lpad(CAST(o_orderkey AS STRING), CAST(greatest(7, length(CAST(o_orderkey AS STRING))) AS INT), '0') END AS policy_id,
+ CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 101 = 0 THEN 'CLM-X' ELSE 'CLM-' || lpad(CAST(o_orderkey AS STRING), CAST(greatest(8, length(CAST(o_orderkey AS STRING))) AS INT), '0') END AS claim_id,
+ 'CUST-' || lpad(CAST(o_custkey AS STRING), CAST(greatest(6, length(CAST(o_custkey AS STRING))) AS INT), '0') AS customer_id,
  CASE WHEN o_orderkey % 16 = 0 THEN 'HEALTH' WHEN o_orderkey % 18 = 0 THEN 'pet' WHEN o_orderkey % 2 = 0 THEN 'Health' ELSE 'Auto' END AS policy_type,
  CAST(50000 AS DOUBLE) AS coverage_amount,
  CASE WHEN o_orderkey % 44 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(100 + o_orderkey % 900 AS DOUBLE) END AS premium,
@@ -118,7 +118,7 @@ FROM orders
 # Healthcare: one row per event.
 VIEWS["dirty_admissions"] = """
 SELECT event_id AS row_key,
- 'PAT-' || lpad(CAST(event_id - event_id % 30 % 2 AS STRING), 6, '0') AS patient_id,
+ 'PAT-' || lpad(CAST(event_id - event_id % 30 % 2 AS STRING), CAST(greatest(6, length(CAST(event_id - event_id % 30 % 2 AS STRING))) AS INT), '0') AS patient_id,
  CASE WHEN event_id % 34 = 0 THEN 'mary-ann SMITH' ELSE 'Mary-Ann Smith' END AS patient_name,
  CAST(CASE WHEN event_id % 48 = 0 THEN 150 WHEN event_id % 49 = 0 THEN -1 WHEN event_id % 9 = 0 THEN 30 ELSE 2025 - (1940 + event_id % 70) END AS BIGINT) AS age,
  CAST(1940 + event_id % 70 AS STRING) || '-06-15' AS date_of_birth,

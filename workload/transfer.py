@@ -219,12 +219,14 @@ def append_copies(spark, sf_dir):
 @query("domain_supply_chain", f"""
 SELECT 'ORD-' || lpad(CAST(o_orderkey AS VARCHAR), 8, '0') AS order_id,
  CASE WHEN {_u('o_orderkey', 'zero')} < 0.02 THEN 0 ELSE CAST(floor({_u('o_orderkey', 'qty')} * 5000) + 1 AS BIGINT) END AS ordered,
- CASE WHEN {_u('o_orderkey', 'null inspector')} >= 0.15 THEN 1 ELSE 0 END AS inspected FROM orders""")
+ CASE WHEN {_u('o_orderkey', 'null inspector')} >= 0.15 THEN 1 ELSE 0 END AS inspected FROM orders
+UNION ALL SELECT 'ORD-' || CAST(o_orderkey + 1000000000 AS VARCHAR),
+ CASE WHEN {_u('(o_orderkey + 1000000000)', 'zero')} < 0.02 THEN 0 ELSE CAST(floor({_u('o_orderkey', 'qty')} * 5000) + 1 AS BIGINT) END,
+ CASE WHEN {_u('o_orderkey', 'null inspector')} >= 0.15 THEN 1 ELSE 0 END FROM orders WHERE {_u('o_orderkey', 'copy')} < 0.05""")
 def domain_supply_chain(spark, sf_dir):
     t = faults.domain_table("supply_chain", table(spark, sf_dir, "orders"), "o_orderkey")
-    copies = F.col("order_id") == F.concat(F.lit("ORD-"), F.lpad(F.col("row_key").cast("string"), 8, "0"))
-    return (t.where(copies).select("order_id", F.abs("quantity").alias("ordered"),
-                    F.col("inspector").isNotNull().cast("int").alias("inspected")))
+    return t.select("order_id", F.abs("quantity").alias("ordered"),
+                    F.col("inspector").isNotNull().cast("int").alias("inspected"))
 
 
 def _domain_check(name: str, base: str, key: str):
