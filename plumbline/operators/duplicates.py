@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, text
 from ..session import cut_lineage
-from .ordering import BROADCAST_ROWS, attach, with_row_number
+from .ordering import attach, with_row_number
 from .rule import graded
 from .table import Table
 
 
+SALT = 0x2545F491       # start of the second hash of a row
+LEAST_VALUES = 10       # fewer values are not compared
 LONG_PAIR = 500     # longer pairs skip the edit-distance test, whose cost grows with the square
 
 
+def wide_hash(*values: Column) -> list[Column]:
+    """Two independent 64-bit hashes of the values; a null differs from every value."""
+    cells = [x for v in values for x in (v, v.isNull())]
+    return [F.xxhash64(*cells).alias("__h1"), F.xxhash64(F.lit(SALT), *cells).alias("__h2")]
+
+
 def repeated_rows(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """One row: total_rows, duplicate_rows (copies after the first), unique_rows, rate.
 
-    Rows are first counted by a 64-bit hash, eight bytes each in the shuffle. Rows whose hash is
-    unique are certainly unique; only the others are grouped by their full content.
+    Rows are grouped by a 128-bit hash of their content, so the shuffle carries sixteen bytes and a
+    count per row, after partial counts.
     """
-    spark = df.sparkSession
-    columns = [f"`{c}`" for c in columns or df.columns]
-    total = df.count()
-    hashed = df.select(*columns, F.xxhash64(*columns).alias("__hash"))
-    again = cut_lineage(hashed.groupBy("__hash").count().where("count > 1").select("__hash"))
-    repeated = again.count()
-    if not repeated:
-        copies = spark.createDataFrame([(0,)], "duplicate_rows bigint")
-    else:
-        # Beyond the limit the rows with a repeated hash are no longer worth picking out first.
-        suspects = hashed if repeated > BROADCAST_ROWS else hashed.join(
-            F.broadcast(again), "__hash", "left_semi")
-        copies = (suspects.groupBy(*columns).count()
-                  .agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")))
-    n = F.lit(total).cast("bigint")
-    return copies.select(
-        n.alias("total_rows"), "duplicate_rows", (n - F.col("duplicate_rows")).alias("unique_rows"),
-        F.when(n > 0, F.round((1 - F.col("duplicate_rows") / n) * 100, 2))
-        .otherwise(100.0).alias("uniqueness_rate"))
+    cells = [F.col(f"`{c}`") for c in columns or df.columns]
+    counts = df.select(*wide_hash(*cells)).groupBy("__h1", "__h2").count()
+    n, copies = F.col("total_rows"), F.col("duplicate_rows")
+    return counts.agg(
+        F.coalesce(F.sum("count"), F.lit(0)).alias("total_rows"),
+        F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows")).select(
+        n, copies, (n - copies).alias("unique_rows"),
+        F.when(n > 0, F.round((1 - copies / n) * 100, 2)).otherwise(100.0).alias("uniqueness_rate"))
 
 
 def id_columns(table: Table) -> list[str]:
@@ -54,6 +51,18 @@ def value_counts(table: Table, columns: list[str]) -> DataFrame:
             .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows")))
 
 
+def repeat_counts(table: Table, columns: list[str]) -> DataFrame:
+    """(column_name, rows): one row per non-null value of several columns, without the value.
+
+    Values are grouped by a 128-bit hash, so long texts stay out of the shuffle.
+    """
+    texts = table.df.select(*[table.col(c).cast("string").alias(c) for c in columns])
+    return (texts.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
+            .where(F.col("value").isNotNull())
+            .groupBy("column_name", *wide_hash(F.col("value")))
+            .agg(F.count(F.lit(1)).alias("rows")).select("column_name", "rows"))
+
+
 def top_values(counts: DataFrame, size: int) -> DataFrame:
     """(column_name, sample_values): the most frequent values, smallest first on ties.
 
@@ -73,7 +82,7 @@ def repeated_ids(table: Table, columns: list[str] | None = None) -> DataFrame:
     if not columns:
         return table.df.sparkSession.createDataFrame(
             [], "column_name string, affected_rows bigint, repeated_values bigint")
-    return (value_counts(table, columns).where(F.col("rows") > 1)
+    return (repeat_counts(table, columns).where(F.col("rows") > 1)
             .groupBy("column_name").agg(F.sum("rows").alias("affected_rows"),
                                         F.count(F.lit(1)).alias("repeated_values")))
 
@@ -130,7 +139,10 @@ def similar_neighbours(table: Table, column: str, threshold: float = 90.0, windo
 
 
 def similar_pairs_issue(table: Table, column: str, total: int, threshold: float = 90.0,
-                        first: int = 0) -> DataFrame:
+                        first: int = 0) -> DataFrame | None:
+    """Issue of the rows that are in any pair; none for a column of fewer than ten values."""
+    if table.df.agg(F.count(table.col(column))).first()[0] < LEAST_VALUES:
+        return None
     pairs = similar_neighbours(table, column, threshold)
     rows = pairs.select(F.explode(F.array("left_key", "right_key")).alias("k")).distinct()
     facts = rows.agg(F.count(F.lit(1)).alias("affected_rows")).select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions import fixed_values as fv
@@ -86,9 +88,19 @@ def exposure_summary(table: Table) -> DataFrame:
         F.max("total_rows").alias("affected_rows")).where("pii_columns > 0"))
 
 
+def masked_examples(kind: str, size: int = 3) -> list[str]:
+    """Different invented values that show the format of a kind only; readable digits count up."""
+    shape = fv.MASKED_SHAPES.get(kind, f"[Protected: {kind}]")
+    out = []
+    for i in range(size):
+        digits = itertools.cycle(str((i + k) % 10) for k in range(1, 11))
+        out.append("".join(next(digits) if c == "#" else c for c in shape))
+    return list(dict.fromkeys(out))
+
+
 def format_examples(spark: SparkSession) -> DataFrame:
-    """(pii_type, masked_examples): invented values that show the format only."""
-    return spark.createDataFrame(list(fv.PII_FORMAT_EXAMPLES.items()),
+    """(pii_type, masked_examples) of every kind."""
+    return spark.createDataFrame([(k, masked_examples(k)) for k in fv.MASKED_SHAPES],
                                  "pii_type string, masked_examples array<string>")
 
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv, scoring, text
-from .duplicates import value_counts
+from .duplicates import repeat_counts, value_counts
 from .quantiles import exact_quantiles
 from .rule import ISSUE_SCHEMA
 from .table import Table
@@ -41,7 +43,7 @@ def column_profile(table: Table, exact: bool = True) -> DataFrame:
     columns = [c for c in table.columns if table.is_simple(c)]
     nulls = null_counts(table).where(F.col("column_name").isin(columns))
     if exact:
-        unique = value_counts(table, columns).groupBy("column_name").agg(
+        unique = repeat_counts(table, columns).groupBy("column_name").agg(
             F.count(F.lit(1)).alias("unique_count"))
     else:
         sketched = table.df.agg(*[F.approx_count_distinct(table.col(c)).alias(f"u{i}")
@@ -61,27 +63,25 @@ def column_profile(table: Table, exact: bool = True) -> DataFrame:
 
 
 def numeric_profile(table: Table) -> DataFrame:
-    """(column_name, minimum, maximum, mean, median, std, q25, q75) per numeric column."""
-    columns = table.numbers
-    facts = exact_quantiles(table.df, {c: table.col(c).cast("double") for c in columns},
-                            [0.25, 0.5, 0.75])
-    columns = [c for c in columns if facts[c]["count"]]
-    aggregates, cells = [], []
-    for i, c in enumerate(columns):
-        v = table.col(c).cast("double")
-        aggregates += [F.min(v).alias(f"lo{i}"), F.max(v).alias(f"hi{i}"), F.avg(v).alias(f"m{i}"),
-                       F.stddev_samp(v).alias(f"s{i}")]
-        q25, q50, q75 = facts[c]["quantiles"]
-        cells.append(F.struct(
-            F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("minimum"),
-            F.col(f"hi{i}").alias("maximum"), F.col(f"m{i}").alias("mean"),
-            F.lit(q50).alias("median"), F.col(f"s{i}").alias("std"), F.lit(q25).alias("q25"),
-            F.lit(q75).alias("q75")))
-    if not cells:
-        return table.df.sparkSession.createDataFrame(
-            [], "column_name string, minimum double, maximum double, mean double, median double, "
-                "std double, q25 double, q75 double")
-    return table.df.agg(*aggregates).select(F.inline(F.array(*cells)))
+    """(column_name, minimum, maximum, mean, median, std, q25, q75, exact_minimum, exact_maximum)
+    per numeric column.
+
+    The exact ones are texts of the values in the column's own type, since a double holds whole
+    numbers up to 2^53 only.
+    """
+    facts = exact_quantiles(table.df, {c: table.col(c).cast("double") for c in table.numbers},
+                            [0.25, 0.5, 0.75], raw={c: table.col(c) for c in table.numbers})
+    rows = []
+    for c, f in facts.items():
+        if f["count"]:
+            n = f["count"]
+            std = f["std"] * math.sqrt(n / (n - 1)) if n > 1 else None
+            q25, q50, q75 = f["quantiles"]
+            rows.append((c, float(f["min"]), float(f["max"]), f["mean"], q50, std, q25, q75,
+                         str(f["min"]), str(f["max"])))
+    return table.df.sparkSession.createDataFrame(
+        rows, "column_name string, minimum double, maximum double, mean double, median double, "
+              "std double, q25 double, q75 double, exact_minimum string, exact_maximum string")
 
 
 def text_profile(table: Table) -> DataFrame:
@@ -130,7 +130,7 @@ def high_cardinality(table: Table, total: int, first: int = 0) -> DataFrame:
     if not near:
         return empty
     share = F.round(F.col("n") * 100 / total, 2)
-    return (value_counts(table, near).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
+    return (repeat_counts(table, near).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
             .where(share > 90)
             .select(F.lit("profiling").alias("dimension"), "column_name",
                     F.lit("high_cardinality").alias("issue_type"),

@@ -2,8 +2,8 @@
 
 A sketch brackets every wanted order statistic, a counting pass says where in the bracket it
 lies, and a last pass fetches it. Each pass is one aggregate over the numeric columns; only a few
-numbers per column and the values of the last, small brackets reach the driver. Small tables
-skip the sketch and use ``percentile``.
+numbers per column and the values of the last, small brackets reach the driver. Tables of all
+sizes go this way.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, functions as F
 
 ACCURACY = 10_000
-SMALL = 6_000_000     # up to this many values, all columns of a pass together, percentile is used
 FETCH = 200_000       # open brackets are fetched once they hold no more values than this together
 COLUMNS_PER_PASS = 16 # more columns are done in turn, so a task holds the sketches of a few only
 
@@ -41,11 +40,13 @@ def _within(c: Column, t: _Target) -> Column:
 
 
 def exact_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: list[float],
-                    small: int = SMALL, fetch: int = FETCH,
-                    accuracy: int = ACCURACY) -> dict[str, dict]:
-    """{name: {"count": n, "quantiles": [...], "mean": m, "std": s}}, linear interpolation.
+                    fetch: int = FETCH, accuracy: int = ACCURACY,
+                    raw: dict[str, Column] | None = None) -> dict[str, dict]:
+    """{name: {"count": n, "quantiles": [...], "mean": m, "std": s, "min": a, "max": b}}.
 
-    ``std`` is the population deviation. Columns without a value have ``quantiles`` None.
+    Quantiles are interpolated linearly. ``std`` is the population deviation. ``min`` and ``max``
+    have the type of the column in ``raw``, by default that in ``columns``. Columns without a value
+    have ``quantiles`` None.
     """
     if not columns:
         return {}
@@ -53,55 +54,45 @@ def exact_quantiles(df: DataFrame, columns: dict[str, Column], probabilities: li
         names, out = list(columns), {}
         for start in range(0, len(names), COLUMNS_PER_PASS):
             part = {n: columns[n] for n in names[start:start + COLUMNS_PER_PASS]}
-            out |= exact_quantiles(df, part, probabilities, small, fetch, accuracy)
+            out |= exact_quantiles(df, part, probabilities, fetch, accuracy, raw)
         return out
-    names = list(columns)
+    names, raw = list(columns), raw or columns
     row = df.agg(*[a for i, n in enumerate(names) for a in (
         F.count(columns[n]).alias(f"n{i}"), F.avg(columns[n]).alias(f"m{i}"),
-        F.stddev_pop(columns[n]).alias(f"s{i}"))]).first()
+        F.stddev_pop(columns[n]).alias(f"s{i}"), F.min(raw[n]).alias(f"a{i}"),
+        F.max(raw[n]).alias(f"b{i}"))]).first()
     facts = {n: {"count": row[f"n{i}"], "mean": row[f"m{i}"], "std": row[f"s{i}"],
-                 "quantiles": None} for i, n in enumerate(names)}
-    filled = [n for n in names if facts[n]["count"]]
-    easy = []
-    for n in sorted(filled, key=lambda n: facts[n]["count"]):
-        if sum(facts[e]["count"] for e in easy) + facts[n]["count"] <= small:
-            easy.append(n)
-    if easy:
-        row = df.agg(*[F.percentile(columns[n], F.array(*map(F.lit, probabilities))).alias(f"q{i}")
-                       for i, n in enumerate(easy)]).first()
-        for i, n in enumerate(easy):
-            facts[n]["quantiles"] = list(row[f"q{i}"])
-    hard = [n for n in filled if n not in easy]
-    if hard:
-        ranks = {}
-        for n in hard:
-            last = facts[n]["count"] - 1
-            wanted = set()
-            for p in probabilities:
-                wanted |= {math.floor(last * p), math.ceil(last * p)}
+                 "min": row[f"a{i}"], "max": row[f"b{i}"], "quantiles": None}
+             for i, n in enumerate(names)}
+    ranks = {}
+    for n in names:
+        last = facts[n]["count"] - 1
+        if last >= 0:
+            wanted = {f(last * p) for p in probabilities for f in (math.floor, math.ceil)}
             ranks[n] = {r: _Target(r, inside=last + 1) for r in wanted}
-        _resolve(df, columns, ranks, fetch, accuracy)
-        for n in hard:
-            last = facts[n]["count"] - 1
-            out = []
-            for p in probabilities:
-                at = last * p
-                low, high = (ranks[n][r].value for r in (math.floor(at), math.ceil(at)))
-                out.append(low + (high - low) * (at - math.floor(at)))
-            facts[n]["quantiles"] = out
+    _resolve(df, columns, ranks, fetch, accuracy)
+    for n, found in ranks.items():
+        out = []
+        for p in probabilities:
+            at = (facts[n]["count"] - 1) * p
+            low, high = (found[r].value for r in (math.floor(at), math.ceil(at)))
+            out.append(low if low == high else low + (high - low) * (at - math.floor(at)))
+        facts[n]["quantiles"] = out
     return facts
 
 
 def _resolve(df: DataFrame, columns: dict, ranks: dict, fetch: int, accuracy: int) -> None:
-    """Narrow every open target until its value is known."""
+    """Narrow every open target until its value is known; the first step is a sketch."""
+    sketched = False
     while True:
         todo = [(n, t) for n, ts in ranks.items() for t in ts.values() if t.value is None]
         if not todo:
             return
         near = []
         for n, t in sorted(todo, key=lambda x: x[1].inside):
-            if sum(u.inside for _, u in near) + t.inside <= fetch:
+            if sketched and sum(u.inside for _, u in near) + t.inside <= fetch:
                 near.append((n, t))
+        sketched = True
         if near:
             open_brackets = {(n, t.low, t.high): t for n, t in near}
             row = df.agg(*[F.sort_array(F.collect_list(

@@ -8,14 +8,14 @@ comparison when a row key is given. Only issue rows and a few counts reach the d
 from __future__ import annotations
 
 import datetime as dt
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import DataFrame
 
 from ..functions import fixed_values as fv
 from ..operators import checks, declared, duplicates, entities, outliers, privacy, profile
 from ..operators.quantiles import exact_quantiles
-from ..operators.rule import ISSUE_SCHEMA, Rule, measure
+from ..operators.rule import ISSUE_SCHEMA, Rule, measure, samples
 from ..operators.table import Table
 from . import scores as score_plan
 
@@ -133,6 +133,8 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
     counts = {r["column_name"]: r["affected_rows"] for r in measured if r["dimension"] == "__facts"}
     total = counts["rows"]
     rows = [tuple(r) for r in measured if r["dimension"] != "__facts"]
+    if row_key:
+        rows = _with_samples(rows, table, rules, config.get("samples", 3))
     if "pii_security" in wanted:
         rows = _with_exposure(rows, table, total)
 
@@ -144,8 +146,10 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
             check_errors["near_duplicates"] = "left out: neighbours need a row key"
         if row_key and config.get("near_duplicates", True):
             for i, c in enumerate(duplicates.similar_columns(table)):
-                found.append(duplicates.similar_pairs_issue(
-                    table, c, total, config.get("fuzzy_threshold", 90), first=1000 + i))
+                part = duplicates.similar_pairs_issue(
+                    table, c, total, config.get("fuzzy_threshold", 90), first=1000 + i)
+                if part is not None:
+                    found.append(part)
     if total and "profiling" in wanted:
         found.append(profile.high_cardinality(table, total, first=10_000))
     if total and "survivorship" in wanted:
@@ -167,6 +171,26 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
     return Analysis(domain, issues, score_plan.dimension_scores(issues, facts, ran), facts, errors)
 
 
+def _with_samples(rows: list[tuple], table: Table, rules: list[Rule], size: int) -> list[tuple]:
+    """The first offending values, in row-key order, of the predicate rules that found rows.
+
+    One more scan, over the rules with issues only; each task passes on ``size`` values a rule.
+    Personal data is not sampled.
+    """
+    hit = {tuple(r[:3]) for r in rows if r[4] and r[0] != "pii_security"}
+    broken = []
+    for rule in rules:
+        if (rule.dimension, rule.column, rule.issue_type) in hit and rule.predicate is not None:
+            if rule.value is None and rule.column in table.columns:
+                rule = replace(rule, value=table.text(rule.column))
+            broken.append(rule)
+    if not broken or size < 1:
+        return rows
+    found = {tuple(r[:3]): r["sample_values"] for r in samples(table, broken, size).collect()}
+    return [(*r[:10], [v for v in found.get(tuple(r[:3]), r[10]) if v is not None], *r[11:])
+            for r in rows]
+
+
 def _with_exposure(rows: list[tuple], table: Table, total: int) -> list[tuple]:
     """Put the summary in front of the personal-data issues and show masked formats only."""
     kinds = dict(privacy._named(table))
@@ -175,8 +199,7 @@ def _with_exposure(rows: list[tuple], table: Table, total: int) -> list[tuple]:
         if r[0] == "pii_security":
             columns.append(r[1])
             kind = kinds.get(r[1]) or next((k for k, _ in fv.PII_PATTERNS if f" {k}:" in r[3]), "")
-            examples = fv.PII_FORMAT_EXAMPLES.get(kind, [f"[Protected: {kind}]"] * 3)
-            r = (*r[:10], examples[:min(3, r[4])], r[11])
+            r = (*r[:10], privacy.masked_examples(kind, min(3, r[4])), r[11])
         out.append(r)
     if columns:
         share = 100.0 * len(columns) / len(table.columns)

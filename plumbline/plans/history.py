@@ -98,9 +98,13 @@ class Store:
                 json.dumps({"dimensions": overall["dimensions"],
                             "issues": overall["total_issues"], "errors": analysis.errors}))]
         self.append("analysis_runs", self.spark.createDataFrame(run, SCHEMAS["analysis_runs"]))
-        self.append("dimension_scores", analysis.scores.select(
+        # Details: rows per column and issue type, and the share of rows; a few entries a dimension.
+        details = analysis.issues.groupBy("dimension").agg(F.to_json(F.array_sort(F.collect_list(F.struct(
+            "column_name", "issue_type", "affected_rows", "affected_pct")))).alias("details_json"))
+        self.append("dimension_scores", analysis.scores.join(details, "dimension", "left").select(
             F.lit(run_id).cast("bigint").alias("run_id"), "dimension",
-            F.round("score", 2).alias("score"), F.col("issues_found").cast("bigint"), "severity"))
+            F.round("score", 2).alias("score"), F.col("issues_found").cast("bigint"), "severity",
+            F.coalesce("details_json", F.lit("[]")).alias("details_json")))
         issues = analysis.issues
         if row_keys is not None:
             issues = issues.join(row_keys, ["dimension", "column_name", "issue_type"], "left")

@@ -71,7 +71,7 @@ def dimension_scores(issues: DataFrame, facts: Facts, dimensions: list[str]) ->
     A clean dimension has no issue row; it enters as one empty row so that every formula sees it.
     """
     spark = issues.sparkSession
-    every = spark.createDataFrame([(d, fv.DIMENSION_NAMES[d]) for d in dimensions],
+    every = spark.createDataFrame([(d, d.replace("_", " ").capitalize()) for d in dimensions],
                                   "dimension string, display_name string")
     joined = F.broadcast(every).join(issues, "dimension", "left").selectExpr(
         "dimension", "display_name", "issue_type IS NOT NULL AS real",

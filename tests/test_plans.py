@@ -1,6 +1,7 @@
 """Whole checks, history and reports."""
 
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
@@ -57,10 +58,25 @@ def test_personal_values_never_show(spark):
     done = analyze(inputs.view(spark, SMALL, "dirty_customers"), AS_OF, "finance", "row_key",
                    dimensions=["pii_security"])
     rows = {r["column_name"]: r for r in done.issues.collect()}
-    assert rows["email"]["sample_values"] == ["j***n@gmail.com", "m***e@corp.org", "p***r@health.net"]
+    assert rows["email"]["sample_values"] == ["u***1@***", "u***2@***", "u***3@***"]
     assert rows["DATASET"]["severity"] == "HIGH" and rows["DATASET"]["affected_pct"] == 1.0
 
 
+def test_issues_carry_the_first_values(spark):
+    df = spark.createDataFrame([(i, i % 5 - 2, None if i < 3 else "x") for i in range(20)], "k int, quantity int, note string")
+    done = analyze(df, AS_OF, row_key="k", dimensions=["validity", "completeness"])
+    got = {r["issue_type"]: r["sample_values"] for r in done.issues.collect()}
+    assert [float(v) for v in got["range_violation"]] == [-2.0, -1.0, 0.0] and got["missing_values"] == []
+
+
+def test_dimension_details_are_stored(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "x")], "k int, s string")
+    store = history.Store(spark, str(tmp_path / "details"))
+    store.log_run(analyze(df, AS_OF, row_key="k", dimensions=["completeness", "validity"]), "t", dt.datetime(2026, 1, 1), 1.0)
+    got = {r["dimension"]: json.loads(r["details_json"]) for r in store.read("dimension_scores").collect()}
+    assert got["validity"] == [] and got["completeness"][0]["affected_rows"] == 1
+
+
 def test_clean_and_empty_tables(spark):
     df = spark.createDataFrame([(i, f"r{i}") for i in range(50)], "k int, remark string")
     done = analyze(df, AS_OF, row_key="k", dimensions=["completeness", "validity", "uniqueness"])

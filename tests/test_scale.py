@@ -22,10 +22,10 @@ from .helpers import indel
     [1e9] * 5 + [float(i % 3) for i in range(4000)],
     [float(i) for i in range(2001)],
 ])
-def test_large_path_of_quantiles_is_exact(spark, values):
+def test_quantiles_are_exact(spark, values):
     df = spark.createDataFrame([(v,) for v in values] + [(None,)], "x double").repartition(8)
     probabilities = [0.0, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = exact_quantiles(df, {"x": F.col("x")}, probabilities, small=10, fetch=20, accuracy=100)["x"]
+    got = exact_quantiles(df, {"x": F.col("x")}, probabilities, fetch=20, accuracy=100)["x"]
     assert got["count"] == len(values)
     assert got["quantiles"] == pytest.approx(list(np.quantile(values, probabilities)), rel=1e-12)
 
@@ -93,6 +93,15 @@ def test_repeated_rows_exactly(spark):
     assert none["duplicate_rows"] == 0
 
 
+def test_nulls_and_empty_tables_in_repeated_rows(spark):
+    rows = [(None, "a"), ("a", None), ("a", None), ("", None), (None, None), (None, None)]
+    df = spark.createDataFrame(rows, "a string, b string")
+    got = duplicates.repeated_rows(df).first()
+    assert (got["total_rows"], got["duplicate_rows"], got["unique_rows"]) == (6, 2, 4)
+    none = duplicates.repeated_rows(df.where("false")).first()
+    assert (none["total_rows"], none["duplicate_rows"], none["uniqueness_rate"]) == (0, 0, 100.0)
+
+
 def test_hot_ids(spark):
     rows = [(i, "hot" if i % 3 == 0 else None if i % 5 == 0 else str(i)) for i in range(900)]
     df = spark.createDataFrame(rows, "k int, order_id string")

@@ -132,14 +132,16 @@ def _rounded(df, skip=("column_name",), places=4):
 
 @query("numeric_profile", _numeric_sql(O, ["quantity", "unit_price", "total_amount"]))
 def numeric_profile(spark, sf_dir):
-    return _rounded(profile.numeric_profile(keyed(spark, sf_dir, O)))
+    return _rounded(profile.numeric_profile(keyed(spark, sf_dir, O))
+                    .drop("exact_minimum", "exact_maximum"))
 
 
 @query("numeric_profile_lineitem", _numeric_sql("lineitem", [
     "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice",
     "l_discount", "l_tax"]))
 def numeric_profile_lineitem(spark, sf_dir):
-    return _rounded(profile.numeric_profile(Table(table(spark, sf_dir, "lineitem"))))
+    return _rounded(profile.numeric_profile(Table(table(spark, sf_dir, "lineitem")))
+                    .drop("exact_minimum", "exact_maximum"))
 
 
 def _text_sql(v: str, columns: list[str]) -> str:
@@ -772,7 +774,7 @@ def pii_exposure_summary(spark, sf_dir):
     return privacy.exposure_summary(keyed(spark, sf_dir, C))
 
 
-EXAMPLES = ", ".join("('%s', '%s')" % (k, " | ".join(x)) for k, x in fv.PII_FORMAT_EXAMPLES.items())
+EXAMPLES = ", ".join("('%s', '%s')" % (k, " | ".join(privacy.masked_examples(k))) for k in fv.MASKED_SHAPES)
 
 
 @query("pii_masked_samples", f"""
