@@ -9,6 +9,7 @@ its squared Mahalanobis distance to its group's final estimate is beyond ``CUT``
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -18,12 +19,15 @@ from .common import stored
 BLANKS = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 STATS = ("x1", "x2", "x3", "x4", "x5")
+CORE, STEPS, LEAST = 0.75, 4, 30
+#: Median and 0.999 quantile of the chi-square distribution with five degrees of freedom; the
+#: quantile is the rejection limit.
+CHI_MEDIAN, CUT = 4.351460, 20.515006
+#: Where the core of a group has none at all, a share of more than so many percent is rejected.
+SHARE = 20.0
 #: Least standard deviations of the transformed statistics. Most texts have no symbols or repeated
 #: lines at all, so without a floor a single one would be infinitely far.
-FLOORS = (0.30, 0.10, 0.60, 0.80, 0.80)
-CORE, STEPS, LEAST = 0.75, 4, 30
-#: Median of the chi-square distribution with five degrees of freedom, and the rejection limit.
-CHI_MEDIAN, CUT = 4.351460, 60.0
+FLOORS = (0.30, 0.10, *[math.log1p(SHARE) / math.sqrt(CUT)] * 3)
 
 
 def let(value: Column, use) -> Column:

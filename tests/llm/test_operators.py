@@ -1,6 +1,7 @@
 """Operators against brute force, library round trips, held-out accuracy and odd rows."""
 
 import hashlib
+import math
 import struct
 
 import numpy as np
@@ -124,6 +125,40 @@ def test_outliers_against_numpy(spark):
     assert np.abs(center - x[40:].mean(0)).max() < 0.6
 
 
+def judged_rows(spark, planted, groups):
+    """{id: row} of planted [(id, text, lang, source)] among clean texts, ``groups`` {(lang, source): texts}"""
+    rng, rows = np.random.default_rng(7), list(planted)
+    for (lang, source), n in groups.items():
+        rows += [(1000 + len(rows), clean(rng), lang, source) for _ in range(n)]
+    found = rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    return {r.doc_id: r for r in found.collect()}
+
+
+def clean(rng, lines=20):
+    return "\n".join(" ".join("".join(map(chr, rng.integers(97, 123, k))) for k in rng.integers(2, 9, 8))
+                     for _ in range(lines + rng.integers(0, 9)))
+
+
+def junk(rng):
+    """Texts that pass the base rule: half of the words and nearly all lines repeated; a symbol a word;
+    very long words."""
+    words = clean(rng).split()
+    same = "\n".join([" ".join(words[:3])] * 20 + [" ".join(words[3:70])])
+    return [same, " ".join(w + "#" for w in words), " ".join(w * 4 for w in words)]
+
+
+def test_planted_junk_is_rejected(spark):
+    rng = np.random.default_rng(8)
+    bad = junk(rng)
+    rows = judged_rows(spark, [(i, t, "en", "a") for i, t in enumerate(bad)], {("en", "a"): 200})
+    assert not any(rows[i].base_failed or rows[i].kept for i in range(len(bad)))
+    good = [r.kept for i, r in rows.items() if i >= 1000]
+    assert sum(good) >= 0.99 * len(good)
+    # Each share alone can pass the limit.
+    assert all((math.log1p(most) / floor) ** 2 > rules.CUT
+               for most, floor in zip((100, 100, 50), rules.FLOORS[2:]))
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     by = {}
