@@ -4,7 +4,8 @@ Only DataFrame functions are used. Counts are taken inside each row, so texts ar
 The outlier rule follows the minimum covariance determinant: from a robust start, concentration
 steps take the ``CORE`` share of a group that lies nearest to the present estimate and estimate
 mean and covariance from it again, which lowers the determinant each time. A text is rejected if
-its squared Mahalanobis distance to its group's final estimate is beyond ``CUT``.
+its squared Mahalanobis distance to its group's final estimate is beyond ``CUT``. Small groups take the
+estimate of their language, or of the whole table.
 """
 
 from __future__ import annotations
@@ -161,15 +162,45 @@ def estimates(points: DataFrame, keys: list[str], steps: int = STEPS, core: floa
         "scale", F.greatest(F.expm1("half") / CHI_MEDIAN, F.lit(1.0))).drop("half")
 
 
+def levels(points: DataFrame, keys: list[str], least: int) -> tuple[DataFrame, DataFrame]:
+    """Which estimate judges each group, and which estimates each group's texts take part in.
+
+    An estimate is named by ``level``, the number of leading keys it is made over, and by those keys
+    (e0, e1, ...; empty beyond the level). A group is judged by the longest prefix of its keys that
+    has ``least`` texts, at last by the whole table, however small. The first table has one row per
+    group, the second one per group and estimate in use that the group belongs to.
+    """
+    p = len(keys)
+    names = [f"e{i}" for i in range(p)]
+
+    def prefix(level):
+        return [(F.col(k) if i < level else F.lit("")).alias(e) for i, (k, e) in enumerate(zip(keys, names))]
+
+    sizes = stored(points.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")))
+    level = F.when(F.col("n") >= least, p)
+    found = sizes
+    for j in range(p - 1, 0, -1):
+        found = found.join(sizes.groupBy(*keys[:j]).agg(F.sum("n").alias(f"n{j}")), keys[:j])
+        level = level.when(F.col(f"n{j}") >= least, j)
+    named = [F.when(F.col("level") > i, F.col(k)).otherwise("").alias(e)
+             for i, (k, e) in enumerate(zip(keys, names))]
+    judges = stored(found.withColumn("level", level.otherwise(0)).select(*keys, "level", *named))
+    used = judges.select("level", *names).distinct()
+    member = [sizes.select(*keys, F.lit(j).alias("level"), *prefix(j)) for j in range(p + 1)]
+    return judges, reduce(DataFrame.unionByName, member).join(used, ["level", *names], "left_semi")
+
+
 def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
           groups: tuple = ("lang", "source"), cut: float = CUT, least: int = LEAST) -> DataFrame:
     """(id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, distance, kept).
 
     ``base_failed``: fewer than 50 words, or more than half of them in repeated windows of three.
-    The other texts are compared within their language and source (null is a group of its own);
-    groups of fewer than ``least`` texts have no estimate and keep all. ``distance`` is the scaled
-    squared distance, null where there is none. A null or empty text has no words and fails. Equal
-    rows get equal answers; an empty table gives an empty one; other columns are ignored.
+    The other texts are compared within their language and source (null is a group of its own).
+    Groups of fewer than ``least`` texts are judged by the estimate of their language, languages of
+    fewer by that of the whole table; these are made over all their texts, large groups included.
+    ``distance`` is the scaled squared distance, null where the base rule failed. A null or empty
+    text has no words and fails. Equal rows get equal answers; an empty table gives an empty one;
+    other columns are ignored.
     """
     keys = [f"k{i}" for i in range(len(groups))]
     counted = stored(counts(docs, id_column, text, groups))
@@ -179,8 +210,10 @@ def judge(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
                                    for i in range(len(groups))}})
     rows = rows.select("*", *transformed())
     points = rows.where(~F.col("base_failed")).select(*keys, *STATS)
-    found = estimates(points, keys)
-    judged = rows.join(found.where(F.col("n") >= least), keys, "left")
+    judges, members = levels(points, keys, least)
+    names = ["level", *[f"e{i}" for i in range(len(groups))]]
+    found = estimates(stored(points.join(members, keys).select(*names, *STATS)), names)
+    judged = rows.join(judges.join(found, names).drop(*names), keys, "left")
     far = F.when(~F.col("base_failed"), distance() / F.col("scale"))
     return judged.withColumn("distance", far).select(
         F.col("id").alias(id_column), "n_words", "word_chars", "n_symbols", "n_dup_lines",

@@ -159,6 +159,22 @@ def test_planted_junk_is_rejected(spark):
                for most, floor in zip((100, 100, 50), rules.FLOORS[2:]))
 
 
+def test_small_groups_are_judged(spark):
+    """By their language if it has enough texts, else by the whole table."""
+    rng = np.random.default_rng(9)
+    bad = junk(rng)
+    planted = [(10 * k + i, t, *g) for k, g in enumerate([("en", "tail"), ("fr", "tail"), (None, None)])
+               for i, t in enumerate(bad)]
+    hot = {("en", "a"): 200, ("en", "tail"): 5, ("fr", "tail"): 4, ("en", "b"): 1, (None, None): 2}
+    rows = judged_rows(spark, planted, hot)
+    assert all(r.distance is not None for r in rows.values())
+    assert not any(rows[p[0]].kept for p in planted)
+    good = [r.kept for i, r in rows.items() if i >= 1000]
+    assert sum(good) >= 0.98 * len(good)
+    small = judged_rows(spark, planted[:1], {("en", "a"): 12, ("fr", "b"): 12})     # fewer than LEAST in all
+    assert not small[0].kept and all(r.kept for i, r in small.items() if i)
+
+
 def test_mix(docs):
     rows = mixing.mix(docs).collect()
     by = {}
