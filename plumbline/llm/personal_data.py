@@ -60,6 +60,9 @@ _PLAIN = re.compile(
     r"(?i)(?<=[A-Za-z0-9])(\s{1,3}at\s{1,3})([a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){0,5}"
     r"\s{1,3}dot\s{1,3}(?:" + "|".join(ENDINGS) + r"))(?![A-Za-z0-9-])")
 _DOT = re.compile(r"(?i)\s{1,3}dot\s{1,3}")
+_JOINT = re.compile(r"(?i)[\s,-]{1,3}(?:dot|point)[\s,-]{1,3}")
+_QUAD = re.compile(
+    r"(?i)(?<![0-9])[0-9]++(?:(?:[\s,-]{1,3}(?:dot|point)[\s,-]{1,3}|\.)[0-9]++){3}")
 
 
 def luhn(digits: str) -> bool:
@@ -161,22 +164,34 @@ def _plain_words(text: str) -> list[tuple[int, int, str]]:
     return edits
 
 
+def _quads(text: str) -> list[tuple[int, int, str]]:
+    """Four numbers joined by "dot"."""
+    return [(d.start(), d.end(), ".") for m in _QUAD.finditer(text)
+            for d in _JOINT.finditer(text, m.start(), m.end())]
+
+
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Identifiers that show only after rewriting, in source characters."""
+    """Identifiers that show only after rewriting, in source characters.
+
+    Each transducer is left out only where the text lacks what every match of it must contain.
+    """
     tape = Tape(text)
     if not text.isascii():
         tape.rewrite([(m.start(), m.end(), _CHARS[m[0]]) for m in _CHAR.finditer(text)])
     low = tape.text.lower()
-    if sum(map(low.count, DIGIT_WORDS)) >= 4:
+    if any(word in low for word in DIGIT_WORDS):
         tape.rewrite(_spelled(tape.text))
-    if "at" in low or "@" in low:
+    if any(c in low for c in "@[({<"):
         tape.rewrite(_disguises(tape.text))
-        if "dot" in low:
+    if "dot" in low or "point" in low:
+        tape.rewrite(_quads(tape.text))
+    if "dot" in low:
+        if "at" in low:
             tape.rewrite(_plain_words(tape.text))
-            if "@" in tape.text:        # a plain "dot" after a bracketed "at"
-                tape.rewrite([(d.start(), d.end(), ".") for m in re.finditer(
-                    r"(?i)@[a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){0,5}", tape.text)
-                    for d in _DOT.finditer(tape.text, m.start(), m.end())])
+        if "@" in tape.text:        # a plain "dot" after an "at" in brackets
+            tape.rewrite([(d.start(), d.end(), ".") for m in re.finditer(
+                r"(?i)@[a-z0-9-]{1,63}(?:(?:\s{1,3}dot\s{1,3}|\.)[a-z0-9-]{1,63}){0,5}", tape.text)
+                for d in _DOT.finditer(tape.text, m.start(), m.end())])
     if not tape.changed:
         return []
     changed = sorted(tape.changed)

@@ -107,6 +107,23 @@ def test_disguises(text, found):
     assert personal_data.named(extra) == found
 
 
+@pytest.mark.parametrize("text, found", [
+    ("call +1 555 one two three 4567", "phone:5:30"),
+    ("10 dot 0 dot zero dot one", "ip:0:25"),
+    ("10[.]0[.]0[.]1", "ip:0:14"),
+    ("10 (dot) 0 (dot) 0 (dot) 1", "ip:0:26"),
+    ("192 dot 168 dot 1 dot 1", "ip:0:23"),
+    ("192.168 dot 1 [.] 1", "ip:0:19"),
+    ("192 Punkt 168 point 1 point 1", ""),
+    ("300 dot 168 dot 1 dot 1", ""),
+    ("version 2 dot 5 dot 1", "")])
+def test_disguises_do_not_depend_on_other_words(text, found):
+    for around in ("", " someone on the phone at one dot (at) @ "):
+        whole = text + around
+        assert personal_data.named(personal_data.disguised(whole, personal_data.identifiers(whole))) == found
+        assert (found == "") == (personal_data.redact_text(whole) == whole)
+
+
 def test_rules(docs, texts, odd):
     for r in rules.judge(docs).collect():
         got = (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed)
