@@ -1,4 +1,5 @@
-"""Operators for preparing training data. Nothing else in the library imports this package.
+"""Operators for preparing training data. Of the library, only the near
+duplicates of ``operators/duplicates`` import this package.
 
 Functions that run in tasks are sent whole, so executors need not have the package installed.
 """

@@ -147,7 +147,8 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
         if row_key and config.get("near_duplicates", True):
             for i, c in enumerate(duplicates.similar_columns(table)):
                 part = duplicates.similar_pairs_issue(
-                    table, c, total, config.get("fuzzy_threshold", 90), first=1000 + i)
+                    table, c, total, config.get("fuzzy_threshold", 90), first=1000 + i,
+                    window=config.get("near_duplicates_window"))
                 if part is not None:
                     found.append(part)
     if total and "profiling" in wanted:

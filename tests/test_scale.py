@@ -85,6 +85,35 @@ def test_neighbours_of_long_texts(spark):
     assert got == brute_neighbours(rows, 90, 19) and got
 
 
+def test_similar_rows_over_the_whole_table(spark):
+    """Short values exactly as brute force, at any distance; the issue counts their rows."""
+    rng = random.Random(11)
+    names = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 20))) for _ in range(60)]
+    names += [n[:i] + "z" + n[i + rng.randint(0, 1):] for n in names for i in [rng.randrange(len(n))]]
+    names += names[:10] + ["", None, f"Customer#{7:09}", f"Customer#{8:09}", f"Customer#{77:09}"]
+    rng.shuffle(names)
+    rows = list(enumerate(names))
+    t = Table(spark.createDataFrame(rows, "k int, customer_name string").repartition(5), "k")
+    wanted = brute_neighbours(rows, 90, len(rows))
+    assert any(b - a > 19 for a, b in wanted)
+    got = [(r["left_key"], r["right_key"]) for r in duplicates.similar_rows(t, "customer_name").collect()]
+    assert len(got) == len(set(got)) and set(got) == wanted
+    issue = duplicates.similar_pairs_issue(t, "customer_name", len(rows)).first()
+    assert issue["affected_rows"] == len({k for pair in wanted for k in pair})
+
+
+def test_similar_rows_of_middle_and_long_texts(spark):
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [4, 6, 9, 15, 30, 36, 45] * 7]
+    copies = [" ".join(rng.choice(words) if rng.random() < 0.04 else w for w in t.split()) for t in texts]
+    rows = list(enumerate(texts + copies))
+    t = Table(spark.createDataFrame(rows, "k int, name string"), "k")
+    wanted = brute_neighbours(rows, 90, len(rows))
+    got = {(r["left_key"], r["right_key"]) for r in duplicates.similar_rows(t, "name").collect()}
+    assert got <= wanted and len(got) >= 0.97 * len(wanted) and len(wanted) > 20
+
+
 def test_repeated_rows_exactly(spark):
     rows = [(1, "a", None), (1, "a", None), (1, "a", None), (2, "b", 1.0), (2, "b", -0.0), (2, "b", 0.0)]
     got = duplicates.repeated_rows(spark.createDataFrame(rows, "i int, s string, x double")).first()

@@ -299,8 +299,7 @@ def near_duplicates(spark, sf_dir):
 @query("near_duplicates_documents")
 def near_duplicates_documents(spark, sf_dir):
     t = Table(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return duplicates.similar_neighbours(t, "text").select(
-        "left_key", "right_key", F.round("ratio", 4).alias("ratio"))
+    return duplicates.similar_rows(t, "text").withColumn("ratio", F.round("ratio", 4))
 
 
 @query("uniqueness_issues", f"""
