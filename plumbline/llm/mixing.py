@@ -104,8 +104,9 @@ def schedule(aims: DataFrame, block: int = BLOCK) -> DataFrame:
     short = (need.withColumn("s", key).join(made, "s", "left")
              .withColumn("made", F.coalesce("made", F.lit(0)))
              .where(F.col("made") < F.col("slots"))
+             .withColumn("end", total + F.sum(F.col("slots") - F.col("made")).over(before))
              .withColumn("r", F.explode(F.sequence("made", F.col("slots") - 1)))
-             .select((F.col("r") + total).alias("slot"), "source", "r"))
+             .select((F.col("end") - F.col("slots") + F.col("r")).alias("slot"), "source", "r"))
     return given.unionByName(short)
 
 
@@ -130,19 +131,12 @@ def streams(sized: DataFrame) -> DataFrame:
             .select("id", "source", "s", "size", (F.col("ahead") + F.col("near")).alias("begin")))
 
 
-def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
-        weights: tuple = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
-    """(id, source, size, source_size, target, taken): how many words of each document the mix takes.
+def slot_parts(rows: DataFrame, aims: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(slot, at, s, begin, id, source, first, end): the words of each document that a slot takes.
 
-    Slots are joined with the blocks of their source. Slot r covers the words [r * block,
-    (r + 1) * block) of the source's stream, cut at its quota; the stream repeats, so a document is
-    taken once per round, at most ``repeats`` times. The sum per source is its quota. Null texts
-    and texts without words have size 0 and are not taken; a null source is a source of its own.
-    Repeated rows are documents of their own, ties in the shuffle go by id and size. An empty table
-    gives an empty one; other columns are ignored.
+    ``first`` and ``end`` (exclusive) count words of the document, ``at`` is the place of the first
+    of them in the slot. A document of a small source can come in a slot once per round.
     """
-    sized = stored(sizes(docs, id_column, text, source))
-    aims = stored(targets(sized, weights, repeats))
     key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
     slots = (schedule(aims, block).withColumn("s", key)
              .join(aims.withColumn("s", key).select("s", "source_size", "quota"), "s")
@@ -152,22 +146,55 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source:
     rounds = F.sequence(F.floor(F.col("from") / F.col("source_size")),
                         F.floor((F.col("to") - 1) / F.col("source_size")))
     cover = (slots.withColumn("round", F.explode(rounds))
-             .withColumn("a", F.greatest(F.col("from") - F.col("round") * F.col("source_size"), F.lit(0)))
+             .withColumn("base", F.col("round") * F.col("source_size") - F.col("from"))
+             .withColumn("a", F.greatest(-F.col("base"), F.lit(0)))
              .withColumn("b", F.least(F.col("to") - F.col("round") * F.col("source_size"), "source_size"))
              .withColumn("block", F.explode(F.sequence(F.floor(F.col("a") / block),
                                                        F.floor((F.col("b") - 1) / block))))
-             .select("s", "block",
-                     F.greatest("a", F.col("block") * block).alias("a"),
-                     F.least("b", (F.col("block") + 1) * block).alias("b")))
-    rows = streams(sized)
+             .select("s", "block", "slot", "base", "a", "b"))
     pieces = (rows.where(F.col("size") > 0)
               .withColumn("block", F.explode(F.sequence(
                   F.floor(F.col("begin") / block),
                   F.floor((F.col("begin") + F.col("size") - 1) / block)))))
-    shared = F.least("b", F.col("begin") + F.col("size")) - F.greatest("a", "begin")
-    taken = (pieces.join(cover, ["s", "block"])
-             .withColumn("words", F.greatest(shared, F.lit(0)))
-             .groupBy("s", "begin").agg(F.sum("words").alias("taken")))
+    first = F.greatest("a", "begin", F.col("block") * block)
+    end = F.least("b", F.col("begin") + F.col("size"), (F.col("block") + 1) * block)
+    # A document's parts in two blocks that one slot covers are one part.
+    return (pieces.join(cover, ["s", "block"]).withColumn("first", first).withColumn("end", end)
+            .where("first < end").groupBy("slot", "base", "s", "begin", "id", "source")
+            .agg(F.min("first").alias("first"), F.max("end").alias("end"))
+            .select("slot", (F.col("base") + F.col("first")).alias("at"), "s", "begin", "id", "source",
+                    (F.col("first") - F.col("begin")).alias("first"),
+                    (F.col("end") - F.col("begin")).alias("end")))
+
+
+def mixed(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
+          weights: tuple = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
+    """The mix itself, (slot, at, id, source, first_word, end_word): ordered by slot and at, the word
+    ranges are the mixed stream. ``end_word`` is exclusive. See ``mix`` for odd rows."""
+    sized = stored(sizes(docs, id_column, text, source))
+    aims = stored(targets(sized, weights, repeats))
+    return slot_parts(streams(sized), aims, block).select(
+        "slot", "at", F.col("id").alias(id_column), F.col("source").alias(source),
+        F.col("first").alias("first_word"), F.col("end").alias("end_word"))
+
+
+def mix(docs: DataFrame, id_column: str = "doc_id", text: str = "text", source: str = "source",
+        weights: tuple = WEIGHTS, repeats: int = REPEATS, block: int = BLOCK) -> DataFrame:
+    """(id, source, size, source_size, target, taken): how many words of each document the mix takes.
+
+    The words are summed over the mix (``mixed``). Slot r of a source covers the words [r * block,
+    (r + 1) * block) of the source's stream, cut at its quota; the stream repeats, so a document is
+    taken once per round, at most ``repeats`` times. The sum per source is its quota. Null texts
+    and texts without words have size 0 and are not taken; a null source is a source of its own.
+    Repeated rows are documents of their own, ties in the shuffle go by id and size. An empty table
+    gives an empty one; other columns are ignored.
+    """
+    sized = stored(sizes(docs, id_column, text, source))
+    aims = stored(targets(sized, weights, repeats))
+    key = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))
+    rows = streams(sized)
+    taken = (slot_parts(rows, aims, block).groupBy("s", "begin")
+             .agg(F.sum(F.col("end") - F.col("first")).alias("taken")))
     # Documents with words begin at different places of their source's stream.
     place = F.when(F.col("size") > 0, F.col("begin"))
     return (rows.withColumn("place", place)

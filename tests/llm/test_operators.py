@@ -203,6 +203,31 @@ def test_mix(docs):
     assert rows == mixing.mix(docs).collect() or sorted(rows) == sorted(mixing.mix(docs).collect())
 
 
+def test_mixed_slots(docs):
+    """The slots of a source, in order, are its stream; every stretch holds the sources in their shares."""
+    taken = {r.doc_id: r for r in mixing.mix(docs, block=64).collect()}
+    rows = sorted(mixing.mixed(docs, block=64).collect())
+    words, by_slot, streams = {}, {}, {}
+    for r in rows:
+        assert 0 <= r.first_word < r.end_word <= taken[r.doc_id].size
+        words[r.doc_id] = words.get(r.doc_id, 0) + r.end_word - r.first_word
+        assert r.at == sum(x.end_word - x.first_word for x in by_slot.get(r.slot, []))
+        by_slot.setdefault(r.slot, []).append(r)
+        streams.setdefault(r.source, []).extend((r.doc_id, i) for i in range(r.first_word, r.end_word))
+    assert words == {k: r.taken for k, r in taken.items() if r.taken}
+    for source, stream in streams.items():
+        ids = sorted((k for k, r in taken.items() if r.source == source and r.size),
+                     key=lambda k: hashlib.md5(str(k).encode()).hexdigest())
+        once = [(k, i) for k in ids for i in range(taken[k].size)]
+        assert stream == (once * 3)[:len(stream)]
+    sources = [by_slot[s][0].source for s in sorted(by_slot)]
+    assert all(len({r.source for r in part}) == 1 for part in by_slot.values())
+    for source in streams:
+        share = sources.count(source) / len(sources)
+        for n in range(50, len(sources) - 20, 25):
+            assert abs(sources[:n].count(source) - share * n) < 8
+
+
 def test_nearest(spark):
     rows = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     wanted = brute.nearest([(r.vec_id, r.embedding) for r in rows.collect()])
