@@ -309,3 +309,34 @@ def test_pipeline_stages(spark, docs):
         if name == "personal_data":
             assert all(not personal_data.identifiers(r.text) for r in rows.limit(50).collect())
     assert 0 < p.pieces(spark, rows, SMALL).count() <= 3 * kept
+
+
+def test_pipeline_stages_on_all_rows(spark, docs):
+    """Private data, mix and pieces against plain versions over all rows, and run() as the stages in turn."""
+    import sentencepiece
+    import corpus_pipeline as p
+    from plumbline.llm.common import stored
+    model = sentencepiece.SentencePieceProcessor(model_file=sentencepieces.default_model())
+    good = stored(p.distinct_documents(spark, p.good_documents(spark, docs, SMALL), SMALL))
+    clean_rows = stored(p.private_data_out(spark, good, SMALL))
+    before = {r.doc_id: r.text for r in good.collect()}
+    after = {r.doc_id: r for r in clean_rows.collect()}
+    assert before.keys() == after.keys()
+    for k, text in before.items():
+        spans, out, at = brute.personal(text), "", 0
+        for start, kind, end in spans:
+            if start >= at:
+                out += text[at:start] + f"[{('email', 'ip', 'card', 'phone')[kind]}]"
+            at = max(at, end)
+        assert after[k].text == out + text[at:] and after[k].n_chars == len(after[k].text)
+    mixed = stored(p.mixed_sources(spark, clean_rows, SMALL))
+    times = {}
+    for r in mixed.collect():
+        times[r.doc_id] = times.get(r.doc_id, 0) + 1
+        assert r == after[r.doc_id]
+    rounds = {r.doc_id: -(-r.taken // r.size) for r in mixing.mix(clean_rows).collect() if r.taken}
+    assert times == rounds
+    got = sorted((r.doc_id, r.ids_sha256) for r in p.run(spark, SMALL).collect())
+    ids = {k: model.encode(r.text, add_bos=True, add_eos=True) for k, r in after.items()}
+    assert got == sorted((k, hashlib.sha256(struct.pack(f"<{len(ids[k])}I", *ids[k])).hexdigest())
+                         for k, n in times.items() for _ in range(n))
