@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import (languages, licenses, mixing, near_dups, nearest, personal_data, quality, repeats, rules,
+from . import (languages, licenses, lines, mixing, near_dups, nearest, personal_data, quality, repeats, rules,
                sentencepieces)
 from .common import read
 
@@ -53,9 +53,14 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model)
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.digests(lines.dedup(read(spark, sf_dir, "documents")))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_license_scan, op3_nearest_neighbours, op4_repeated_bytes, op5_sentencepiece,
-    op6_personal_data, op7_source_mix, op8_quality_rules, op9_near_duplicates, op10_quality_classifier)}
+    op6_personal_data, op7_source_mix, op8_quality_rules, op9_near_duplicates, op10_quality_classifier,
+    op13_line_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {}
@@ -96,3 +101,23 @@ SELECT doc_id, size, source_size, target,
    + greatest(least(b + size, quota - 2 * source_size) - b, 0))::BIGINT AS taken
 FROM joined
 """
+
+SQL["op13_line_dedup"] = r"""
+WITH split AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+placed AS (
+  SELECT doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM split),
+keyed AS (
+  SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM placed),
+repeated AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+judged AS (
+  SELECT keyed.*, keeper IS NOT NULL AND doc_id IS DISTINCT FROM keeper AS gone
+  FROM keyed LEFT JOIN repeated USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM judged GROUP BY doc_id
+"""
