@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import (languages, licenses, lines, mixing, near_dups, nearest, personal_data, quality, repeats, rules,
+from . import (languages, licenses, lines, manifest, mixing, near_dups, nearest, personal_data, quality, repeats, rules,
                sentencepieces)
 from .common import read
 
@@ -53,6 +53,13 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.grade(docs, model)
 
 
+def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    found = manifest.leaves(docs, {"n_chars": F.col("n_chars") + 1}, tampered)
+    return manifest.digests(manifest.manifest(found))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.dedup(read(spark, sf_dir, "documents")))
 
@@ -60,7 +67,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_license_scan, op3_nearest_neighbours, op4_repeated_bytes, op5_sentencepiece,
     op6_personal_data, op7_source_mix, op8_quality_rules, op9_near_duplicates, op10_quality_classifier,
-    op13_line_dedup)}
+    op11_manifest, op13_line_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {}
@@ -121,3 +128,57 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
+
+# A leaf's way up: the sibling at each level, first in the group's tree, then in that of the groups' roots.
+SQL["op11_manifest"] = r"""
+WITH RECURSIVE parts AS (
+  SELECT doc_id, lang, text, n_chars,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-')
+      || coalesce(strlen(lang) || ':' || lang, '-') AS head,
+    coalesce(strlen(text) || ':' || text, '-') AS tail,
+    xor(list_reduce([4294967295] || list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ord(c)::BIGINT),
+      lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+        lambda x, z: xor(x >> 1, (x & 1) * 3988292384))), 4294967295) % 7 = 0 AS tampered
+  FROM documents),
+base AS (
+  SELECT doc_id, lang, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY lang) AS total,
+    sha256(head || coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') || tail) AS leaf,
+    CASE WHEN tampered THEN
+      sha256(head || coalesce(strlen((n_chars + 1)::VARCHAR) || ':' || (n_chars + 1), '-') || tail) END AS other
+  FROM parts WINDOW w AS (PARTITION BY lang ORDER BY doc_id NULLS FIRST)),
+tree AS (
+  SELECT lang, 0 AS lvl, pos, leaf AS d, total FROM base
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (total + 1) // 2
+  FROM tree WHERE total > 1 GROUP BY lang, lvl, pos // 2, total),
+tops AS (
+  SELECT lang, d AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS total
+  FROM tree WHERE total = 1),
+upper AS (
+  SELECT 0 AS lvl, pos, subroot AS d, total FROM tops
+  UNION ALL
+  SELECT lvl + 1, pos // 2, sha256(string_agg(d, '' ORDER BY pos)), (total + 1) // 2
+  FROM upper WHERE total > 1 GROUP BY lvl, pos // 2, total),
+way AS (
+  SELECT doc_id, lang, 0 AS lvl, pos, total, coalesce(other, leaf) AS node, '' AS proof FROM base
+  UNION ALL
+  SELECT way.doc_id, way.lang, way.lvl + 1, way.pos // 2, (way.total + 1) // 2,
+    sha256(CASE WHEN way.pos % 2 = 0 THEN node || coalesce(d, '') ELSE coalesce(d, '') || node END),
+    proof || coalesce(d, '')
+  FROM way LEFT JOIN tree ON tree.lang IS NOT DISTINCT FROM way.lang AND tree.lvl = way.lvl
+    AND tree.pos = xor(way.pos, 1)
+  WHERE way.total > 1),
+up AS (
+  SELECT doc_id, way.lang, 0 AS lvl, tops.pos, tops.total, node, proof
+  FROM way JOIN tops ON tops.lang IS NOT DISTINCT FROM way.lang WHERE way.total = 1
+  UNION ALL
+  SELECT up.doc_id, up.lang, up.lvl + 1, up.pos // 2, (up.total + 1) // 2,
+    sha256(CASE WHEN up.pos % 2 = 0 THEN node || coalesce(d, '') ELSE coalesce(d, '') || node END),
+    proof || coalesce(d, '')
+  FROM up LEFT JOIN upper ON upper.lvl = up.lvl AND upper.pos = xor(up.pos, 1)
+  WHERE up.total > 1)
+SELECT base.doc_id, leaf, subroot, upper.d AS root, sha256(proof) AS proof_sha256, node AS folded_root,
+  node = upper.d AS verified
+FROM base JOIN up ON up.doc_id IS NOT DISTINCT FROM base.doc_id AND up.total = 1
+JOIN tops ON tops.lang IS NOT DISTINCT FROM base.lang JOIN upper ON upper.total = 1
+"""
