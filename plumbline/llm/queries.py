@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 
-from . import (languages, licenses, lines, manifest, mixing, near_dups, nearest, personal_data, quality, repeats, rules,
-               sentencepieces)
+from . import (languages, licenses, lines, manifest, mixing, near_dups, nearest, personal_data, quality, ranked,
+               repeats, rules, sentencepieces)
 from .common import read
 
 
@@ -60,6 +60,10 @@ def op11_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.digests(manifest.manifest(found))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked.search(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.digests(lines.dedup(read(spark, sf_dir, "documents")))
 
@@ -67,7 +71,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (
     op1_language_id, op2_license_scan, op3_nearest_neighbours, op4_repeated_bytes, op5_sentencepiece,
     op6_personal_data, op7_source_mix, op8_quality_rules, op9_near_duplicates, op10_quality_classifier,
-    op11_manifest, op13_line_dedup)}
+    op11_manifest, op12_ranked_search, op13_line_dedup)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 SQL: dict[str, str] = {}
@@ -182,3 +186,30 @@ SELECT base.doc_id, leaf, subroot, upper.d AS root, sha256(proof) AS proof_sha25
 FROM base JOIN up ON up.doc_id IS NOT DISTINCT FROM base.doc_id AND up.total = 1
 JOIN tops ON tops.lang IS NOT DISTINCT FROM base.lang JOIN upper ON upper.total = 1
 """
+
+SQL["op12_ranked_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM documents),
+wanted AS (
+  SELECT item_id, term, count(*) AS q FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark) GROUP BY ALL),
+lengths AS (SELECT doc_id, count(*) AS n FROM words GROUP BY doc_id),
+whole AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM lengths),
+freq AS (
+  SELECT doc_id, term, count(*) AS tf FROM words WHERE term IN (SELECT term FROM wanted) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w
+  FROM freq, whole GROUP BY term, docs),
+scores AS (
+  SELECT item_id, doc_id,
+    sum(q * w * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * docs) // total))))::BIGINT AS score
+  FROM wanted JOIN freq USING (term) JOIN weights USING (term) JOIN lengths USING (doc_id), whole
+  GROUP BY ALL)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INT AS rank, doc_id, score
+FROM scores WHERE score > 0
+QUALIFY rank <= 10
+"""
