@@ -2,13 +2,17 @@
 
 Reads $BENCH_SF_DIR (default /root/testdata/sf0.1) on local[$BENCH_CPUS]. Every query is run to a
 no-op sink, so the whole result is computed and nothing is collected. The value is the sum of the
-queries' times; a short unrelated job warms the session up first.
+queries' times; a short unrelated job warms the session up first. Each time goes to stderr as it comes.
+A query is cancelled after $BENCH_LIMIT seconds (120) and listed as unfinished; if the run itself is
+ended, the line holds what was measured until then.
 """
 
 import json
 import os
+import signal
 import sys
 import tempfile
+import threading
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -39,14 +43,40 @@ def main() -> None:
     spark.sparkContext.setLogLevel("OFF")
     names = sys.argv[1:] or HEADLINE
     spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_returnflag").count().collect()
-    times = {}
+    times, unfinished = {}, []
+
+    def report(*_):
+        print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
+                          "unit": "sec", "queries": times, "unfinished": unfinished,
+                          "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}), flush=True)
+
+    def stopped(*_):
+        report()
+        os._exit(0)
+
+    signal.signal(signal.SIGTERM, stopped)
+    limit = float(os.environ.get("BENCH_LIMIT", "120"))
     for name in names:
+        over = threading.Event()
+
+        def cancel():
+            over.set()
+            spark.interruptAll()
+
+        clock = threading.Timer(limit, cancel)
+        clock.start()
         start = time.perf_counter()
-        registered.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
-        times[name] = round(time.perf_counter() - start, 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times,
-                      "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+        try:
+            registered.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            times[name] = round(time.perf_counter() - start, 3)
+        except Exception:
+            if not over.is_set():
+                raise
+            unfinished.append(name)
+        finally:
+            clock.cancel()
+        print(name, times.get(name, "not finished"), file=sys.stderr, flush=True)
+    report()
     spark.stop()
 
 

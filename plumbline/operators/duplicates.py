@@ -2,30 +2,18 @@
 
 from __future__ import annotations
 
-import itertools
-import math
-from functools import reduce
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, text
-from ..llm import near_dups
-from ..llm.common import map_texts, mix, stored
 from ..session import cut_lineage
 from .ordering import attach, with_row_number
 from .rule import graded
+from .similar import SimilarValues, nearly_equal
 from .table import Table
 
 
 SALT = 0x2545F491       # start of the second hash of a row
 LEAST_VALUES = 10       # fewer values are not compared
-LONG_PAIR = 500     # longer pairs skip the edit-distance test, whose cost grows with the square
-SHORT, VARIANTS = 20, 2000      # longest value with exact keys, and most keys of one value
-LONG = 200          # from here on, a value is known by longer q-grams
-GRAMS = (3, 8)      # characters of a q-gram below and from LONG
-SUB_KEYS = 14       # sub-keys of each of the two MinHash collections
 
 
 def wide_hash(*values: Column) -> list[Column]:
@@ -143,118 +131,6 @@ def similar_neighbours(table: Table, column: str, threshold: float = 90.0, windo
                     F.col("v").alias("left_value"), F.col("v2").alias("right_value"), "ratio"))
 
 
-def nearly_equal(pairs: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (v, v2) of different values with a ratio of at least the threshold, and the ratio."""
-    a, b = F.length("v"), F.length("v2")
-    # Insertions and deletions are at least as many as edits, so too many edits rule a pair out.
-    edits = f"CAST(floor({(100 - threshold) / 100} * (length(v) + length(v2)) + 1e-9) AS INT)"
-    near = F.expr(f"length(v) + length(v2) > {LONG_PAIR} OR levenshtein(v, v2, {edits}) >= 0")
-    possible = pairs.where((F.col("v") != F.col("v2"))
-                           & (F.lit(200.0) * F.least(a, b) >= threshold * (a + b))).where(near)
-    return (possible.withColumn("ratio", text.indel_ratio("v", "v2"))
-            .where((F.col("ratio") >= threshold) & (F.col("ratio") < 100)))
-
-
-def _needed(a: int, b: int, threshold: float) -> int:
-    """Length of the common subsequence that values of these lengths need."""
-    return math.ceil(threshold / 200 * (a + b) - 1e-9)
-
-
-def _kept_lengths(size: int, lengths, threshold: float) -> set[int]:
-    """Lengths of the subsequences by which a value of ``size`` meets values of ``lengths``."""
-    return {m for n in lengths if (m := _needed(size, n, threshold)) <= min(size, n)}
-
-
-def exact_limit(threshold: float) -> int:
-    """The greatest length up to SHORT of which a value has at most VARIANTS keys."""
-    def keys(size):
-        return sum(math.comb(size, m) for m in _kept_lengths(size, range(1, size + 1), threshold))
-    return max((n for n in range(1, SHORT + 1) if keys(n) <= VARIANTS), default=0)
-
-
-def _values(table: Table, column: str) -> DataFrame:
-    """(k, v, h, size): the values that are not empty, with a 128-bit hash."""
-    v = F.col(f"`{column}`")
-    return table.df.where(F.length(v) > 0).select(
-        F.col(f"`{table.row_key[0]}`").alias("k"), v.alias("v"), F.unhex(F.md5(v.cast("binary"))).alias("h"),
-        F.length(v).alias("size"))
-
-
-def _exact_keys(values: DataFrame, threshold: float) -> DataFrame:
-    """(key, h) of short values: two have a key in common if their ratio reaches the threshold.
-
-    The keys are the subsequences of the lengths that the other lengths in the table ask for.
-    """
-    short = stored(values.where(F.col("size") <= exact_limit(threshold)).select("h", "v", "size")
-                   .dropDuplicates(["h"]))
-    lengths = [r["size"] for r in short.select("size").distinct().collect()]     # SHORT at most
-    kept = {n: sorted(_kept_lengths(n, lengths, threshold)) for n in lengths}
-
-    def subsequences(column: pd.Series) -> pd.Series:
-        return pd.Series([list({"".join(x) for m in kept[len(v)] for x in itertools.combinations(v, m)})
-                          for v in column], dtype=object)
-
-    keys = F.pandas_udf(subsequences, "array<string>")
-    found = short.select("h", F.explode(keys("v")).alias("key")).select(F.xxhash64("key").alias("key"), "h")
-    return near_dups.shared(stored(found), "key")
-
-
-def _gram_keys(values: DataFrame, q: int) -> DataFrame:
-    """(key, h): MinHash tables over the sets of ``q`` characters in a row."""
-    signer_of, spread, subs = near_dups.Signer, mix, SUB_KEYS      # carried whole to the tasks
-
-    def make():
-        signer = signer_of(subs)
-
-        def run(columns):
-            out = []
-            for v in columns[1]:
-                points = np.frombuffer(v.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-                n = max(len(points) - q + 1, 1)
-                grams = np.zeros(n, np.uint64)
-                for j in range(min(q, len(points))):
-                    grams = grams * np.uint64(0x9E3779B97F4A7C15) + points[j:j + n]
-                a, b = signer.of(np.unique(spread(grams))).astype(np.int64).tolist()
-                out.append((a, b))
-            return out
-        return run
-
-    signed = map_texts(values, ["h", "v"], "a array<long>, b array<long>", make)
-    return near_dups.members(stored(signed.dropDuplicates(["h"]))).select("key", "h")
-
-
-def similar_values(table: Table, column: str, threshold: float = 90.0) -> DataFrame:
-    """(h, h2, ratio): hashes of all nearly equal values of the table, wherever their rows stand.
-
-    Candidates share a key. Values of up to ``exact_limit`` characters meet by common subsequences,
-    which finds every pair. Longer ones meet by MinHash over q-grams, in two bands of length that
-    overlap by as much as the lengths of a pair can differ. Every candidate is confirmed by its
-    ratio. Equal values are compared once; texts are moved for candidates only.
-    """
-    values, limit = _values(table, column), exact_limit(threshold)
-    stretch = (200 - threshold) / threshold
-    size = F.col("size")
-    bands = [(size > limit / stretch - 1e-9) & (size < LONG * stretch), size >= LONG]
-    entries = [_exact_keys(values, threshold)] + [
-        _gram_keys(values.where(band), q) for band, q in zip(bands, GRAMS)]
-    pairs = [e.join(e.select("key", F.col("h").alias("h2")), "key").where("h < h2").select("h", "h2")
-             for e in map(stored, entries)]
-    pairs = stored(reduce(DataFrame.unionByName, pairs).distinct())
-    wanted = pairs.select(F.explode(F.array("h", "h2")).alias("h")).distinct()
-    texts = stored(values.join(wanted, "h", "left_semi").select("h", "v").dropDuplicates(["h"]))
-    both = pairs.join(texts, "h").join(
-        texts.select(F.col("h").alias("h2"), F.col("v").alias("v2")), "h2")
-    return stored(nearly_equal(both, threshold).select("h", "h2", "ratio"))
-
-
-def similar_rows(table: Table, column: str, threshold: float = 90.0) -> DataFrame:
-    """(left_key, right_key, ratio) of all rows with nearly equal values, the smaller key first."""
-    keys = _values(table, column).select("k", "h")
-    pairs = (similar_values(table, column, threshold).join(keys, "h")
-             .join(keys.select(F.col("k").alias("k2"), F.col("h").alias("h2")), "h2"))
-    return pairs.select(F.least("k", "k2").alias("left_key"), F.greatest("k", "k2").alias("right_key"), "ratio")
-
-
 def similar_pairs_issue(table: Table, column: str, total: int, threshold: float = 90.0,
                         first: int = 0, window: int | None = None) -> DataFrame | None:
     """Issue of the rows that are in any pair; none for a column of fewer than ten values.
@@ -268,11 +144,9 @@ def similar_pairs_issue(table: Table, column: str, total: int, threshold: float
         rows = pairs.select(F.explode(F.array("left_key", "right_key")).alias("k")).distinct()
         counted = rows.agg(F.count(F.lit(1)).alias("affected_rows"))
     else:
-        pairs = similar_values(table, column, threshold)
-        found = pairs.select(F.explode(F.array("h", "h2")).alias("h")).distinct()
-        counted = (_values(table, column).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
-                   .join(found, "h", "left_semi")
-                   .agg(F.coalesce(F.sum("n"), F.lit(0)).alias("affected_rows")))
+        found = SimilarValues(table, column, threshold)
+        counted = (found.values.join(found.linked(), "h", "left_semi")
+                   .agg(F.coalesce(F.sum("rows"), F.lit(0)).alias("affected_rows")))
     facts = counted.select(
         F.lit(column).alias("column_name"), "affected_rows", F.lit(total).alias("base"))
     return graded(facts, "uniqueness", "near_duplicates", severity="MEDIUM", risk="HIGH",

@@ -2,6 +2,8 @@
 
 import datetime as dt
 
+import numpy as np
+
 AS_OF = dt.date(2026, 1, 1)
 DATA = "/root/testdata"
 
@@ -16,13 +18,12 @@ def log(fixed) -> dict:
 
 
 def common_subsequence(a: str, b: str) -> int:
-    row = [0] * (len(b) + 1)
+    row = np.zeros(len(b) + 1, int)
+    points = np.array(list(b))
     for x in a:
-        new = [0]
-        for j, y in enumerate(b):
-            new.append(row[j] + 1 if x == y else max(row[j + 1], new[j]))
-        row = new
-    return row[-1]
+        diagonal = np.append(0, row[:-1] + (points == x))
+        row = np.maximum.accumulate(np.maximum(row, diagonal))
+    return int(row[-1])
 
 
 def indel(a: str, b: str) -> float:

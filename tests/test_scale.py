@@ -1,5 +1,6 @@
 """Operators built for size: exact quantiles, row numbers, hot keys, neighbours."""
 
+import itertools
 import random
 
 import numpy as np
@@ -10,6 +11,7 @@ from plumbline.operators import duplicates, entities, privacy
 from plumbline.operators.fixes import keep_last
 from plumbline.operators.ordering import attach, with_row_number
 from plumbline.operators.quantiles import exact_quantiles
+from plumbline.operators.similar import SimilarValues
 from plumbline.operators.table import Table
 
 from .helpers import indel
@@ -85,33 +87,71 @@ def test_neighbours_of_long_texts(spark):
     assert got == brute_neighbours(rows, 90, 19) and got
 
 
-def test_similar_rows_over_the_whole_table(spark):
-    """Short values exactly as brute force, at any distance; the issue counts their rows."""
+def near_classes(rows, threshold):
+    """{(smallest key, smallest key)} of near values, and {key: (class key, class rows, links, near rows)}"""
+    held = {}
+    for k, v in rows:
+        if v:
+            held.setdefault(v, []).append(k)
+    firsts = sorted((min(ks), v) for v, ks in held.items())
+    pairs = {(k, k2) for (k, v), (k2, v2) in itertools.combinations(firsts, 2)
+             if 200 * min(len(v), len(v2)) >= threshold * (len(v) + len(v2)) and threshold <= indel(v, v2) < 100}
+    count = {k: len(held[v]) for k, v in firsts}
+    near = {k: [count[b if a == k else a] for a, b in pairs if k in (a, b)] for k, _ in firsts}
+    return pairs, {k: (f, count[f], len(near[f]), sum(near[f])) for f, v in firsts for k in held[v]}
+
+
+def check_similar(spark, rows, threshold=90.0, column="customer_name"):
+    t = Table(spark.createDataFrame(rows, f"k int, {column} string").repartition(5), "k")
+    pairs, members = near_classes(rows, threshold)
+    found = SimilarValues(t, column, threshold)
+    got = [(r["left_key"], r["right_key"]) for r in found.links().collect()]
+    assert len(got) == len(set(got)) and set(got) == pairs
+    assert {r["k"]: (r["class_key"], r["class_rows"], r["links"], r["near_rows"])
+            for r in found.members().collect()} == members
+    linked = found.values.join(found.linked(), "h", "left_semi")
+    assert {r["k"] for r in linked.collect()} == {k for pair in pairs for k in pair}
+    issue = duplicates.similar_pairs_issue(t, column, len(rows), threshold).first()
+    wanted = sum(m[2] > 0 for m in members.values())
+    assert wanted == (issue["affected_rows"] if issue else 0)
+    return pairs
+
+
+@pytest.mark.parametrize("threshold", [90.0, 80.0, 60.0])
+def test_similar_values_over_the_whole_table(spark, threshold):
+    """Short values exactly as brute force, at any distance; equal values are one class."""
     rng = random.Random(11)
     names = ["".join(rng.choice("abcde ") for _ in range(rng.randint(1, 20))) for _ in range(60)]
     names += [n[:i] + "z" + n[i + rng.randint(0, 1):] for n in names for i in [rng.randrange(len(n))]]
-    names += names[:10] + ["", None, f"Customer#{7:09}", f"Customer#{8:09}", f"Customer#{77:09}"]
+    names += names[:10] * 3 + ["", None, f"Customer#{7:09}", f"Customer#{8:09}", f"Customer#{77:09}"]
     rng.shuffle(names)
-    rows = list(enumerate(names))
-    t = Table(spark.createDataFrame(rows, "k int, customer_name string").repartition(5), "k")
-    wanted = brute_neighbours(rows, 90, len(rows))
-    assert any(b - a > 19 for a, b in wanted)
-    got = [(r["left_key"], r["right_key"]) for r in duplicates.similar_rows(t, "customer_name").collect()]
-    assert len(got) == len(set(got)) and set(got) == wanted
-    issue = duplicates.similar_pairs_issue(t, "customer_name", len(rows)).first()
-    assert issue["affected_rows"] == len({k for pair in wanted for k in pair})
+    assert check_similar(spark, list(enumerate(names)), threshold)
 
 
-def test_similar_rows_of_middle_and_long_texts(spark):
+@pytest.mark.parametrize("threshold", [90.0, 75.0])
+def test_similar_values_of_all_lengths(spark, threshold):
+    """Around the limits of the methods and far beyond, with changes close together and spread evenly."""
     rng = random.Random(12)
-    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(500)]
-    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [4, 6, 9, 15, 30, 36, 45] * 7]
+    words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in [2, 3, 4, 6, 9, 15, 30, 36, 45, 120] * 3]
+    texts += ["".join(rng.choice("abcdé") for _ in range(n)) for n in [*range(14, 28, 2), *range(170, 240, 10)]]
     copies = [" ".join(rng.choice(words) if rng.random() < 0.04 else w for w in t.split()) for t in texts]
-    rows = list(enumerate(texts + copies))
-    t = Table(spark.createDataFrame(rows, "k int, name string"), "k")
-    wanted = brute_neighbours(rows, 90, len(rows))
-    got = {(r["left_key"], r["right_key"]) for r in duplicates.similar_rows(t, "name").collect()}
-    assert got <= wanted and len(got) >= 0.97 * len(wanted) and len(wanted) > 20
+    for t in texts:
+        every = rng.randint(8, 30)      # a change every few characters
+        copies.append("".join("#" if i % every == every - 1 else c for i, c in enumerate(t)))
+        cut = rng.randint(0, max(1, len(t) // 6))
+        copies.append(t[cut:])
+    assert len(check_similar(spark, list(enumerate(texts + copies)), threshold, "name")) > 30
+
+
+def test_hot_values_and_keys(spark):
+    """A value that a third of the rows hold is one class; a key that all values share gives counts."""
+    rows = [(i, "Smith & Sons Ltd" if i % 3 == 0 else f"Smith & Sons {i % 40:02}") for i in range(600)]
+    check_similar(spark, rows)
+    t = Table(spark.createDataFrame(rows, "k int, customer_name string"), "k")
+    assert SimilarValues(t, "customer_name").members().count() == 600
+    empty = Table(spark.createDataFrame([], "k int, customer_name string"), "k")
+    assert SimilarValues(empty, "customer_name").links().count() == 0
 
 
 def test_repeated_rows_exactly(spark):

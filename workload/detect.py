@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from plumbline.functions import fixed_values as fv, scoring
 from plumbline.operators import (checks, declared, duplicates, entities, outliers, privacy, profile,
                                  rule, table as tables)
+from plumbline.operators.similar import SimilarValues
 from plumbline.operators.table import Table
 from plumbline.plans import catalogue
 
@@ -290,16 +291,48 @@ SELECT left_key, right_key, left_value, right_value, round(ratio, 4) AS ratio FR
 WHERE ratio >= 90 AND ratio < 100"""
 
 
-@query("near_duplicates", NEAR)
-def near_duplicates(spark, sf_dir):
+@query("near_duplicates_window", NEAR)
+def near_duplicates_window(spark, sf_dir):
     return duplicates.similar_neighbours(keyed(spark, sf_dir, C), "customer_name").withColumn(
         "ratio", F.round("ratio", 4))
 
 
+# The same comparison for all pairs of different values; a value's masks are made once.
+ALL_NEAR = """
+WITH n AS (SELECT customer_name AS v, min(row_key) AS k, CAST(count(*) AS BIGINT) AS rows FROM dirty_customers WHERE length(customer_name) > 0 GROUP BY customer_name),
+ c AS (SELECT v, ch, sum(CAST(1 AS BIGINT) << CAST(i - 1 AS INT))::BIGINT AS mask
+  FROM (SELECT v, unnest(string_split(v, '')) AS ch, generate_subscripts(string_split(v, ''), 1) AS i FROM n) GROUP BY v, ch),
+ f AS (SELECT n.*, masks FROM n JOIN (SELECT v, map_from_entries(list((ch, mask))) AS masks FROM c GROUP BY v) USING (v)),
+ p AS (SELECT a.k AS left_key, b.k AS right_key, a.v AS left_value, b.v AS right_value, a.rows AS left_rows, b.rows AS right_rows, a.masks,
+  (CAST(1 AS BIGINT) << CAST(length(a.v) AS INT)) - 1 AS top
+  FROM f a JOIN f b ON a.k < b.k AND 200 * least(length(a.v), length(b.v)) >= 90 * (length(a.v) + length(b.v))
+  WHERE levenshtein(a.v, b.v) <= 0.1 * (length(a.v) + length(b.v)) + 1e-9),
+ s AS (SELECT *, list_reduce(list_prepend(top, list_transform(string_split(right_value, ''), lambda ch: coalesce(masks[ch], 0))),
+  lambda r, x: ((r + (r & x)) | (r - (r & x))) & top) AS rest FROM p),
+ near AS (SELECT left_key, right_key, left_value, right_value, left_rows, right_rows,
+  200.0 * (length(left_value) - bit_count(rest)) / (length(left_value) + length(right_value)) AS ratio FROM s)"""
+
+
+@query("near_duplicates", ALL_NEAR + """
+SELECT left_key, right_key, left_value, right_value, left_rows, right_rows, round(ratio, 4) AS ratio FROM near WHERE ratio >= 90 AND ratio < 100""")
+def near_duplicates(spark, sf_dir):
+    return SimilarValues(keyed(spark, sf_dir, C), "customer_name").links().withColumn("ratio", F.round("ratio", 4))
+
+
+@query("near_duplicate_members", ALL_NEAR + """,
+ ends AS (SELECT left_value AS v, right_rows AS r FROM near WHERE ratio >= 90 AND ratio < 100
+  UNION ALL SELECT right_value, left_rows FROM near WHERE ratio >= 90 AND ratio < 100),
+ counts AS (SELECT v, count(*) AS links, sum(r) AS near_rows FROM ends GROUP BY v)
+SELECT row_key, n.k AS class_key, n.rows AS class_rows, CAST(coalesce(links, 0) AS BIGINT) AS links, CAST(coalesce(near_rows, 0) AS BIGINT) AS near_rows
+FROM dirty_customers JOIN n ON customer_name = n.v LEFT JOIN counts ON counts.v = n.v""")
+def near_duplicate_members(spark, sf_dir):
+    return SimilarValues(keyed(spark, sf_dir, C), "customer_name").members()
+
+
 @query("near_duplicates_documents")
 def near_duplicates_documents(spark, sf_dir):
     t = Table(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
-    return duplicates.similar_rows(t, "text").withColumn("ratio", F.round("ratio", 4))
+    return SimilarValues(t, "text").members()
 
 
 @query("uniqueness_issues", f"""
