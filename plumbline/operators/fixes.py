@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import dates, fixed_values as fv, text
 from . import checks, entities, outliers
+from .baseline import Baselines, profile_state
 from .duplicates import id_columns, repeated_rows, value_counts
 from .privacy import protect
 from .quantiles import exact_quantiles
@@ -453,6 +454,19 @@ def _flag(dimension: str, action: str, detail: str, rules) -> Callable:
     return fix
 
 
+def lock_baseline(df: DataFrame, context: Context) -> Fixed:
+    """Keep the table's profile state; the table stays as it is.
+
+    Option ``baseline`` is (folder, name) or (folder, name, batch); the batch is the day by default.
+    Without it there is only the log row.
+    """
+    kept = context.option("baseline")
+    if kept:
+        root, name, batch = (*kept, context.as_of.isoformat())[:3]
+        Baselines(df.sparkSession, root).save(name, batch, profile_state(Table(df, context.row_key)))
+    return _note(df, "profiling", "lock_profiling_baseline", "profile kept as the baseline")
+
+
 FIXES: dict[str, Callable[[DataFrame, Context], Fixed]] = {
     "completeness": impute,
     "uniqueness": dedup,
@@ -478,8 +492,7 @@ FIXES: dict[str, Callable[[DataFrame, Context], Fixed]] = {
     "auditability": add_audit_columns,
     "reconciliation": pad_amounts,
     "timeliness": nullify_ancient,
-    "profiling": lambda df, x: _note(df, "profiling", "lock_profiling_baseline",
-                                     "profile kept as the baseline"),
+    "profiling": lock_baseline,
 }
 ALIASES = {"completeness_missing": "completeness", "deduplication": "uniqueness"}
 
