@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed_values as fv, text
-from ..session import cut_lineage
+from ..session import cut_lineage, stored
 from .ordering import attach, with_row_number
 from .rule import graded
 from .similar import SimilarValues, nearly_equal
@@ -42,40 +42,102 @@ def id_columns(table: Table) -> list[str]:
     return [c for c in table.columns if c.lower() == "id" or c.lower().endswith("_id")]
 
 
-def value_counts(table: Table, columns: list[str]) -> DataFrame:
-    """(column_name, value, rows) for the non-null values of several columns: one shuffle,
-    partial counts before it."""
+PREFIX = 16     # characters of a value that travel with its count
+
+
+def _values(table: Table, columns: list[str]) -> DataFrame:
+    """(column_name, value) of the non-null values of several columns."""
     texts = table.df.select(*[table.col(c).cast("string").alias(c) for c in columns])
     return (texts.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
-            .where(F.col("value").isNotNull())
-            .groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("rows")))
+            .where(F.col("value").isNotNull()))
 
 
-def repeat_counts(table: Table, columns: list[str]) -> DataFrame:
-    """(column_name, rows): one row per non-null value of several columns, without the value.
+def value_counts(table: Table, columns: list[str]) -> DataFrame:
+    """(column_name, __h1, __h2, prefix, rows): one row per non-null value of several columns.
 
-    Values are grouped by a 128-bit hash, so long texts stay out of the shuffle.
+    Values are grouped by a 128-bit hash and stay where they are: only the hash, a count and the first
+    characters are shuffled, after partial counts.
     """
-    texts = table.df.select(*[table.col(c).cast("string").alias(c) for c in columns])
-    return (texts.unpivot([], [f"`{c}`" for c in columns], "column_name", "value")
-            .where(F.col("value").isNotNull())
+    return (_values(table, columns)
             .groupBy("column_name", *wide_hash(F.col("value")))
+            .agg(F.first(F.substring("value", 1, PREFIX)).alias("prefix"), F.count(F.lit(1)).alias("rows")))
+
+
+def repeat_counts(table: Table, columns: list[str]) -> DataFrame:
+    """(column_name, rows): one row per non-null value of several columns, without the value."""
+    return (_values(table, columns).groupBy("column_name", *wide_hash(F.col("value")))
             .agg(F.count(F.lit(1)).alias("rows")).select("column_name", "rows"))
 
 
-def top_values(counts: DataFrame, size: int) -> DataFrame:
-    """(column_name, sample_values): the most frequent values, smallest first on ties.
+def top_counts(table: Table, columns: list[str], size: int, least: int = 1) -> DataFrame:
+    """(column_name, value, rows, place): the ``size`` most frequent values of each column that at least
+    ``least`` rows hold, the smallest first on ties.
 
-    The rank filter is applied per task before the shuffle.
+    The text of a value is fetched only for values that can be among them by count and first characters.
+    Each task passes on one text per such value.
     """
-    rank = F.row_number().over(Window.partitionBy("column_name")
-                               .orderBy(F.desc("rows"), F.asc("value")))
-    return (counts.withColumn("__rank", rank).where(F.col("__rank") <= size)
-            .groupBy("column_name")
-            .agg(F.array_sort(F.collect_list(F.struct("__rank", "value"))).alias("s"))
+    counts = stored(value_counts(table, columns).where(F.col("rows") >= least))
+    # Counts and first characters in order: as many of them as values are wanted, so a few rows.
+    level = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("rows"), F.asc("prefix")))
+    levels = (counts.select("column_name", "rows", "prefix").distinct().withColumn("__level", level)
+              .where(F.col("__level") <= size).drop("__level"))
+    wanted = stored(counts.join(F.broadcast(levels), ["column_name", "rows", "prefix"], "left_semi")
+                    .select("column_name", "__h1", "__h2", "rows"))
+    keys = ["column_name", "__h1", "__h2"]
+    texts = (_values(table, columns).select("column_name", "value", *wide_hash(F.col("value")))
+             .join(wanted.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.first("value").alias("value")))
+    place = F.row_number().over(Window.partitionBy("column_name").orderBy(F.desc("rows"), F.asc("value")))
+    return (texts.join(wanted, keys).withColumn("place", place).where(F.col("place") <= size)
+            .select("column_name", "value", "rows", "place"))
+
+
+def listed(top: DataFrame) -> DataFrame:
+    """(column_name, sample_values): the values of ``top_counts`` in their order."""
+    return (top.groupBy("column_name")
+            .agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("s"))
             .select("column_name", F.transform("s", lambda s: s["value"]).alias("sample_values")))
 
 
+def top_values(counts: DataFrame, size: int) -> DataFrame:
+    """(column_name, sample_values) from (column_name, value, rows): the most frequent values, smallest
+    first on ties. The rank filter is applied per task before the shuffle."""
+    place = F.row_number().over(Window.partitionBy("column_name")
+                                .orderBy(F.desc("rows"), F.asc("value")))
+    return listed(counts.withColumn("place", place).where(F.col("place") <= size))
+
+
+def copies(table: Table) -> DataFrame:
+    """(__h, first, rows): the rows that occur more than once, by the hash of their values, with the first
+    row key. Only hashes and keys are shuffled."""
+    cells = [F.col(f"`{c}`") for c in table.columns]
+    key = table.row_key[0]
+    return stored(table.df.select(F.struct(*wide_hash(*cells)).alias("__h"), F.col(f"`{key}`").alias("__key"))
+                  .groupBy("__h").agg(F.count(F.lit(1)).alias("rows"), F.min("__key").alias("first"))
+                  .where(F.col("rows") > 1))
+
+
+def without_copies(table: Table) -> DataFrame:
+    """The rows of the table less those that copy a row with a smaller key.
+
+    Rows are told by the hash of their values. The few groups that have copies meet the rows: hot ones
+    by broadcast, the others as Spark sees fit for their size, so rows move only if very many differ.
+    """
+    cells = [F.col(f"`{c}`") for c in table.columns]
+    marked = table.df.withColumn("__h", F.struct(*wide_hash(*cells)))
+    joined = attach(marked, "__h", copies(table), ["first"], "rows")
+    key = F.col(f"`{table.row_key[0]}`")
+    return joined.where(F.col("first").isNull() | key.eqNullSafe(F.col("first"))).select(
+        *[f"`{c}`" for c in table.df.columns])
+
+
+def copy_rows(table: Table) -> DataFrame:
+    """(row key,): the rows that copy a row with a smaller key; only hashes and keys are joined."""
+    cells = [F.col(f"`{c}`") for c in table.columns]
+    marked = table.df.select(*table.row_key, F.struct(*wide_hash(*cells)).alias("__h"))
+    joined = attach(marked, "__h", copies(table), ["first"], "rows")
+    return joined.where(F.col(f"`{table.row_key[0]}`") > F.col("first")).select(*table.row_key)
+
+
 def repeated_ids(table: Table, columns: list[str] | None = None) -> DataFrame:
     """(column_name, affected_rows, repeated_values): rows whose id occurs more than once."""
     columns = columns or id_columns(table)
@@ -163,9 +225,8 @@ def uniqueness_issues(table: Table, total: int, first: int = 0) -> DataFrame:
     columns = id_columns(table)
     if not columns:
         return found
-    counts = value_counts(table, columns).where(F.col("rows") > 1)
-    facts = counts.groupBy("column_name").agg(F.sum("rows").alias("affected_rows"))
-    facts = (facts.join(F.broadcast(top_values(counts, 5)), "column_name")
+    facts = repeated_ids(table, columns).select("column_name", "affected_rows")
+    facts = (facts.join(F.broadcast(listed(top_counts(table, columns, 5, least=2))), "column_name")
              .withColumn("base", F.lit(total)))
     ids = graded(facts, "uniqueness", "duplicate_ids", risk="HIGH", fix="deduplicate_ids",
                  text="rows with a repeated id", first=first + 1)

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions import dates, fixed_values as fv, text
 from . import checks, entities, outliers
 from .baseline import Baselines, profile_state
-from .duplicates import id_columns, repeated_rows, value_counts
+from .duplicates import id_columns, repeated_rows, top_counts, without_copies
 from .privacy import protect
 from .quantiles import exact_quantiles
 from .table import Table
@@ -106,9 +106,7 @@ def impute(df: DataFrame, context: Context) -> Fixed:
         if numeric and strategy != "zero" else {}
     modes = {}
     if texts:
-        top = F.min_by("value", F.struct(-F.col("rows"), F.col("value")))
-        modes = {r["column_name"]: r["top"] for r in
-                 value_counts(table, texts).groupBy("column_name").agg(top.alias("top")).collect()}
+        modes = {r["column_name"]: r["value"] for r in top_counts(table, texts, 1).collect()}
     for c in numeric:
         if strategy == "zero":
             value, label = 0.0, "zero"
@@ -138,11 +136,9 @@ def drop_copies(df: DataFrame, context: Context) -> Fixed:
         F.lit("uniqueness").alias("dimension"), F.lit("exact_dedup").alias("action"),
         F.lit("ALL").alias("column_name"), F.col("duplicate_rows").alias("rows_affected"),
         F.lit("copies removed").alias("detail")))
-    if key is None:
+    if key is None:     # without identity, the rows themselves must meet
         return Fixed(df.dropDuplicates(), log)
-    kept = (df.groupBy(*[f"`{c}`" for c in columns]).agg(F.min(f"`{key}`").alias(key))
-            .select(*[f"`{c}`" for c in df.columns]))
-    return Fixed(kept, log)
+    return Fixed(without_copies(Table(df, key)), log)
 
 
 def keep_last(df: DataFrame, column: str, row_key: str, parity: bool = False) -> DataFrame:

@@ -8,7 +8,6 @@ from ..session import cut_lineage
 
 # monotonically_increasing_id: task number in the upper bits, place in the task in the lower 33.
 PLACE_BITS = 33
-BROADCAST_ROWS = 500_000
 HOT_SHARE = 1_000
 
 
@@ -37,22 +36,16 @@ def with_row_number(df: DataFrame, order: list[str], name: str) -> DataFrame:
             .drop("__place", "__part", "__start"))
 
 
-def attach(df: DataFrame, key: str, found: DataFrame, values: list[str], rows: str,
-           broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def attach(df: DataFrame, key: str, found: DataFrame, values: list[str], rows: str) -> DataFrame:
     """Left-join ``found`` (one row per key, with its row count in ``rows``) to ``df``.
 
-    A small ``found`` is broadcast after counting it. Beyond that, keys holding more than a
-    thousandth of all rows (at most a thousand of them) are broadcast and the others are joined by
-    a shuffle, so no task gets a hot key's rows.
+    Keys holding more than a thousandth of the rows of ``found``, a thousand at most, are broadcast, so
+    no task gets a hot key's rows. The others are joined as Spark sees fit for their measured size.
     """
-    size = found.agg(F.count(F.lit(1)).alias("keys"), F.sum(rows).alias("rows")).first()
+    total = found.agg(F.sum(rows)).first()[0] or 0
     wanted = found.select(F.col(f"`{key}`").alias("__key"), *values, rows)
-    if size["keys"] <= broadcast_rows:
-        return (df.join(F.broadcast(wanted.drop(rows)), df[f"`{key}`"] == F.col("__key"), "left")
-                .drop("__key"))
-    hot_from = size["rows"] / HOT_SHARE
-    hot = wanted.where(F.col(rows) > hot_from).drop(rows).withColumn("__hot", F.lit(True))
-    cold = wanted.where(F.col(rows) <= hot_from).drop(rows)
+    hot = wanted.where(F.col(rows) > total / HOT_SHARE).drop(rows).withColumn("__hot", F.lit(True))
+    cold = wanted.where(F.col(rows) <= total / HOT_SHARE).drop(rows)
     marked = df.join(F.broadcast(hot), df[f"`{key}`"] == F.col("__key"), "left").drop("__key")
     done = marked.where(F.col(f"`{key}`").isNull() | F.col("__hot")).drop("__hot")
     rest = marked.where(F.col(f"`{key}`").isNotNull() & F.col("__hot").isNull()).drop("__hot", *values)

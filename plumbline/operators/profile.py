@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import fixed_values as fv, scoring, text
-from .duplicates import repeat_counts, value_counts
+from .duplicates import repeat_counts, top_counts
 from .quantiles import exact_quantiles
 from .rule import ISSUE_SCHEMA
 from .table import Table
@@ -85,14 +85,24 @@ def numeric_profile(table: Table) -> DataFrame:
 
 
 def text_profile(table: Table) -> DataFrame:
-    """(column_name, top_value, top_freq, min_length, max_length, avg_length) per text column."""
-    counts = value_counts(table, table.texts)
-    size = F.length("value")
-    return counts.groupBy("column_name").agg(
-        F.min_by("value", F.struct(-F.col("rows"), F.col("value"))).alias("top_value"),
-        F.max("rows").alias("top_freq"), F.min(size).alias("min_length"),
-        F.max(size).alias("max_length"),
-        F.round(F.sum(size * F.col("rows")) / F.sum("rows"), 2).alias("avg_length"))
+    """(column_name, top_value, top_freq, min_length, max_length, avg_length) per text column.
+
+    Lengths come from one aggregate, the top value from counts by hash; its text is fetched last.
+    """
+    columns = table.texts
+    if not columns:
+        return table.df.sparkSession.createDataFrame(
+            [], "column_name string, top_value string, top_freq bigint, min_length int, max_length int, avg_length double")
+    sizes = [F.length(table.col(c)) for c in columns]
+    row = table.df.agg(*[e for i, n in enumerate(sizes) for e in (
+        F.min(n).alias(f"lo{i}"), F.max(n).alias(f"hi{i}"), F.sum(n).alias(f"sum{i}"), F.count(n).alias(f"n{i}"))])
+    lengths = row.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column_name"), F.col(f"lo{i}").alias("min_length"), F.col(f"hi{i}").alias("max_length"),
+        F.round(F.try_divide(F.col(f"sum{i}"), F.col(f"n{i}")), 2).alias("avg_length"))
+        for i, c in enumerate(columns)])))
+    top = top_counts(table, columns, 1).select(
+        "column_name", F.col("value").alias("top_value"), F.col("rows").alias("top_freq"))
+    return top.join(F.broadcast(lengths), "column_name")
 
 
 def dataset_profile(table: Table) -> DataFrame:

@@ -45,14 +45,13 @@ def test_row_numbers_are_dense_and_ordered(spark):
     assert len(got) == 1000 and all(r["k"] == r["n"] for r in got)
 
 
-@pytest.mark.parametrize("limit", [10_000, 0])
-def test_attach_with_a_hot_key(spark, limit):
-    """A third of the rows share one key, some have none; both ways of joining agree."""
+def test_attach_with_a_hot_key(spark):
+    """A third of the rows share one key, some have none."""
     rows = [(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"v{i % 1500}") for i in range(6000)]
     df = spark.createDataFrame(rows, "k int, v string")
     found = (df.where("v IS NOT NULL AND v <> 'v1'").groupBy("v").agg(F.count("*").alias("rows"))
              .withColumn("t", F.concat(F.lit("T"), "v")))
-    got = {r["k"]: r["t"] for r in attach(df, "v", found, ["t"], "rows", broadcast_rows=limit).collect()}
+    got = {r["k"]: r["t"] for r in attach(df, "v", found, ["t"], "rows").collect()}
     assert got == {k: None if v in (None, "v1") else f"T{v}" for k, v in rows}
 
 
@@ -214,3 +213,37 @@ def test_tokens_follow_first_appearance(spark):
                    14: "TOKEN-EMAI-000003"}
     back = {r["token"]: r["value"] for r in maps["email"].collect()}
     assert back["TOKEN-EMAI-000003"] == "c" and log.first()["rows_affected"] == 4
+
+
+def test_top_values_with_long_ties(spark):
+    """Ties beyond the characters that travel with the counts go to the smallest value."""
+    rng = random.Random(4)
+    head = "the same first characters "
+    values = [head + str(rng.randrange(30)) for _ in range(300)] + ["b"] * 9 + ["a"] * 9 + [None] * 20
+    t = Table(spark.createDataFrame(list(enumerate(values)), "k int, v string").repartition(6), "k")
+    counts = {}
+    for v in values:
+        if v is not None:
+            counts[v] = counts.get(v, 0) + 1
+    wanted = sorted(counts, key=lambda v: (-counts[v], v))
+    for size in (1, 5, 40):
+        got = duplicates.top_counts(t, ["v"], size).orderBy("place").collect()
+        assert [(r["value"], r["rows"]) for r in got] == [(v, counts[v]) for v in wanted[:size]]
+
+
+def test_texts_stay_out_of_the_shuffle(spark):
+    """Counting values and dropping copies shuffles hashes, keys and counts."""
+    df = spark.createDataFrame([(1, "x" * 90, "y")], "k int, body string, note string")
+    t = Table(df, "k")
+    plans = [duplicates.value_counts(t, ["body"]), duplicates.repeated_rows(df, ["body", "note"])]
+    for frame in plans:
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        for line in plan.split("\n"):
+            if "Exchange" in line:
+                assert "body" not in line and "value" not in line, line
+    kept = duplicates.without_copies(Table(spark.createDataFrame(
+        [(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "k int, v string"), "k"))
+    assert sorted(r["k"] for r in kept.collect()) == [1, 2, 4]
+    copied = duplicates.copy_rows(Table(spark.createDataFrame(
+        [(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "k int, v string"), "k"))
+    assert sorted(r["k"] for r in copied.collect()) == [3, 5]

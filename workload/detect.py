@@ -256,8 +256,7 @@ SELECT column_name, string_agg(v, ',' ORDER BY n DESC, v) AS top_values FROM (
  WHERE n > 1) WHERE r <= 5 GROUP BY column_name""")
 def duplicate_id_top_values(spark, sf_dir):
     t = keyed(spark, sf_dir, O)
-    counts = duplicates.value_counts(t, ["order_id", "supplier_id"]).where("rows > 1")
-    return duplicates.top_values(counts, 5).select(
+    return duplicates.listed(duplicates.top_counts(t, ["order_id", "supplier_id"], 5, least=2)).select(
         "column_name", F.concat_ws(",", "sample_values").alias("top_values"))
 
 
