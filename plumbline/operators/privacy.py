@@ -24,25 +24,43 @@ def _unnamed(table: Table) -> list[str]:
     return [c for c in table.texts if c not in named]
 
 
-ANY_DIGITS = "|".join(f"(?:{p})" for _, p in fv.PII_PATTERNS if "@" not in p)
+# What every match of a pattern holds, cheaper to look for than the pattern: text without it is not searched.
+HELD = {"SSN": "[0-9]-[0-9]{2}-[0-9]", "Credit Card": "[0-9]{13}", "Phone": "[0-9]{4}", "Date of Birth": "[0-9][-/][0-9]{2}[-/]",
+        "IP Address": "[0-9][.][0-9]", "Passport": "[A-Z][0-9]{6}", "Driver License": "[A-Z][0-9]{7}", "Bank Routing": "[0-9]{9}"}
 SHORTEST_DIGIT_MATCH = 7      # no pattern but the e-mail one matches a shorter text
+ANY_DIGITS = "[0-9]{2}|[0-9][.][0-9]"
 
 
-def _winner(table: Table, name: str) -> tuple[str, str]:
-    """SQL for (type, matches) of the first pattern that more than a twentieth of the values match.
+def pattern_tests(table: Table, name: str) -> dict[str, str]:
+    """SQL tests of one text column, by type of personal data.
 
-    A value is tested once against all patterns together; only a hit is tested against each.
-    Every pattern but the e-mail one needs some digits, so short text is not searched at all.
+    A text is searched for digits once; only one that has some meets the tests of the single patterns,
+    and each pattern only a text that holds what all its matches do.
     """
     table.flag("any_digits", name, lambda: F.expr(
         f"length(`{name}`) >= {SHORTEST_DIGIT_MATCH} AND `{name}` RLIKE r'{ANY_DIGITS}'"))
-    kinds, hits = [], []
+    tests = {}
     for kind, pattern in fv.PII_PATTERNS:
-        possible = f"contains(`{name}`, '@')" if "@" in pattern else f"`{PREFIX}any_digits_{name}`"
-        n = f"count_if({possible} AND `{name}` RLIKE r'{pattern}')"
-        enough = f"WHEN {n} > count(`{name}`) * {MIN_SHARE} THEN"
+        possible = f"contains(`{name}`, '@')" if "@" in pattern else \
+            f"`{PREFIX}any_digits_{name}` AND `{name}` RLIKE r'{HELD[kind]}'"
+        tests[kind] = f"{possible} AND `{name}` RLIKE r'{pattern}'"
+    return tests
+
+
+def pattern_counts(table: Table, name: str, by: list[str]) -> DataFrame:
+    """One row per value of ``by`` with the number of texts that match each pattern; one scan."""
+    tests = pattern_tests(table, name)
+    return table.frame().groupBy(*by).agg(*[
+        F.expr(f"count_if({test})").alias(kind.lower().replace(" ", "_")) for kind, test in tests.items()])
+
+
+def _winner(table: Table, name: str) -> tuple[str, str]:
+    """SQL for (type, matches) of the first pattern that more than a twentieth of the values match."""
+    kinds, hits = [], []
+    for kind, test in pattern_tests(table, name).items():
+        enough = f"WHEN count_if({test}) > count(`{name}`) * {MIN_SHARE} THEN"
         kinds.append(f"{enough} '{kind}'")
-        hits.append(f"{enough} {n}")
+        hits.append(f"{enough} count_if({test})")
     return f"CASE {' '.join(kinds)} END", f"CASE {' '.join(hits)} ELSE 0 END"
 
 

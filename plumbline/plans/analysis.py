@@ -29,6 +29,9 @@ class Analysis:
     scores: DataFrame
     facts: score_plan.Facts
     errors: dict[str, str] = field(default_factory=dict)
+    table: Table | None = None
+    rules: list[Rule] = field(default_factory=list)
+    config: dict = field(default_factory=dict)
 
     @property
     def overall(self) -> DataFrame:
@@ -95,8 +98,10 @@ def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
     """
     small = spread_small(df)
     try:
-        return _analyze(df if small is None else small, as_of, domain, row_key, config, dimensions,
+        done = _analyze(df if small is None else small, as_of, domain, row_key, config, dimensions,
                         catalogue)
+        done.table.df = df      # later questions read the table itself
+        return done
     finally:
         if small is not None:
             small.unpersist()
@@ -169,7 +174,8 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
         missing_lineage=len(checks.missing_lineage(table)))
     ran = [d for d in wanted if d not in errors]
     errors |= check_errors
-    return Analysis(domain, issues, score_plan.dimension_scores(issues, facts, ran), facts, errors)
+    return Analysis(domain, issues, score_plan.dimension_scores(issues, facts, ran), facts, errors,
+                    table, [r for r in rules if r.dimension != "__facts"], config)
 
 
 def _with_samples(rows: list[tuple], table: Table, rules: list[Rule], size: int) -> list[tuple]:

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
 from ..functions import scoring
+from .issue_rows import first_keys, issue_rows
 
 SCHEMAS = {
     "analysis_runs": "run_id bigint, dataset_name string, domain string, row_count bigint, "
@@ -20,6 +21,8 @@ SCHEMAS = {
                  "issue_type string, description string, affected_rows bigint, "
                  "affected_pct double, severity string, risk_level string, sample_values string, "
                  "row_keys string, logged_at string",
+    "issue_rows": "row_key string, column_name string, issue_type string, value string, run_id bigint, "
+                  "dimension string",
     "fix_history": "fix_id string, run_id bigint, domain string, dimension string, "
                    "column_name string, issue_type string, fix_action string, fix_params string, "
                    "rows_affected bigint, success int, status string, applied_by string, "
@@ -38,6 +41,9 @@ SCHEMAS = {
                    "timestamp string",
 }
 
+# Tables whose rows grow with the checked tables lie in folders that a question about one run reads alone.
+PARTITIONS = {"issue_rows": ["run_id", "dimension"]}
+
 # The issue type that each repair action answers, so that issues and fixes can be matched.
 ISSUE_OF_ACTION = {
     "impute_median": "missing_values", "impute_mean": "missing_values", "impute_zero": "missing_values",
@@ -82,16 +88,31 @@ class Store:
     def append(self, name: str, rows: DataFrame) -> None:
         shaped = self.spark.createDataFrame([], SCHEMAS[name]).unionByName(
             rows, allowMissingColumns=True)
-        shaped.write.mode("append").parquet(self.path(name))
+        writer = shaped.write.mode("append")
+        if name in PARTITIONS:
+            writer = writer.partitionBy(*PARTITIONS[name])
+        writer.parquet(self.path(name))
 
     def next_run_id(self) -> int:
         return (self.read("analysis_runs").agg(F.max("run_id")).first()[0] or 0) + 1
 
     def log_run(self, analysis, dataset_name: str, at: dt.datetime, seconds: float,
-                row_keys: DataFrame | None = None) -> int:
-        """Append a run with its scores and issues; ``row_keys`` has dimension, column_name,
-        issue_type and an array of keys per issue."""
+                row_keys: DataFrame | None = None, rows: bool = False) -> int:
+        """Append a run with its scores and issues.
+
+        With ``rows``, the keys of all rows of all issues are written too, and the first hundred of each
+        stand beside it in the issue log; else ``row_keys`` may bring (dimension, column_name, issue_type,
+        row_keys).
+        """
         run_id, stamp = self.next_run_id(), at.isoformat()
+        if rows:
+            key = analysis.table.row_key[0]
+            self.append("issue_rows", issue_rows(analysis).select(
+                F.col(f"`{key}`").cast("string").alias("row_key"), "column_name", "issue_type", "value",
+                F.lit(run_id).cast("bigint").alias("run_id"), "dimension"))
+            kind = analysis.table.df.schema[key].dataType
+            written = self.read("issue_rows").where(F.col("run_id") == run_id)
+            row_keys = first_keys(written.withColumn("row_key", F.col("row_key").cast(kind)), ["row_key"])
         overall = analysis.overall.first()
         run = [(run_id, dataset_name, analysis.domain, analysis.facts.total_rows,
                 analysis.facts.columns, float(overall["overall_score"]), stamp, round(seconds, 3),

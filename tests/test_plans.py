@@ -10,6 +10,7 @@ from plumbline.operators.fixes import Context
 from plumbline.plans import history, remediation, reports, scores
 from plumbline.plans import analysis as analysis_plan
 from plumbline.plans.analysis import DIMENSIONS, analyze
+from plumbline.plans.issue_rows import issue_rows
 from plumbline.streaming import monitor
 from plumbline.operators import checks
 from plumbline.operators.table import Table
@@ -184,3 +185,38 @@ def test_rules_run_on_a_stream(spark, tmp_path):
     query.stop()
     got = spark.table("rates").agg(F.sum("rows"), F.sum("affected_rows")).first()
     assert tuple(got) == (6, 3)
+
+
+@pytest.mark.parametrize("name, domain", [("dirty_orders", "supply_chain"), ("dirty_customers", "finance"),
+                                          ("dirty_services", "automotive")])
+def test_rows_of_issues_agree_with_their_counts(spark, name, domain):
+    """Every issue that rows cause lists as many rows as it counts, each once; personal values stay hidden."""
+    check = analyze(inputs.view(spark, SMALL, name), AS_OF, domain, "row_key")
+    rows = issue_rows(check).collect()
+    assert len({(r["row_key"], r["dimension"], r["column_name"], r["issue_type"]) for r in rows}) == len(rows)
+    got = {}
+    for r in rows:
+        k = (r["dimension"], r["column_name"], r["issue_type"])
+        got[k] = got.get(k, 0) + 1
+    whole = {"high_cardinality", "pii_exposure_summary", "survivorship_conflict", "constant_column",
+             "missing_traceability_metadata", "missing_audit_timestamp", "mixed_date_formats", "amount_reconciliation_gap",
+             "all_null_column", "insufficient_row_count", "missing_primary_key"}
+    counted = {}        # two limits of one column are two issues of one type
+    for r in check.issues.where(~F.col("issue_type").isin(*whole)).collect():
+        k = (r["dimension"], r["column_name"], r["issue_type"])
+        counted[k] = counted.get(k, 0) + r["affected_rows"]
+    assert {k: got.get(k) for k in counted} == counted
+    assert not any(r["value"] for r in rows if r["dimension"] == "pii_security")
+
+
+def test_rows_of_issues_are_kept_with_the_run(spark, tmp_path):
+    check = analyze(inputs.view(spark, SMALL, "dirty_orders"), AS_OF, "supply_chain", "row_key",
+                    {"near_duplicates": False}, ["validity", "uniqueness"])
+    store = history.Store(spark, str(tmp_path))
+    run = store.log_run(check, "orders", NOW, 1.0, rows=True)
+    kept = store.read("issue_rows").where(f"run_id = {run}")
+    assert kept.count() == issue_rows(check).count() > 0
+    assert (tmp_path / "issue_rows" / f"run_id={run}" / "dimension=validity").is_dir()
+    for r in store.read("issue_log").collect():
+        keys = json.loads(r["row_keys"])
+        assert 0 < len(keys) <= 100 and keys == sorted(keys) and len(keys) == min(100, r["affected_rows"])

@@ -12,7 +12,7 @@ from plumbline.operators.table import Table
 from plumbline.plans import catalogue
 
 from .inputs import AS_OF, table, view
-from .registry import date_sql, issue_sql, query, rule_query, shown
+from .registry import SEVERITY, date_sql, issue_sql, query, rule_query, shown
 
 AS_OF_SQL = "DATE '2026-01-01'"
 O, C, S, L, A = ("dirty_orders", "dirty_customers", "dirty_services", "dirty_claims",
@@ -335,12 +335,12 @@ def near_duplicates_documents(spark, sf_dir):
 
 
 @query("uniqueness_issues", f"""
-SELECT 'order_id' AS column_name, 'duplicate_ids' AS issue_type, CAST(sum(n) AS BIGINT) AS affected_rows,
- round(sum(n) * 1.0 / (SELECT count(*) FROM {O}), 6) AS affected_pct, 'LOW' AS severity,
- 'HIGH' AS risk_level, 'deduplicate_ids' AS fix_action, false AS auto_fixable
-FROM (SELECT count(*) AS n FROM {O} GROUP BY order_id HAVING count(*) > 1)""")
+WITH n AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_name, {c} AS v, count(*) AS n FROM {O} WHERE {c} IS NOT NULL GROUP BY {c} HAVING count(*) > 1" for c in ('order_id', 'supplier_id', 'batch_id'))}),
+ s AS (SELECT column_name, CAST(sum(n) AS BIGINT) AS affected_rows, sum(n) * 1.0 / (SELECT count(*) FROM {O}) AS affected_pct FROM n GROUP BY column_name)
+SELECT column_name, 'duplicate_ids' AS issue_type, affected_rows, round(affected_pct, 6) AS affected_pct, {SEVERITY} AS severity,
+ 'HIGH' AS risk_level, 'deduplicate_ids' AS fix_action, false AS auto_fixable FROM s""")
 def uniqueness_issues(spark, sf_dir):
-    t = Table(view(spark, sf_dir, O).drop("supplier_id", "batch_id"), "row_key")
+    t = keyed(spark, sf_dir, O)
     return shown(duplicates.uniqueness_issues(t, t.df.count()))
 
 
@@ -791,9 +791,7 @@ DOC_COUNTS = ", ".join(
 
 @query("pii_pattern_counts_documents", f"SELECT lang, {DOC_COUNTS} FROM documents GROUP BY lang")
 def pii_pattern_counts_documents(spark, sf_dir):
-    text = F.col("text")
-    return table(spark, sf_dir, "documents").groupBy("lang").agg(*[
-        F.count_if(text.rlike(p)).alias(n.lower().replace(" ", "_")) for n, p in fv.PII_PATTERNS])
+    return privacy.pattern_counts(Table(table(spark, sf_dir, "documents"), "doc_id"), "text", ["lang"])
 
 
 @query("pii_exposure_summary", f"""

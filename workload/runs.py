@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import fixed_values as fv
 from plumbline.operators.fixes import Context
 from plumbline.plans import remediation, reports
 from plumbline.plans.analysis import analyze
+from plumbline.plans.history import Store
+from plumbline.plans.issue_rows import issue_rows as rows_of
+from plumbline.session import shared_folder
 
 from .detect import (C, NUMBER_DUMMY, O, O_NUMBERS, ORDER_COLUMNS, ORDER_TEXTS, S, TEXT_DUMMY,
                      TOTAL_OFF, _fences, _mixed, _pii_sql)
@@ -155,3 +160,34 @@ def repair_and_recheck_all(spark, sf_dir):
     done = remediation.remediate(view(spark, sf_dir, O), ["standardization", "consistency", "validity"],
                                  Context(AS_OF, "row_key"), "supply_chain", PLAIN, check=CHECKED)
     return done.comparison
+
+
+# Every row of every issue of a check; one row per broken rule and row.
+@query("issue_rows", f"""
+SELECT row_key, 'validity' AS dimension, 'quantity' AS column_name, 'range_violation' AS issue_type, CAST(CAST(quantity AS DOUBLE) AS VARCHAR) AS value FROM {O} WHERE quantity < 1
+UNION ALL SELECT row_key, 'validity', 'order_id', 'pattern_violation', order_id FROM {O} WHERE NOT regexp_matches(order_id, '^ORD-\\d{{8}}$')
+UNION ALL SELECT row_key, 'validity', 'price_text', 'type_mismatch', price_text FROM {O} WHERE starts_with(price_text, '$')
+UNION ALL SELECT row_key, 'uniqueness', 'order_id', 'duplicate_ids', order_id FROM {O} WHERE order_id IN (SELECT order_id FROM {O} GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT row_key, 'uniqueness', 'supplier_id', 'duplicate_ids', supplier_id FROM {O} WHERE supplier_id IN (SELECT supplier_id FROM {O} GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT row_key, 'uniqueness', 'batch_id', 'duplicate_ids', batch_id FROM {O}
+UNION ALL SELECT row_key, 'integrity', 'actual_delivery', 'integrity_violation', NULL FROM {O} WHERE status = 'Delivered' AND actual_delivery IS NULL""")
+def issue_rows(spark, sf_dir):
+    return rows_of(_analysis(spark, sf_dir, dimensions=["validity", "uniqueness", "integrity"]))
+
+
+@query("issue_row_counts", f"""
+SELECT dimension, column_name, issue_type, CAST(count(*) AS BIGINT) AS rows, min(row_key) AS first_key FROM (
+ SELECT row_key, 'survivorship' AS dimension, 'customer_id' AS column_name, 'survivorship_conflict' AS issue_type FROM {C} WHERE customer_id IN (
+  SELECT customer_id FROM {C} GROUP BY 1 HAVING count(*) > 1 AND (min(customer_name) <> max(customer_name) OR min(email) <> max(email) OR min(phone) <> max(phone)))
+ UNION ALL SELECT row_key, 'survivorship', 'customer_id', 'missing_golden_record' FROM {C} WHERE customer_id IN (SELECT customer_id FROM {C} GROUP BY 1 HAVING count(*) > 1)
+ UNION ALL SELECT row_key, 'conformity', 'email', 'email_format_violation' FROM {C} WHERE NOT regexp_matches(email, '^[^@]+@[^@]+\\.[^@]+$')
+ UNION ALL SELECT row_key, 'conformity', 'zip_code', 'zipcode_format_violation' FROM {C} WHERE NOT regexp_matches(zip_code, '^\\d{{5}}(-\\d{{4}})?$')
+ UNION ALL SELECT row_key, 'constraints', 'age', 'constraint_violation_age' FROM {C} WHERE age < 0 OR age > 130
+) GROUP BY dimension, column_name, issue_type""")
+def issue_row_counts(spark, sf_dir):
+    """Written with the run and read back from the history."""
+    check = _analysis(spark, sf_dir, C, "finance", dimensions=["survivorship", "conformity", "constraints"])
+    store = Store(spark, shared_folder(spark))
+    run = store.log_run(check, "customers", dt.datetime(2026, 1, 1), 0.0, rows=True)
+    return (store.read("issue_rows").where(F.col("run_id") == run).groupBy("dimension", "column_name", "issue_type")
+            .agg(F.count(F.lit(1)).alias("rows"), F.min(F.col("row_key").cast("bigint")).alias("first_key")))
