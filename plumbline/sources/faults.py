@@ -6,9 +6,15 @@ value and the same faults on any cluster, after any lost executor, and in SQL.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import fixed_values as fv
+from ..operators.ordering import with_row_number
+
 KEY = "__key"
+NUMBER = "__number"
 RANGE = 4294967296.0
 
 
@@ -37,11 +43,40 @@ def append_copies(df: DataFrame, rate: float, key: str, rekey: dict[str, Column]
     return df.unionByName(df.where(hit("copy", rate, key)).withColumns(rekey))
 
 
+def respell(df: DataFrame, column: str, rate: float, spellings: dict[str, list[str]]) -> DataFrame:
+    """Another spelling for a share of the values that have one."""
+    return corrupt(df, column, rate, KEY, lambda c: F.coalesce(*[
+        F.when(c == value, pick(f"spelling {column}", others)) for value, others in spellings.items()], c))
+
+
+def relayout(df: DataFrame, column: str, rate: float) -> DataFrame:
+    """Another layout for a share of the dates."""
+    place = whole(f"layout {column}", 0, len(fv.FAULT_DATE_LAYOUTS) - 1)
+    return corrupt(df, column, rate, KEY, lambda c: F.coalesce(*[
+        F.when(place == i, F.date_format(c.try_cast("date"), layout))
+        for i, layout in enumerate(fv.FAULT_DATE_LAYOUTS)], c))
+
+
+def numbered(df: DataFrame, key: str) -> tuple[DataFrame, int, int]:
+    """``df`` with a dense row number, the first number and the rows. Keys without gaps are the numbers;
+    others are numbered in their order, in parallel."""
+    low, high, n = df.agg(F.min(key), F.max(key), F.count(F.lit(1))).first()
+    if n and high - low + 1 == n:
+        return df.withColumn(NUMBER, F.col(key)), low, n
+    return with_row_number(df, [key], NUMBER), 0, n
+
+
+def other_number(low: int, n: int) -> Column:
+    """The number of another row: a rotation of all numbers, so every row is another's at most once."""
+    step = max(1, math.floor(n * 0.6180339887498949))
+    return (F.col(NUMBER) - low + step) % max(n, 1) + low
+
+
 # --- value makers -----------------------------------------------------------------------------------
 
-def code(prefix: str, width: int, shift: int = 0) -> Column:
-    """The key with leading zeros up to ``width`` digits; longer keys are kept whole."""
-    digits = (F.col(KEY) + shift).cast("string")
+def code(prefix: str, width: int, shift: int = 0, number: Column | None = None) -> Column:
+    """The key, or another number, with leading zeros up to ``width`` digits; longer ones are kept whole."""
+    digits = ((F.col(KEY) if number is None else number) + shift).cast("string")
     return F.concat(F.lit(prefix), F.when(F.length(digits) < width, F.lpad(digits, width, "0"))
                     .otherwise(digits))
 
@@ -94,8 +129,10 @@ def _base(df: DataFrame, key: str) -> DataFrame:
     return df.select(F.col(key).cast("bigint").alias(KEY))
 
 
-def _us(column: str) -> Column:
-    return F.date_format(F.col(column).try_cast("date"), "MM/dd/yyyy")
+def _nulls(df: DataFrame, domain: str) -> DataFrame:
+    for column, rate in fv.FAULT_NULLS[domain].items():
+        df = inject_nulls(df, column, rate, KEY)
+    return df
 
 
 def _done(df: DataFrame, drop: list[str] = ()) -> DataFrame:
@@ -131,26 +168,32 @@ def healthcare(df: DataFrame, key: str, shift: int) -> DataFrame:
         pick("paid", ["Paid", "Pending", "Partial", "Denied"]).alias("payment_status"),
         pick("status", ["Active", "Discharged", "Deceased", "Transferred"]).alias("status"),
         text_of(day("updated", "2023-01-01", 1000)).alias("last_updated"))
-    for column, rate in (("diagnosis_code", 0.12), ("physician_name", 0.07), ("treatment", 0.09),
-                         ("insurance_id", 0.06), ("email", 0.05), ("last_updated", 0.05)):
-        t = inject_nulls(t, column, rate, KEY)
-    t = append_copies(t, 0.06, KEY, {KEY: F.col(KEY) + shift, "patient_id": code("PAT-", 6, shift)})
-    t = corrupt(t, "age", 0.02, KEY, lambda c: F.element_at(
-        F.array(*map(F.lit, [-5, -1, 150, 200, 999])), whole("bad age", 1, 5).cast("int")).cast("bigint"))
-    t = _mix_case(_mix_case(t, "gender", 0.08), "status", 0.06)
-    t = corrupt(t, "admission_date", 0.07, KEY, lambda c: _us("admission_date"))
-    t = corrupt(t, "discharge_date", 0.03, KEY, lambda c: F.lit("2019-06-01"))
-    t = corrupt(t, "last_updated", 0.10, KEY, lambda c: F.lit("2021-01-01"))
-    t = corrupt(t, "ssn", 0.04, KEY, lambda c: F.lit("123456789"))
-    t = corrupt(t, "bill_amount", 0.02, KEY, lambda c: F.lit(-500.0))
-    t = corrupt(t, "patient_id", 0.02, KEY, lambda c: F.lit("PAT-000001"))
+    t = _nulls(t, "healthcare")
+    t = append_copies(t, fv.FAULT_COPIES["healthcare"], KEY, {KEY: F.col(KEY) + shift, "patient_id": code("PAT-", 6, shift)})
+    t = corrupt(t, "age", 0.02, KEY, lambda c: pick("bad age", fv.FAULT_AGES).cast("bigint"))
+    t = respell(t, "gender", 0.08, fv.FAULT_SPELLINGS["gender"])
+    t = respell(t, "status", 0.06, fv.FAULT_SPELLINGS["care_status"])
+    t = relayout(t, "admission_date", 0.07)
+    t = corrupt(t, "discharge_date", 0.03, KEY, lambda c: text_of(day("early discharge", "2018-06-01", 365)))
+    t = corrupt(t, "last_updated", 0.10, KEY, lambda c: text_of(day("stale", "2020-06-01", 900)))
+    t = corrupt(t, "ssn", 0.04, KEY, lambda c: pick("bad ssn", fv.FAULT_SSNS))
+    t = corrupt(t, "bill_amount", 0.02, KEY, lambda c: pick("bad bill", fv.FAULT_BILLS))
+    # Some rows take the id of one of the first hundred patients, with another address and status.
+    low, n = df.agg(F.min(F.col(key).cast("bigint")), F.count(F.lit(1))).first()
+    same = hit("same patient", 0.02)
+    first = F.lit(low or 0) + F.floor(draw("patient taken") * min(n, 100))
+    t = (t.withColumn("patient_id", F.when(same, code("PAT-", 6, number=first)).otherwise(F.col("patient_id")))
+         .withColumn("email", F.when(same, mail("other patient")).otherwise(F.col("email")))
+         .withColumn("status", F.when(same, pick("other status", ["Active", "Transferred"])).otherwise(F.col("status"))))
     t = corrupt(t, "patient_name", 0.01, KEY, lambda c: F.concat(c, F.lit(" ÿϪ")))
     return _done(t)
 
 
 def finance(df: DataFrame, key: str, shift: int) -> DataFrame:
-    t = _base(df, key).select(
-        KEY, code("TXN-", 8).alias("transaction_id"),
+    """Copies take the transaction id of another row."""
+    base, low, n = numbered(_base(df, key), KEY)
+    t = base.select(
+        KEY, NUMBER, code("TXN-", 8, number=F.col(NUMBER)).alias("transaction_id"),
         F.concat(F.lit("ACC-"), whole("acc", 1000000, 9999999).cast("string")).alias("account_id"),
         F.concat(F.lit("CUST-"), whole("cust", 10000, 99999).cast("string")).alias("customer_id"),
         person("customer").alias("customer_name"), mail("customer").alias("email"),
@@ -169,17 +212,17 @@ def finance(df: DataFrame, key: str, shift: int) -> DataFrame:
                  whole("card b", 10000000, 99999999).cast("string")).alias("card_number"),
         whole("routing", 100000000, 999999999).cast("string").alias("routing_number"),
         text_of(day("updated", "2020-01-01", 1800)).alias("last_updated"))
-    for column, rate in (("account_id", 0.07), ("email", 0.05), ("merchant", 0.04)):
-        t = inject_nulls(t, column, rate, KEY)
-    t = append_copies(t, 0.08, KEY, {KEY: F.col(KEY) + shift})
+    t = _nulls(t, "finance")
+    t = append_copies(t, fv.FAULT_COPIES["finance"], KEY, {
+        KEY: F.col(KEY) + shift, "transaction_id": code("TXN-", 8, number=other_number(low, n))})
     t = t.withColumn("number", F.when(hit("negative", 0.04) & (F.col("transaction_type") == "Credit"),
                                       -F.col("number")).otherwise(F.col("number")))
-    t = _mix_case(t, "currency", 0.07)
-    t = corrupt(t, "transaction_date", 0.03, KEY, lambda c: F.lit("2030-01-01"))
+    t = respell(t, "currency", 0.07, fv.FAULT_SPELLINGS["currency"])
+    t = corrupt(t, "transaction_date", 0.03, KEY, lambda c: text_of(day("ahead", "2030-01-01", 364)))
     t = corrupt(t, "number", 0.02, KEY, lambda c: F.lit(0.0))
     plain = F.col("number").cast("string")
     t = t.withColumn("amount", F.when(hit("dollar", 0.05), F.concat(F.lit("$"), plain)).otherwise(plain))
-    return _done(_mix_case(t, "status", 0.06), ["number"])
+    return _done(respell(t, "status", 0.06, fv.FAULT_SPELLINGS["payment_state"]), ["number", NUMBER])
 
 
 def insurance(df: DataFrame, key: str, shift: int) -> DataFrame:
@@ -205,13 +248,13 @@ def insurance(df: DataFrame, key: str, shift: int) -> DataFrame:
         text_of(day("updated", "2024-01-01", 700)).alias("last_updated"))
     t = t.withColumn("settlement_amount", F.when(F.col("claim_status") == "Settled",
                                                  F.round(F.col("claim_amount") * 0.8, 2)))
-    t = inject_nulls(inject_nulls(t, "adjuster", 0.12, KEY), "zip_code", 0.05, KEY)
-    t = append_copies(t, 0.06, KEY, {KEY: F.col(KEY) + shift, "policy_id": code("POL-", 7, shift)})
-    t = corrupt(t, "claim_amount", 0.05, KEY, lambda c: F.col("coverage_amount") * 2)
-    t = corrupt(t, "policy_end", 0.03, KEY, lambda c: F.lit("2017-06-01"))
-    t = corrupt(t, "zip_code", 0.04, KEY, lambda c: F.lit("ZIP-NA"))
-    t = _mix_case(t, "policy_type", 0.07)
-    return _done(corrupt(t, "last_updated", 0.10, KEY, lambda c: F.lit("2021-01-01")))
+    t = _nulls(t, "insurance")
+    t = append_copies(t, fv.FAULT_COPIES["insurance"], KEY, {KEY: F.col(KEY) + shift, "policy_id": code("POL-", 7, shift)})
+    t = corrupt(t, "claim_amount", 0.05, KEY, lambda c: F.col("coverage_amount") * real("exceeds", 1.1, 3.0, 4))
+    t = corrupt(t, "policy_end", 0.03, KEY, lambda c: text_of(day("early end", "2016-06-01", 365)))
+    t = corrupt(t, "zip_code", 0.04, KEY, lambda c: pick("bad zip", fv.FAULT_ZIPS))
+    t = respell(t, "policy_type", 0.07, fv.FAULT_SPELLINGS["policy_type"])
+    return _done(corrupt(t, "last_updated", 0.10, KEY, lambda c: text_of(day("stale", "2021-01-01", 900))))
 
 
 def supply_chain(df: DataFrame, key: str, shift: int) -> DataFrame:
@@ -235,13 +278,13 @@ def supply_chain(df: DataFrame, key: str, shift: int) -> DataFrame:
         person("inspector").alias("inspector"),
         text_of(day("updated", "2024-01-01", 700)).alias("last_updated"))
     t = t.withColumn("total_amount", F.round(F.col("quantity") * F.col("unit_price"), 2))
-    for column, rate in (("supplier_id", 0.06), ("quality_check", 0.12), ("inspector", 0.15)):
-        t = inject_nulls(t, column, rate, KEY)
+    t = _nulls(t, "supply_chain")
     t = corrupt(t, "quantity", 0.04, KEY, lambda c: -F.abs(c))
-    t = corrupt(t, "total_amount", 0.07, KEY, lambda c: F.round(c * 1.5, 2))
-    t = corrupt(t, "actual_delivery", 0.04, KEY, lambda c: F.lit("2021-12-01"))
-    t = corrupt(t, "expected_delivery", 0.03, KEY, lambda c: F.lit("2021-12-15"))
-    t = append_copies(t, 0.05, KEY, {KEY: F.col(KEY) + shift, "order_id": code("ORD-", 8, shift)})
+    t = corrupt(t, "total_amount", 0.07, KEY, lambda c: F.round(c * real("wrong total", 0.5, 1.8, 4), 2))
+    start = F.col("order_date").cast("date")
+    t = corrupt(t, "actual_delivery", 0.04, KEY, lambda c: text_of(F.date_sub(start, whole("early", 1, 30).cast("int"))))
+    t = corrupt(t, "expected_delivery", 0.03, KEY, lambda c: text_of(F.date_sub(start, whole("early plan", 1, 10).cast("int"))))
+    t = append_copies(t, fv.FAULT_COPIES["supply_chain"], KEY, {KEY: F.col(KEY) + shift, "order_id": code("ORD-", 8, shift)})
     t = _mix_case(t, "category", 0.06)
     return _done(t.withColumn("quantity", F.when(hit("zero", 0.02), 0).otherwise(F.col("quantity"))))
 
@@ -269,15 +312,14 @@ def automotive(df: DataFrame, key: str, shift: int) -> DataFrame:
         text_of(day("updated", "2023-01-01", 1000)).alias("last_updated"))
     t = t.withColumn("cost", F.round(F.col("parts_cost") + F.col("labor_cost"), 2))
     t = t.withColumn("warranty_status", F.when(F.col("year") >= 2020, "Active").otherwise("Expired"))
-    t = corrupt(t, "vin", 0.06, KEY, lambda c: F.lit("INVALIDVIN123"))
-    t = append_copies(t, 0.06, KEY, {KEY: F.col(KEY) + shift, "service_id": code("SVC-", 8, shift)})
-    t = corrupt(t, "cost", 0.07, KEY, lambda c: F.round(c * 1.5, 2))
+    t = corrupt(t, "vin", 0.06, KEY, lambda c: pick("bad vin", fv.FAULT_VINS))
+    t = append_copies(t, fv.FAULT_COPIES["automotive"], KEY, {KEY: F.col(KEY) + shift, "service_id": code("SVC-", 8, shift)})
+    t = corrupt(t, "cost", 0.07, KEY, lambda c: F.round(c * real("wrong cost", 0.4, 2.0, 4), 2))
     t = _mix_case(t, "make", 0.08)
-    t = corrupt(t, "service_date", 0.03, KEY, lambda c: F.lit("2030-01-01"))
+    t = corrupt(t, "service_date", 0.03, KEY, lambda c: text_of(day("ahead", "2030-01-01", 179)))
     t = corrupt(t, "mileage", 0.02, KEY, lambda c: -F.abs(c))
-    for column, rate in (("technician", 0.08), ("email", 0.06), ("phone", 0.05)):
-        t = inject_nulls(t, column, rate, KEY)
-    return _done(corrupt(t, "year", 0.01, KEY, lambda c: F.lit(2099).cast("bigint")))
+    t = _nulls(t, "automotive")
+    return _done(corrupt(t, "year", 0.01, KEY, lambda c: pick("bad year", fv.FAULT_YEARS).cast("bigint")))
 
 
 DOMAINS = {"healthcare": healthcare, "finance": finance, "insurance": insurance,

@@ -159,3 +159,29 @@ def test_copies_have_keys_of_their_own(spark, domain):
              "automotive": "service_id"}.get(domain)
     if first and domain != "healthcare":        # healthcare repeats an id on purpose
         assert out.select(first).distinct().count() == out.count()
+
+
+@pytest.mark.parametrize("keys", [range(10, 410), [k * 7 + k % 3 for k in range(400)]])
+def test_copies_take_ids_of_other_rows(spark, keys):
+    """With dense keys and with gaps: every copy has the id of another row, each id at most twice."""
+    base = spark.createDataFrame([(k,) for k in keys], "k bigint").repartition(5)
+    rows = faults.domain_table("finance", base, "k", 10_000).collect()
+    own = {r["row_key"]: r["transaction_id"] for r in rows if r["row_key"] < 10_000}
+    taken = {r["row_key"] - 10_000: r["transaction_id"] for r in rows if r["row_key"] >= 10_000}
+    assert len(set(own.values())) == len(own) == 400 and 10 < len(taken) < 60
+    assert len(set(taken.values())) == len(taken)
+    assert all(t in own.values() and t != own[k] for k, t in taken.items())
+
+
+def test_patients_in_conflict(spark):
+    rows = faults.domain_table("healthcare", spark.range(1, 3001), "id", 100_000).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r["patient_id"], []).append(r)
+    torn = [p for p in held.values() if len(p) > 1]
+    assert len(torn) > 30 and all(len({r["email"] for r in p}) > 1 or len({r["status"] for r in p}) > 1 for p in torn)
+    layouts = [r["admission_date"] for r in rows if not r["admission_date"][:4].isdigit()]
+    assert any("/" in d for d in layouts) and any("," in d for d in layouts) and any(d[2] == "-" for d in layouts)
+    assert {r["age"] for r in rows} >= {-5, -1, 150, 200, 999}
+    assert faults.domain_table("healthcare", spark.range(0), "id").count() == 0
+    assert faults.domain_table("finance", spark.range(0), "id").count() == 0

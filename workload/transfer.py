@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.operators import checks, profile
+from plumbline.functions import fixed_values as fv
+from plumbline.operators import checks
 from plumbline.operators.table import Table
 from plumbline.plans import history
 from plumbline.session import shared_folder
@@ -229,17 +230,129 @@ def domain_supply_chain(spark, sf_dir):
                     F.col("inspector").isNotNull().cast("int").alias("inspected"))
 
 
-def _domain_check(name: str, base: str, key: str):
-    @query(f"domain_{name}")
-    def run(spark, sf_dir):
-        t = faults.domain_table(name, table(spark, sf_dir, base), key)
-        return profile.null_counts(Table(t, "row_key")).select("column_name", "null_count", "total_rows")
-    return run
+# The faults of the other domains: the columns they change, restated over (key, own), where a copy has a
+# key of its own. Values are drawn by ``key``, faults after the copying by ``own``.
+def _rows(base: str, key: str, rate: float) -> str:
+    return (f"WITH r AS (SELECT {key} AS key, {key} AS own FROM {base} "
+            f"UNION ALL SELECT {key}, {key} + 1000000000 FROM {base} WHERE {_u(key, 'copy')} < {rate})")
 
 
-for name, base, key in (("healthcare", "events", "event_id"), ("finance", "orders", "o_orderkey"),
-                        ("insurance", "customer", "c_custkey"), ("automotive", "part", "p_partkey")):
-    _domain_check(name, base, key)
+def _one_of(key: str, label: str, values: list) -> str:
+    shown = ", ".join(f"'{v}'" if isinstance(v, str) else str(v) for v in values)
+    return f"([{shown}])[CAST(floor({_u(key, label)} * {len(values)}) + 1 AS BIGINT)]"
+
+
+def _spelled(column: str, value: str, rate: float, spellings: dict) -> str:
+    cases = " ".join(f"WHEN {value} = '{v}' THEN {_one_of('own', f'spelling {column}', others)}" for v, others in spellings.items())
+    return f"CASE WHEN {_u('own', f'corrupt {column}')} >= {rate} THEN {value} {cases} ELSE {value} END"
+
+
+def _number(key: str, label: str, low: int, high: int) -> str:
+    return f"CAST(floor({_u(key, label)} * {high - low + 1}) + {low} AS BIGINT)"
+
+
+def _day(key: str, label: str, first: str, days: int) -> str:
+    return f"(DATE '{first}' + CAST({_number(key, label, 0, days)} AS INT))"
+
+
+def _money(key: str, label: str, low: float, high: float, places: int = 2) -> str:
+    return f"round({_u(key, label)}::DOUBLE * ({high} - {low})::DOUBLE + {low}, {places})"
+
+
+def _changed(column: str, rate: float, new: str, old: str, key: str = "own") -> str:
+    return f"CASE WHEN {_u(key, f'corrupt {column}')} < {rate} THEN {new} ELSE {old} END"
+
+
+def _kept(column: str, rate: float, value: str, key: str = "key") -> str:
+    return f"CASE WHEN {_u(key, f'null {column}')} >= {rate} THEN {value} END"
+
+
+_padded = "lpad(CAST({0} AS VARCHAR), CAST(greatest({1}, length(CAST({0} AS VARCHAR))) AS INT), '0')".format
+
+
+def _mail(key: str, label: str) -> str:
+    return f"lower({_one_of(key, f'{label} first', faults.FIRST)}) || '.' || {key} || '@example.org'"
+
+
+_admitted = _day("key", "admitted", "2020-01-01", 1800)
+_layout = _number("own", "layout admission_date", 0, 2)
+_care = _spelled("status", _one_of("key", "status", ["Active", "Discharged", "Deceased", "Transferred"]), 0.06, fv.FAULT_SPELLINGS["care_status"])
+
+
+@query("domain_healthcare", f"""{_rows('events', 'event_id', 0.06)}
+SELECT own AS row_key,
+ CASE WHEN {_u('own', 'same patient')} < 0.02 THEN 'PAT-' || {_padded(f"((SELECT min(event_id) FROM events) + CAST(floor({_u('own', 'patient taken')} * least(100, (SELECT count(*) FROM events))) AS BIGINT))", 6)}
+  ELSE 'PAT-' || {_padded('own', 6)} END AS patient_id,
+ CASE WHEN {_u('own', 'same patient')} < 0.02 THEN {_mail('own', 'other patient')} ELSE {_kept('email', 0.05, _mail('key', 'patient'))} END AS email,
+ CASE WHEN {_u('own', 'same patient')} < 0.02 THEN {_one_of('own', 'other status', ['Active', 'Transferred'])} ELSE {_care} END AS status,
+ {_spelled('gender', _one_of('key', 'gender', ['Male', 'Female', 'Other']), 0.08, fv.FAULT_SPELLINGS['gender'])} AS gender,
+ {_changed('admission_date', 0.07, f"CASE {_layout} WHEN 0 THEN strftime({_admitted}, '%m/%d/%Y') WHEN 1 THEN strftime({_admitted}, '%d-%m-%Y') ELSE strftime({_admitted}, '%B %d, %Y') END", f"CAST({_admitted} AS VARCHAR)")} AS admission_date,
+ {_changed('discharge_date', 0.03, f"CAST({_day('own', 'early discharge', '2018-06-01', 365)} AS VARCHAR)", f"CAST({_admitted} + CAST({_number('key', 'stay', 0, 30)} AS INT) AS VARCHAR)")} AS discharge_date,
+ {_changed('bill_amount', 0.02, _one_of('own', 'bad bill', fv.FAULT_BILLS) + '::DOUBLE', _money('key', 'bill', 500, 250000))} AS bill_amount,
+ {_kept('diagnosis_code', 0.12, _one_of('key', 'diagnosis', ['J18.9', 'I21.0', 'E11.9', 'J44.1', 'C34.1']))} AS diagnosis_code
+FROM r""")
+def domain_healthcare(spark, sf_dir):
+    return faults.domain_table("healthcare", table(spark, sf_dir, "events"), "event_id").select(
+        "row_key", "patient_id", "email", "status", "gender", "admission_date", "discharge_date", "bill_amount", "diagnosis_code")
+
+
+_amount = _money("key", "amount", 0.5, 15000)
+_type = _one_of("key", "type", ["Credit", "Debit", "Transfer", "Refund", "Fee"])
+
+
+@query("domain_finance", f"""{_rows('orders', 'o_orderkey', 0.08)},
+ w AS (SELECT o_orderkey AS key, row_number() OVER (ORDER BY o_orderkey) - 1 AS i, count(*) OVER () AS n, min(o_orderkey) OVER () AS low, max(o_orderkey) OVER () AS high FROM orders),
+ i AS (SELECT key, i, n, CASE WHEN high - low + 1 = n THEN low ELSE 0 END AS low, greatest(1, CAST(floor(n * 0.6180339887498949::DOUBLE) AS BIGINT)) AS step FROM w)
+SELECT own AS row_key, 'TXN-' || {_padded('(CASE WHEN own = key THEN low + i ELSE low + (i + step) % n END)', 8)} AS transaction_id,
+ {_kept('account_id', 0.07, f"'ACC-' || {_number('key', 'acc', 1000000, 9999999)}")} AS account_id,
+ {_spelled('currency', _one_of('key', 'cur', ['USD', 'EUR', 'GBP', 'JPY', 'CAD']), 0.07, fv.FAULT_SPELLINGS['currency'])} AS currency,
+ {_changed('transaction_date', 0.03, f"CAST({_day('own', 'ahead', '2030-01-01', 364)} AS VARCHAR)", f"CAST({_day('key', 'date', '2020-01-01', 1800)} AS VARCHAR)")} AS transaction_date,
+ CASE WHEN {_u('own', 'dollar')} < 0.05 THEN 1 ELSE 0 END AS has_dollar,
+ {_changed('number', 0.02, '0.0::DOUBLE', f"CASE WHEN {_u('own', 'negative')} < 0.04 AND {_type} = 'Credit' THEN -{_amount} ELSE {_amount} END")} AS number,
+ {_spelled('status', _one_of('key', 'status', ['Completed', 'Pending', 'Failed', 'Reversed']), 0.06, fv.FAULT_SPELLINGS['payment_state'])} AS status
+FROM r JOIN i USING (key)""")
+def domain_finance(spark, sf_dir):
+    t = faults.domain_table("finance", table(spark, sf_dir, "orders"), "o_orderkey")
+    amount = F.col("amount")
+    return t.select("row_key", "transaction_id", "account_id", "currency", "transaction_date",
+                    amount.startswith("$").cast("int").alias("has_dollar"),
+                    F.regexp_replace(amount, "[$]", "").cast("double").alias("number"), "status")
+
+
+_coverage = _money("key", "coverage", 10000, 2000000)
+
+
+@query("domain_insurance", f"""{_rows('customer', 'c_custkey', 0.06)}
+SELECT own AS row_key, 'POL-' || {_padded('own', 7)} AS policy_id,
+ round({_changed('claim_amount', 0.05, f"{_coverage} * {_money('own', 'exceeds', 1.1, 3.0, 4)}", f"round({_coverage} * {_u('key', 'claim')}::DOUBLE * 0.8, 2)")}, 2) AS claim_amount,
+ {_changed('policy_end', 0.03, f"CAST({_day('own', 'early end', '2016-06-01', 365)} AS VARCHAR)", f"CAST({_day('key', 'start', '2019-01-01', 1800)} + 730 AS VARCHAR)")} AS policy_end,
+ CASE WHEN {_u('key', 'null zip_code')} < 0.05 THEN NULL WHEN {_u('own', 'corrupt zip_code')} < 0.04 THEN {_one_of('own', 'bad zip', fv.FAULT_ZIPS)} ELSE CAST({_number('key', 'zip', 10000, 99999)} AS VARCHAR) END AS zip_code,
+ {_spelled('policy_type', _one_of('key', 'type', ['Health', 'Life', 'Auto', 'Home', 'Commercial']), 0.07, fv.FAULT_SPELLINGS['policy_type'])} AS policy_type,
+ {_changed('last_updated', 0.1, f"CAST({_day('own', 'stale', '2021-01-01', 900)} AS VARCHAR)", f"CAST({_day('key', 'updated', '2024-01-01', 700)} AS VARCHAR)")} AS last_updated
+FROM r""")
+def domain_insurance(spark, sf_dir):
+    t = faults.domain_table("insurance", table(spark, sf_dir, "customer"), "c_custkey")
+    return t.select("row_key", "policy_id", F.round("claim_amount", 2).alias("claim_amount"), "policy_end", "zip_code",
+                    "policy_type", "last_updated")
+
+
+_parts, _labor = _money("key", "parts", 0, 2000), _money("key", "labor", 50, 1500)
+
+
+@query("domain_automotive", f"""{_rows('part', 'p_partkey', 0.06)}
+SELECT own AS row_key, 'SVC-' || {_padded('own', 8)} AS service_id, 'VEH-' || {_padded('key', 6)} AS vehicle_id,
+ {_changed('vin', 0.06, _one_of('key', 'bad vin', fv.FAULT_VINS), "translate(upper(substr(md5(CAST(key AS VARCHAR)), 1, 17)), 'IOQ', 'JPR')", 'key')} AS vin,
+ {_changed('mileage', 0.02, f"-{_number('key', 'mileage', 0, 250000)}", _number('key', 'mileage', 0, 250000))} AS mileage,
+ {_changed('service_date', 0.03, f"CAST({_day('own', 'ahead', '2030-01-01', 179)} AS VARCHAR)", f"CAST({_day('key', 'service', '2021-01-01', 1500)} AS VARCHAR)")} AS service_date,
+ {_changed('year', 0.01, _one_of('own', 'bad year', fv.FAULT_YEARS) + '::BIGINT', _number('key', 'year', 1995, 2024))} AS year,
+ {_u('own', 'corrupt cost')} < 0.07 AS wrong_cost, {_kept('technician', 0.08, "'x'", 'own')} IS NULL AS no_technician
+FROM r""")
+def domain_automotive(spark, sf_dir):
+    t = faults.domain_table("automotive", table(spark, sf_dir, "part"), "p_partkey")
+    right = F.round(F.col("parts_cost") + F.col("labor_cost"), 2)
+    return t.select("row_key", "service_id", "vehicle_id", "vin", "mileage", "service_date", "year",
+                    (F.abs(F.col("cost") - right) > 0.001).alias("wrong_cost"), F.col("technician").isNull().alias("no_technician"))
+
 
 # --- rules per time window ---------------------------------------------------------------------------------
 
