@@ -954,6 +954,43 @@ _field_query("declared_fields_healthcare", A, "healthcare", [
     ("status", "case", TITLE.format("status"), "LOW")], ["patient_id"])
 
 
+T = "dirty_transactions"
+_field_query("declared_fields_finance", T, "finance", [
+    ("transaction_id", "pattern", "NOT regexp_matches(transaction_id, '^TXN-[0-9]{8}$')", "MEDIUM"),
+    ("account_id", "required", "account_id IS NULL", "HIGH"),
+    ("account_id", "pattern", "NOT regexp_matches(account_id, '^ACC-[0-9]{7}$')", "MEDIUM"),
+    ("customer_name", "case", TITLE.format("customer_name"), "LOW"),
+    ("card_number", "pattern", "NOT regexp_matches(card_number, '^[0-9]{16}$')", "MEDIUM"),
+    ("transaction_date", "required", f"{date_sql('transaction_date')} IS NULL", "HIGH"),
+    ("transaction_date", "not_future", f"{date_sql('transaction_date')} > {AS_OF_SQL}", "HIGH"),
+    ("amount", "required", "amount IS NULL", "HIGH"),
+    ("currency", "enum", _in("currency", ["USD", "EUR", "GBP", "JPY", "CAD", "AUD"]), "MEDIUM"),
+    ("currency", "case", "currency <> upper(currency)", "LOW"),
+    ("transaction_type", "enum", _in("transaction_type", ["Credit", "Debit", "Transfer", "Refund", "Fee"]), "MEDIUM"),
+    ("transaction_type", "case", TITLE.format("transaction_type"), "LOW"),
+    ("status", "enum", _in("status", ["Completed", "Pending", "Failed", "Reversed"]), "MEDIUM"),
+    ("status", "case", TITLE.format("status"), "LOW"),
+    ("credit_limit", "min", "credit_limit < 0", "HIGH")], ["transaction_id"])
+_field_query("declared_fields_insurance", L, "insurance", [
+    ("policy_id", "pattern", "NOT regexp_matches(policy_id, '^POL-[0-9]{7}$')", "MEDIUM"),
+    ("claim_id", "pattern", "NOT regexp_matches(claim_id, '^CLM-[0-9]{8}$')", "MEDIUM"),
+    ("policy_type", "enum", _in("policy_type", ["Health", "Life", "Auto", "Home", "Commercial"]), "MEDIUM"),
+    ("policy_type", "case", TITLE.format("policy_type"), "LOW"),
+    ("coverage_amount", "min", "coverage_amount < 1000", "HIGH"), ("premium", "min", "premium < 0.01", "HIGH"),
+    ("deductible", "min", "deductible < 0", "HIGH"), ("claim_amount", "min", "claim_amount < 0", "HIGH"),
+    ("claim_status", "enum", _in("claim_status", ["Submitted", "Under Review", "Approved", "Rejected", "Settled"]), "MEDIUM"),
+    ("claim_status", "case", TITLE.format("claim_status"), "LOW"),
+    ("zip_code", "pattern", "NOT regexp_matches(zip_code, '^[0-9]{5}(-[0-9]{4})?$')", "MEDIUM")], ["policy_id", "claim_id"])
+
+
+@query("declared_checks_finance", _check_sql(T, [
+    ("balance_within_credit_limit", "transaction_type = 'Credit' AND balance > credit_limit", "HIGH", "flag_for_review"),
+    ("no_zero_amount_transaction", "amount = 0", "MEDIUM", "flag_for_removal"),
+    ("failed_transaction_no_credit", "status = 'Failed' AND transaction_type = 'Credit'", "HIGH", "flag_for_review")]))
+def declared_checks_finance(spark, sf_dir):
+    return _declared(spark, sf_dir, T, "finance")
+
+
 CUSTOM = [(1, "finance", "balance_positive", "balance >= 0", "HIGH", "flag_for_review", 1),
           (2, "finance", "adult_customer", "age BETWEEN 18 AND 130", "MEDIUM", None, 1),
           (3, "finance", "retired_rule", "age < 0", "LOW", None, 0),

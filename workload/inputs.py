@@ -115,6 +115,24 @@ SELECT o_orderkey AS row_key,
 FROM orders
 """
 
+# Finance: one row per order.
+VIEWS["dirty_transactions"] = """
+SELECT o_orderkey AS row_key,
+ CASE WHEN o_orderkey % 89 = 0 THEN 'TX' || CAST(o_orderkey AS STRING) WHEN o_orderkey % 70 = 1 THEN 'TXN-' || lpad(CAST(o_orderkey - 1 AS STRING), CAST(greatest(8, length(CAST(o_orderkey - 1 AS STRING))) AS INT), '0')
+  ELSE 'TXN-' || lpad(CAST(o_orderkey AS STRING), CAST(greatest(8, length(CAST(o_orderkey AS STRING))) AS INT), '0') END AS transaction_id,
+ CASE WHEN o_orderkey % 14 = 0 THEN NULL WHEN o_orderkey % 45 = 0 THEN 'ACC-12' ELSE 'ACC-' || CAST(1000000 + o_custkey AS STRING) END AS account_id,
+ CASE WHEN o_orderkey % 27 = 0 THEN 'ada BERG' ELSE 'Ada Berg' END AS customer_name,
+ CASE WHEN o_orderkey % 38 = 0 THEN '4111 1111' ELSE CAST(4000000000000000 + o_orderkey AS STRING) END AS card_number,
+ CASE WHEN o_orderkey % 47 = 0 THEN '2031-05-06' WHEN o_orderkey % 53 = 0 THEN 'soon' WHEN o_orderkey % 9 = 0 THEN '11/30/2023' ELSE '2023-11-30' END AS transaction_date,
+ CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 32 = 0 THEN CAST(0 AS DOUBLE) ELSE CAST(10 + o_orderkey % 5000 AS DOUBLE) END AS amount,
+ CASE WHEN o_orderkey % 15 = 0 THEN 'usd' WHEN o_orderkey % 58 = 0 THEN 'XAU' ELSE 'USD' END AS currency,
+ CASE o_orderkey % 4 WHEN 0 THEN 'Credit' WHEN 1 THEN 'Debit' WHEN 2 THEN 'transfer' ELSE 'Fee' END AS transaction_type,
+ CASE o_orderkey % 5 WHEN 0 THEN 'Failed' WHEN 1 THEN 'COMPLETED' WHEN 2 THEN 'Pending' ELSE 'Completed' END AS status,
+ CAST(o_orderkey * 13 % 60000 AS DOUBLE) AS balance,
+ CASE WHEN o_orderkey % 21 = 0 THEN NULL WHEN o_orderkey % 83 = 0 THEN CAST(-1 AS DOUBLE) ELSE CAST(40000 AS DOUBLE) END AS credit_limit
+FROM orders
+"""
+
 # Healthcare: one row per event.
 VIEWS["dirty_admissions"] = """
 SELECT event_id AS row_key,
