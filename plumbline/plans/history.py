@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import secrets
+import time
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
@@ -44,29 +46,6 @@ SCHEMAS = {
 # Tables whose rows grow with the checked tables lie in folders that a question about one run reads alone.
 PARTITIONS = {"issue_rows": ["run_id", "dimension"]}
 
-# The issue type that each repair action answers, so that issues and fixes can be matched.
-ISSUE_OF_ACTION = {
-    "impute_median": "missing_values", "impute_mean": "missing_values", "impute_zero": "missing_values",
-    "impute_mode": "missing_values", "impute_unknown": "missing_values",
-    "exact_dedup": "exact_duplicates", "id_dedup": "duplicate_ids",
-    "title_case": "case_inconsistency", "upper_case": "case_inconsistency",
-    "standardize_date": "mixed_date_formats", "strip_whitespace": "whitespace_issue",
-    "strip_currency_symbol": "type_mismatch", "nullify_out_of_range": "range_violation",
-    "standardize_enum": "enum_inconsistency", "recalculate_total": "calculation_inconsistency",
-    "recalculate_cost": "calculation_inconsistency", "winsorize_outliers": "statistical_outlier",
-    "abs_negative_amounts": "business_rule_violation",
-    "nullify_invalid_quantity": "business_rule_violation", "fix_fraud_flag": "business_rule_violation",
-    "strip_non_ascii": "unreadable_chars", "nullify_invalid_emails": "email_format_violation",
-    "clean_zipcodes": "zipcode_format_violation", "clip_age_constraint": "constraint_violation_age",
-    "nullify_dummy_values": "unreliable_default_values",
-    "add_lineage_metadata": "missing_traceability_metadata",
-    "inject_audit_column": "missing_audit_timestamp",
-    "populate_audit_timestamps": "missing_audit_timestamp_value",
-    "reconcile_missing_amount": "amount_reconciliation_gap", "archive_stale_data": "ancient_dates",
-    "golden_record_generation": "survivorship_conflict",
-}
-
-
 class Store:
     """The history tables under one folder, as Parquet."""
 
@@ -94,7 +73,8 @@ class Store:
         writer.parquet(self.path(name))
 
     def next_run_id(self) -> int:
-        return (self.read("analysis_runs").agg(F.max("run_id")).first()[0] or 0) + 1
+        """A run id that no other writer takes, later ones larger: milliseconds since 1970, then 22 random bits."""
+        return (time.time_ns() // 1_000_000 << 22) | secrets.randbits(22)
 
     def log_run(self, analysis, dataset_name: str, at: dt.datetime, seconds: float,
                 row_keys: DataFrame | None = None, rows: bool = False) -> int:
@@ -143,18 +123,22 @@ class Store:
 
     def log_fixes(self, run_id: int, domain: str, log: DataFrame, at: dt.datetime,
                   successes: DataFrame | None = None) -> None:
-        """Append a change log. ``successes`` (dimension, column_name, success) says whether the
-        issue count fell after the fix; without it a fix counts as successful."""
+        """Append a change log with the type of the issue that each fix answers. ``successes``
+        (dimension, column_name, success) says whether the issue count fell after the fix; without it a
+        fix counts as successful."""
         rows = log
         if successes is not None:
             rows = rows.join(F.broadcast(successes), ["dimension", "column_name"], "left")
         else:
             rows = rows.withColumn("success", F.lit(1))
-        answers = F.create_map(*[F.lit(x) for pair in ISSUE_OF_ACTION.items() for x in pair])
+        # A repair names the issue type it answers; where it cannot, the run's issue of the column does.
+        known = (self.read("issue_log").where(F.col("run_id") == run_id).groupBy("dimension", "column_name")
+                 .agg(F.min("issue_type").alias("found_type")))
+        rows = rows.join(F.broadcast(known), ["dimension", "column_name"], "left")
         self.append("fix_history", rows.select(
             F.expr("uuid()").alias("fix_id"), F.lit(run_id).cast("bigint").alias("run_id"),
             F.lit(domain).alias("domain"), "dimension", "column_name",
-            F.coalesce(F.try_element_at(answers, F.col("action")), "dimension").alias("issue_type"),
+            F.coalesce("issue_type", "found_type").alias("issue_type"),
             F.col("action").alias("fix_action"),
             "rows_affected", F.coalesce("success", F.lit(1)).cast("int").alias("success"),
             F.lit("Applied").alias("status"), F.lit("user").alias("applied_by"),

@@ -118,9 +118,11 @@ def test_repair_improves_and_is_learned_from(spark, tmp_path):
     rows = {r["dimension"]: r for r in done.comparison.collect()}
     assert rows["validity"]["score_after"] > rows["validity"]["score_before"]
     assert rows["consistency"]["issues_resolved"] > 0
-    for i in (1, 2, 3):
-        assert store.log_run(done.before, "orders", NOW, 1.5) == i
-        store.log_fixes(i, "supply_chain", done.fixed.log, NOW, done.successes)
+    ids = []
+    for _ in range(3):
+        ids.append(store.log_run(done.before, "orders", NOW, 1.5))
+        store.log_fixes(ids[-1], "supply_chain", done.fixed.log, NOW, done.successes)
+    assert ids == sorted(set(ids))
     patterns = {(r["column_name"], r["fix_action"]): r for r in
                 history.learning_patterns(store.read("fix_history")).collect()}
     total = patterns["total_amount", "recalculate_total"]
@@ -130,7 +132,7 @@ def test_repair_improves_and_is_learned_from(spark, tmp_path):
     assert again["total_amount", "calculation_inconsistency"]["fixes"] == 3
     summary = history.global_summary(store.read("analysis_runs"), store.read("dimension_scores"),
                                      store.read("issue_log"), ["validity"]).collect()
-    assert [(r["domain"], r["run_id"]) for r in summary] == [("supply_chain", 3)]
+    assert [(r["domain"], r["run_id"]) for r in summary] == [("supply_chain", ids[-1])]
     assert summary[0]["total_issues"] == done.before.issues.count()
     assert store.read("audit_trail").count() == 6
 
@@ -220,3 +222,25 @@ def test_rows_of_issues_are_kept_with_the_run(spark, tmp_path):
     for r in store.read("issue_log").collect():
         keys = json.loads(r["row_keys"])
         assert 0 < len(keys) <= 100 and keys == sorted(keys) and len(keys) == min(100, r["affected_rows"])
+
+
+def test_every_fix_names_the_issue_it_answers(spark, tmp_path):
+    """All repairs of a table, personal data included, meet the issues of their columns."""
+    df = inputs.view(spark, SMALL, "dirty_customers")
+    check = analyze(df, AS_OF, "finance", "row_key", {"near_duplicates": False})
+    store = history.Store(spark, str(tmp_path / "all"))
+    run = store.log_run(check, "customers", NOW, 1.0)
+    options = {"pii_security": {"fields": {"ssn": "mask", "email": "hash", "phone": "redact"}}}
+    dimensions = [d for d in DIMENSIONS if d not in ("uniqueness", "survivorship")]
+    fixed = remediation.apply_all(df, dimensions, Context(AS_OF, "row_key", options))
+    store.log_fixes(run, "finance", fixed.log, NOW)
+    fixes = [r for r in store.read("fix_history").collect() if r["rows_affected"]]
+    assert {"mask_pii", "hash_pii", "redact_pii", "impute_mode"} <= {r["fix_action"] for r in fixes}
+    assert all(r["issue_type"] and r["issue_type"] not in DIMENSIONS for r in fixes)
+    met = {r["column_name"] for r in history.recurrence(store.read("issue_log"), store.read("fix_history")).collect()
+           if r["fixes"] and r["issue_type"].startswith("pii_")}
+    assert met == {"ssn", "email", "phone"}
+    orders = inputs.view(spark, SMALL, "dirty_orders")
+    capped = remediation.apply_all(orders, ["reasonableness", "accuracy"], Context(AS_OF, "row_key")).log.collect()
+    assert {(r["action"], r["issue_type"]) for r in capped} == {
+        ("cap_outliers_iqr", "statistical_outliers"), ("winsorize_outliers", "statistical_outlier")}
