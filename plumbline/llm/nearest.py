@@ -30,7 +30,7 @@ HIT = 0.6826894921370859            # a vector at the radius is within one radiu
 SLACK = 0.675                       # deviations below the mean count: three in four at the radius pass
 NEED = math.floor(LINES * HIT - SLACK * math.sqrt(LINES * HIT * (1 - HIT)))
 #: Vectors per block and bytes of them, queries per chunk, queries counted together.
-BLOCK_ROWS, BLOCK_BYTES, CHUNK, TOGETHER = 8192, 16_000_000, 8192, 32
+BLOCK_ROWS, BLOCK_BYTES, CHUNK, TOGETHER = 8192, 16_000_000, 8192, 64
 AHEAD, GROWTH = 1.03, 1.06          # the first radius beyond the expected one; how radii grow
 
 
@@ -82,19 +82,19 @@ class Block:
         rng = np.random.default_rng(3)
         self.lines = rng.standard_normal((vectors.shape[1] + 1, lines))
         rest = np.sqrt(np.maximum(most - (vectors * vectors).sum(1), 0))
-        places = vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]
-        order = np.argsort(places, axis=0, kind="stable")
+        places = np.ascontiguousarray((vectors @ self.lines[:-1] + rest[:, None] * self.lines[-1]).T)
+        order = np.argsort(places, axis=1, kind="stable")
         cuts = np.arange(SEGMENTS + 1) * n // SEGMENTS
-        starts = np.minimum(cuts[:-1], n - 1)
-        ranked = np.take_along_axis(places, order, axis=0)
-        self.first, self.last = ranked[starts].T.copy(), ranked[np.maximum(cuts[1:], 1) - 1].T.copy()
-        rank = np.empty_like(order)
-        np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-        width = -(-n // 64) * 64
-        self.prefix = np.zeros((lines, SEGMENTS + 1, width // 8), np.uint8)
+        ranked = np.take_along_axis(places, order, axis=1)
+        self.first = ranked[:, np.minimum(cuts[:-1], n - 1)].copy()
+        self.last = ranked[:, np.maximum(cuts[1:], 1) - 1].copy()
+        # One bit per vector in the part it belongs to, then all parts up to each.
+        part = np.repeat(np.arange(SEGMENTS), np.diff(cuts)) + 1
+        self.prefix = np.zeros((lines, SEGMENTS + 1, -(-n // 64) * 8), np.uint8)
         for j in range(lines):
-            self.prefix[j, :, :-(-n // 8)] = np.packbits(rank[:, j][None, :] < cuts[:, None], axis=1)
+            np.bitwise_or.at(self.prefix[j], (part, order[j] >> 3), (128 >> (order[j] & 7)).astype(np.uint8))
         self.prefix = self.prefix.view(np.uint64)
+        np.bitwise_or.accumulate(self.prefix, axis=1, out=self.prefix)
 
     def candidates(self, queries: np.ndarray, radius: np.ndarray) -> np.ndarray:
         """(queries, vectors): which vectors collide often enough with each query."""
