@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
-from ..session import shared_folder
+from ..session import stored  # noqa: F401  for the operators
 
 #: Rows and text bytes that an Arrow function handles at a time.
 BATCH_ROWS, BATCH_BYTES = 512, 4_000_000
@@ -18,16 +18,6 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """``df`` written as a Parquet table to the cluster's shared folder and read from there.
-
-    Later steps then neither repeat the work nor depend on the executors that did it.
-    """
-    path = shared_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def small_batches(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[pa.RecordBatch]:
     """The same rows in batches of bounded rows and text bytes (one row at least)."""
     for batch in batches:

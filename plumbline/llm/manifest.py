@@ -77,13 +77,13 @@ def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
 class Block:
     """The tree over a block of nodes: ``levels[i]`` has the hash states and children of each parent."""
 
-    def __init__(self, nodes: list[bytes], total: int, fan: int = FAN, levels: int = LEVELS):
-        self.fan, self.levels = fan, []
+    def __init__(self, nodes: list[bytes], total: int):
+        self.levels = []
         # A block that is not its whole group is lifted all levels, single nodes too.
-        while len(self.levels) < levels and (len(nodes) > 1 or total > fan ** levels):
+        while len(self.levels) < LEVELS and (len(nodes) > 1 or total > FAN ** LEVELS):
             parents = []
-            for start in range(0, len(nodes), fan):
-                state, kept, run = hashlib.sha256(), [], nodes[start:start + fan]
+            for start in range(0, len(nodes), FAN):
+                state, kept, run = hashlib.sha256(), [], nodes[start:start + FAN]
                 for child in run:
                     kept.append(state.copy())
                     state.update(child)
@@ -96,7 +96,7 @@ class Block:
         """(state before the slot, left siblings, right siblings) of the i-th node, upwards."""
         steps = []
         for parents in self.levels:
-            i, slot = divmod(i, self.fan)
+            i, slot = divmod(i, FAN)
             kept, run, _ = parents[i]
             steps.append((kept[slot], b"".join(run[:slot]), b"".join(run[slot + 1:])))
         return steps
@@ -112,8 +112,8 @@ def fold(node: bytes, steps: list[tuple]) -> bytes:
     return node
 
 
-def _block_of(pos: str = "pos", size: int = FAN ** LEVELS) -> Column:
-    return F.floor(F.col(pos) / size).cast("long")
+def _block_of() -> Column:
+    return F.floor(F.col("pos") / FAN ** LEVELS).cast("long")
 
 
 def lifted(nodes: DataFrame, digest: str) -> DataFrame:
