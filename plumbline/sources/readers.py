@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
@@ -56,13 +58,23 @@ def infer_types(df: DataFrame) -> DataFrame:
     return df.withColumns(casts) if casts else df
 
 
+def has_broken_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted value may hold a line break: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).limit(1).isEmpty()
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", schema=None,
-             clean_nulls: bool = True, multi_line: bool = True) -> DataFrame:
+             clean_nulls: bool = True, multi_line: bool | None = None) -> DataFrame:
     """CSV with a header. Without a schema the types are found after cleaning null tokens.
 
-    Quotes inside quoted values are doubled, and quoted values may hold newlines. A file is then
-    read by one task; ``multi_line=False`` lets Spark split files that have no such values.
+    Quotes inside quoted values are doubled, and quoted values may hold newlines. Files with such values
+    are read by one task each, all others are split; which it is, a scan for lines with an odd
+    number of quotes tells, unless ``multi_line`` does.
     """
+    if multi_line is None:
+        multi_line = encoding.lower().replace("-", "") not in ("utf8", "usascii", "ascii", "latin1", "iso88591") \
+            or has_broken_lines(spark, path)
     reader = (spark.read.option("header", True).option("encoding", encoding)
               .option("quote", '"').option("escape", '"').option("multiLine", multi_line))
     if schema is not None:
@@ -75,24 +87,37 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def holds_json_lines(spark: SparkSession, path: str) -> bool:
-    """Whether the first line that is not blank is a whole JSON object; one line is looked at."""
-    line = F.ltrim("value")
-    whole = line.startswith("{") & F.try_parse_json("value").isNotNull()
-    found = (spark.read.text(path).where(F.length(F.trim("value")) > 0).limit(1)
-             .select(whole.alias("whole")).first())
-    return bool(found and found["whole"])
+def json_layouts(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files of a path by layout: True for files whose first line is a whole JSON object.
+
+    Only the first part of each file is read; a list of files reaches the driver, no records.
+    """
+    lines = spark.read.text(path).where((F.col("_metadata.file_block_start") == 0) & (F.length(F.trim("value")) > 0))
+    first = (lines.select(F.col("_metadata.file_path").alias("file"), F.ltrim("value").alias("line"),
+                          F.monotonically_increasing_id().alias("at"))
+             .groupBy("file").agg(F.min_by("line", "at").alias("line")))
+    found = first.select("file", (F.col("line").startswith("{") & F.try_parse_json("line").isNotNull()).alias("whole")).collect()
+    out: dict[bool, list[str]] = {}
+    for r in found:
+        out.setdefault(bool(r["whole"]), []).append(r["file"])
+    return out
 
 
 def read_json(spark: SparkSession, path: str, schema=None, multi_line: bool | None = None) -> DataFrame:
     """JSON arrays and objects over several lines, or JSON lines, whatever the suffix.
 
-    Lines can be split between tasks, the other layouts not.
+    The layout is found per file. Lines can be split between tasks, the other layouts not.
     """
-    if multi_line is None:
-        multi_line = not (path.split("?")[0].lower().endswith(".jsonl") or holds_json_lines(spark, path))
-    reader = spark.read.option("multiLine", multi_line)
-    return (reader.schema(schema) if schema is not None else reader).json(path)
+    def read(paths, several: bool) -> DataFrame:
+        reader = spark.read.option("multiLine", several)
+        return (reader.schema(schema) if schema is not None else reader).json(paths)
+
+    if multi_line is not None or path.split("?")[0].lower().endswith(".jsonl"):
+        return read(path, bool(multi_line))
+    layouts = json_layouts(spark, path)
+    if len(layouts) < 2:
+        return read(path, not layouts.get(True))
+    return read(layouts[True], False).unionByName(read(layouts[False], True), allowMissingColumns=True)
 
 
 def read_file(spark: SparkSession, path: str, file_type: str = "auto", encoding: str = "utf-8",
@@ -182,12 +207,12 @@ def first_table(names: list[str]) -> str:
 
 # --- JSON pages -----------------------------------------------------------------------------------
 
-def records_at(df: DataFrame, path: str) -> DataFrame:
-    """Rows of the record array (or object) at a dot path.
+def records_at(df: DataFrame, path: str, carry: tuple = ()) -> DataFrame:
+    """Rows of the record array (or object) at a dot path, with the columns of ``carry``.
 
     As in a tolerant look-up, a step that does not exist is skipped, and the walk ends at an array.
     """
-    kind, c = T.StructType(df.schema.fields), None
+    kind, c = T.StructType([f for f in df.schema.fields if f.name not in carry]), None
     for step in [s for s in path.split(".") if s]:
         if not isinstance(kind, T.StructType):
             break
@@ -197,9 +222,9 @@ def records_at(df: DataFrame, path: str) -> DataFrame:
     if c is None:
         return df
     if isinstance(kind, T.ArrayType):
-        rows = df.select(F.explode(c).alias("r"))
-        return rows.select("r.*") if isinstance(kind.elementType, T.StructType) else rows
-    return df.select(c.alias("r")).select("r.*") if isinstance(kind, T.StructType) else df.select(c)
+        rows = df.select(*carry, F.explode(c).alias("r"))
+        return rows.select(*carry, "r.*") if isinstance(kind.elementType, T.StructType) else rows
+    return df.select(*carry, c.alias("r")).select(*carry, "r.*") if isinstance(kind, T.StructType) else df.select(*carry, c)
 
 
 def flatten(df: DataFrame) -> DataFrame:
@@ -224,15 +249,49 @@ def clean_names(df: DataFrame) -> DataFrame:
     return df.toDF(*[clean_name(c) for c in df.columns])
 
 
+PAGE, AT = "__page", "__at"
+PLACE_BITS = 33         # monotonically_increasing_id: task number above, place in the task below
+
+
+def in_order(page: str) -> list:
+    """Sort key of a page's path: numbers inside count as numbers."""
+    return [(1, int(x), "") if x.isdigit() else (0, 0, x) for x in re.split(r"(\d+)", page)]
+
+
+def first_rows(rows: DataFrame, max_rows: int, order: Callable = in_order) -> DataFrame:
+    """The rows of the first pages, in the order of the pages, the last one cut after ``max_rows`` rows.
+
+    ``rows`` has PAGE and AT (a monotonically increasing id). One number per page and task reaches the
+    driver; the rows kept are told by page and place, so nothing is sorted or gathered.
+    """
+    parts = sorted(rows.groupBy(PAGE, F.shiftright(AT, PLACE_BITS).alias("part"))
+                   .agg(F.count(F.lit(1)).alias("n"), F.min(AT).alias("first")).collect(),
+                   key=lambda r: (order(r[PAGE]), r["part"]))
+    left, ends = max_rows, []
+    for r in parts:
+        if left > 0:
+            ends.append((r[PAGE], r["part"], r["first"] + min(left, r["n"])))
+            left -= r["n"]
+    kept = rows.sparkSession.createDataFrame(ends, f"{PAGE} string, part bigint, before bigint")
+    return (rows.withColumn("part", F.shiftright(AT, PLACE_BITS)).join(F.broadcast(kept), [PAGE, "part"])
+            .where(F.col(AT) < F.col("before")).drop("part", "before"))
+
+
 def combine_pages(pages: list[DataFrame], max_rows: int | None = None) -> DataFrame:
-    """Pages one after the other, columns matched by name; an empty result is an error."""
+    """Pages one after the other, columns matched by name; an empty result is an error.
+
+    With ``max_rows``, pages are taken in the given order and the last one is cut, its rows in the order
+    in which Spark reads them.
+    """
     if not pages:
         raise ValueError("no pages")
+    if max_rows is not None:
+        pages = [p.withColumn(PAGE, F.lit(str(i))) for i, p in enumerate(pages)]
     out = pages[0]
     for page in pages[1:]:
         out = out.unionByName(page, allowMissingColumns=True)
     if max_rows is not None:
-        out = out.limit(max_rows)
+        out = first_rows(out.withColumn(AT, F.monotonically_increasing_id()), max_rows).drop(PAGE, AT)
     if out.isEmpty():
         raise ValueError("the pages hold no records")
     return out
@@ -240,9 +299,16 @@ def combine_pages(pages: list[DataFrame], max_rows: int | None = None) -> DataFr
 
 def read_pages(spark: SparkSession, path: str, json_path: str = "", max_rows: int | None = None,
                schema=None) -> DataFrame:
-    """Landed JSON pages (a folder of responses) as one table: navigate, flatten, clean names."""
-    pages = read_json(spark, path, schema, multi_line=True)
-    return combine_pages([clean_names(flatten(records_at(pages, json_path)))], max_rows)
+    """Landed JSON pages (a folder of responses) as one table: navigate, flatten, clean names.
+
+    With ``max_rows``, files are taken in the order of their names (page2 before page10) and the last
+    one is cut after its first records.
+    """
+    pages = read_json(spark, path, schema, multi_line=True).withColumn(PAGE, F.col("_metadata.file_path"))
+    rows = clean_names(flatten(records_at(pages, json_path, (PAGE,))))
+    if max_rows is not None:
+        rows = first_rows(rows.withColumn(AT, F.monotonically_increasing_id()), max_rows).drop(AT)
+    return combine_pages([rows.drop(PAGE)])
 
 
 # --- descriptors ------------------------------------------------------------------------------------

@@ -185,3 +185,39 @@ def test_patients_in_conflict(spark):
     assert {r["age"] for r in rows} >= {-5, -1, 150, 200, 999}
     assert faults.domain_table("healthcare", spark.range(0), "id").count() == 0
     assert faults.domain_table("finance", spark.range(0), "id").count() == 0
+
+
+def test_pages_are_cut_in_their_order(spark, tmp_path):
+    """page2 comes before page10; whole pages first, then the first records of the next."""
+    for i in (1, 2, 3, 10, 11):
+        (tmp_path / f"page{i}.json").write_text(json.dumps({"data": [{"page": i, "n": j} for j in range(4)]}))
+    for most in (1, 4, 6, 13, 20, 99):
+        got = sorted((r["page"], r["n"]) for r in readers.read_pages(spark, str(tmp_path), "data", most).collect())
+        assert got == [(i, j) for i in (1, 2, 3, 10, 11) for j in range(4)][:most]
+    pages = [spark.range(k, k + 50, 1, 7).toDF("x") for k in (500, 0, 900)]
+    got = sorted(r["x"] for r in readers.combine_pages(pages, 70).collect())
+    assert got == [*range(0, 20), *range(500, 550)]
+
+
+def test_layouts_are_found_per_file(spark, tmp_path):
+    """An array file beside a lines file, and a file whose objects span lines."""
+    (tmp_path / "a.json").write_text('[\n {"x": 1},\n {"x": 2}\n]\n')
+    (tmp_path / "b.json").write_text('\n{"x": 3}\n{"x": 4}\n')
+    (tmp_path / "c.json").write_text('{\n "x": 5\n}\n')
+    assert sorted(r["x"] for r in readers.read_json(spark, str(tmp_path)).collect()) == [1, 2, 3, 4, 5]
+
+
+def test_csv_is_split_where_no_value_is_broken(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('a,b\n' + "".join(f'{i},"say ""{i}"", x"\n' for i in range(3000)))
+    broken.write_text('a,b\n1,"two\nlines"\n2,"one"\n')
+    assert not readers.has_broken_lines(spark, str(plain)) and readers.has_broken_lines(spark, str(broken))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        df = readers.read_csv(spark, str(plain))
+        assert df.rdd.getNumPartitions() > 3 and df.count() == 3000
+        assert df.where("a = 7").first()["b"] == 'say "7", x'
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r["b"] for r in readers.read_csv(spark, str(broken)).orderBy("a").collect()] == ["two\nlines", "one"]
