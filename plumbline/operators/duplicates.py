@@ -215,14 +215,15 @@ def similar_pairs_issue(table: Table, column: str, total: int, threshold: float
                   fix="fuzzy_deduplication", text="nearly equal values", first=first)
 
 
-def uniqueness_issues(table: Table, total: int, first: int = 0) -> DataFrame:
-    """Issues for repeated rows and repeated ids."""
+def uniqueness_issues(table: Table, total: int, first: int = 0, only: set[str] | None = None) -> DataFrame:
+    """Issues for repeated rows and repeated ids; of the ids, ``only`` those of these columns."""
     copies = repeated_rows(table.df, table.columns).select(
         F.lit("ALL").alias("column_name"), F.col("duplicate_rows").alias("affected_rows"),
         F.col("total_rows").alias("base"))
     found = graded(copies, "uniqueness", "exact_duplicates", risk="HIGH", fix="drop_duplicates",
                    text="copies of another row", first=first)
-    columns = id_columns(table)
+    names = id_columns(table)
+    columns = [c for c in names if only is None or c in only]
     if not columns:
         return found
     facts = repeated_ids(table, columns).select("column_name", "affected_rows")
@@ -230,6 +231,6 @@ def uniqueness_issues(table: Table, total: int, first: int = 0) -> DataFrame:
              .withColumn("base", F.lit(total)))
     ids = graded(facts, "uniqueness", "duplicate_ids", risk="HIGH", fix="deduplicate_ids",
                  text="rows with a repeated id", first=first + 1)
-    position = F.array_position(F.array(*map(F.lit, columns)), F.col("column_name"))
+    position = F.array_position(F.array(*map(F.lit, names)), F.col("column_name"))
     ids = ids.withColumn("issue_no", (F.lit(first) + position).cast("int"))
     return found.unionByName(ids)

@@ -12,10 +12,14 @@ from .table import Table
 MIN_VALUES = 10
 
 
-def numeric_views(table: Table) -> dict[str, Column]:
-    """Numeric columns, and text columns of which more than half reads as a number."""
+def numeric_views(table: Table, known: dict[str, bool] | None = None) -> dict[str, Column]:
+    """Numeric columns, and text columns of which more than half reads as a number; for the columns of
+    ``known`` that is not asked again."""
+    known = known or {}
     views = {c: table.number(c) for c in table.numbers}
-    maybe = [c for c in table.texts if text.contains_any(c, fv.NUMERIC_TEXT_WORDS)]
+    named = [c for c in table.texts if text.contains_any(c, fv.NUMERIC_TEXT_WORDS)]
+    views.update({c: table.money(c) for c in named if known.get(c)})
+    maybe = [c for c in named if c not in known]
     if maybe:
         readable = {c: table.money(c) for c in maybe}
         row = table.frame().agg(F.count(F.lit(1)).alias("total"), *[

@@ -123,14 +123,14 @@ def plan_size_mb(df: DataFrame) -> float:
     return round(int(str(size)) / 1_048_576, 2)
 
 
-def high_cardinality(table: Table, total: int, first: int = 0) -> DataFrame:
-    """Issues for text columns with more than 90 % distinct values.
+def high_cardinality(table: Table, total: int, first: int = 0, only: set[str] | None = None) -> DataFrame:
+    """Issues for text columns, or ``only`` these, with more than 90 % distinct values.
 
     A sketch drops the clear cases; only columns near or above the line are counted exactly.
     """
     spark = table.df.sparkSession
     columns = [c for c in table.texts
-               if not text.contains_any(c, fv.HIGH_CARDINALITY_SKIP_WORDS)]
+               if not text.contains_any(c, fv.HIGH_CARDINALITY_SKIP_WORDS) and (only is None or c in only)]
     empty = spark.createDataFrame([], ISSUE_SCHEMA)
     if not columns or not total:
         return empty

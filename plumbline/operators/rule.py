@@ -6,12 +6,13 @@
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import scoring
-from .table import Table
+from .table import PREFIX, Table
 
 ISSUE_SCHEMA = (
     "dimension string, column_name string, issue_type string, description string, "
@@ -49,6 +50,23 @@ class Rule:
         return F.expr(self.predicate) if isinstance(self.predicate, str) else self.predicate
 
 
+WORDS = re.compile(r"`([^`]+)`|([^\W\d]\w*)")
+
+
+def columns_read(rule: Rule, table: Table) -> set[str]:
+    """The table's columns that a rule reads, also through the columns derived from them.
+
+    Names are taken from the text of its expressions, so a name that stands there for something else
+    counts too: the set may be too large, never too small.
+    """
+    said = " ".join(str(x) for x in (rule.predicate, rule.affected, rule.when, rule.note, rule.base, rule.value)
+                    if x is not None)
+    words = {(quoted or word).lower() for quoted, word in WORDS.findall(said)}
+    return {c for c in table.columns
+            if c.lower() in words or any(w.startswith(PREFIX) and w.endswith(f"_{c.lower()}") for w in words)
+            or not c.replace("_", "").isalnum()}
+
+
 META_SCHEMA = (
     "array<struct<issue_no int, dimension string, column_name string, issue_type string, "
     "fix_action string, text string, severity_policy string, risk_policy string, "

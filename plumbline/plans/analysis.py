@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from ..functions import fixed_values as fv
 from ..operators import checks, declared, duplicates, entities, outliers, privacy, profile
 from ..operators.quantiles import exact_quantiles
-from ..operators.rule import ISSUE_SCHEMA, Rule, measure, samples
+from ..operators.rule import ISSUE_SCHEMA, Rule, columns_read, measure, samples
 from ..operators.table import Table
 from . import scores as score_plan
 
@@ -32,6 +32,9 @@ class Analysis:
     table: Table | None = None
     rules: list[Rule] = field(default_factory=list)
     config: dict = field(default_factory=dict)
+    numeric_facts: dict = field(default_factory=dict)
+    stale_rows: int = 0
+    measured: list[tuple] = field(default_factory=list)     # (dimension, column, issue type) counted in this check
 
     @property
     def overall(self) -> DataFrame:
@@ -88,18 +91,23 @@ def spread_small(df: DataFrame) -> DataFrame | None:
 
 def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
             row_key: str | None = None, config: dict | None = None,
-            dimensions: list[str] | None = None, catalogue: tuple | None = None) -> Analysis:
+            dimensions: list[str] | None = None, catalogue: tuple | None = None,
+            before: Analysis | None = None, changed: set[str] | None = None) -> Analysis:
     """Check ``df`` in the given dimensions (all 22 by default).
 
     ``row_key`` names a unique ordered column; it takes no part in the checks and gives the order
     for the neighbour comparison. ``catalogue`` is (fields, checks) of declared rules to evaluate.
     A small table is spread over the cores and kept in memory for the passes; a large one is read
     by each pass, pruned to the columns the pass needs.
+
+    ``before`` and ``changed`` check a table again that differs from the one of ``before`` in the values of
+    the ``changed`` columns only (same rows, same columns): rules that read none of them keep their
+    counts and are not measured.
     """
     small = spread_small(df)
     try:
         done = _analyze(df if small is None else small, as_of, domain, row_key, config, dimensions,
-                        catalogue)
+                        catalogue, before, changed)
         done.table.df = df      # later questions read the table itself
         return done
     finally:
@@ -108,7 +116,8 @@ def analyze(df: DataFrame, as_of: dt.date, domain: str = "unknown",
 
 
 def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, config: dict | None,
-             dimensions: list[str] | None, catalogue: tuple | None) -> Analysis:
+             dimensions: list[str] | None, catalogue: tuple | None, before: Analysis | None = None,
+             changed: set[str] | None = None) -> Analysis:
     config = config or {}
     spark = df.sparkSession
     wanted = dimensions or DIMENSIONS
@@ -120,8 +129,12 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
     views: dict = {}
     facts_of: dict = {}
     if "accuracy" in wanted or "reasonableness" in wanted:
-        views = outliers.numeric_views(table)
-        facts_of = exact_quantiles(table.frame(), views, [0.25, 0.75])
+        views = outliers.numeric_views(table, None if before is None else {
+            c: c in before.numeric_facts for c in table.columns if c not in changed})
+        known = {} if before is None else {c: f for c, f in before.numeric_facts.items() if c in views and c not in changed}
+        fresh = {c: v for c, v in views.items() if c not in known}
+        facts_of = known | (exact_quantiles(table.frame(), fresh, [0.25, 0.75]) if fresh or not known else {})
+        facts_of = {c: facts_of[c] for c in views}
     if "accuracy" in wanted:
         fence_of = outliers.fences(table, views, config.get("outlier_iqr_factor", 1.5), facts_of)
         rules += outliers.outlier_rules(table, views, fence_of)
@@ -131,42 +144,71 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
         rules += outliers.extreme_rules(table, fence_of)
 
     # Counts that only the scores need travel in the same scan.
+    kept_rules = set()      # of the check before
+    if before is not None:
+        ran_before = {_key(r) for r in before.rules}
+        touched = {_key(r) for r in rules if columns_read(r, table) & changed}
+        kept_rules = {_key(r) for r in rules} & ran_before - touched
+    every, rules = rules, [r for r in rules if _key(r) not in kept_rules]
     old = checks.stale(table, as_of, checks.freshness_days(domain, config))
-    rules += [Rule("__facts", "rows", "rows", affected="count(1)", always=True),
-              Rule("__facts", "stale", "stale", "false" if old is None else old, always=True)]
+    stale = Rule("__facts", "stale", "stale", "false" if old is None else old, always=True)
+    rules.append(Rule("__facts", "rows", "rows", affected="count(1)", always=True))
+    if before is None or columns_read(stale, table) & changed:
+        rules.append(stale)
     measured = measure(table, rules).collect()
-    counts = {r["column_name"]: r["affected_rows"] for r in measured if r["dimension"] == "__facts"}
+    counts = {} if before is None else {"stale": before.stale_rows}
+    counts |= {r["column_name"]: r["affected_rows"] for r in measured if r["dimension"] == "__facts"}
     total = counts["rows"]
     rows = [tuple(r) for r in measured if r["dimension"] != "__facts"]
     if row_key:
         rows = _with_samples(rows, table, rules, config.get("samples", 3))
+    if before is not None:
+        rows += [tuple(r) for r in before.issues.collect() if tuple(r[:3]) in kept_rules]
     if "pii_security" in wanted:
         rows = _with_exposure(rows, table, total)
 
     found = []
     check_errors: dict[str, str] = {}       # declared checks that do not resolve, by name
+
+    def keep(*kinds: str, columns: list[str] | None = None) -> None:
+        """Take over the issues of the check before for columns that did not change."""
+        if before is not None:
+            rows.extend(tuple(r) for r in before.issues.collect() if r["issue_type"] in kinds
+                        and (r["column_name"] not in changed if columns is None else r["column_name"] in columns))
+
     if total and "uniqueness" in wanted:
-        found.append(duplicates.uniqueness_issues(table, total))
+        if before is None or changed:
+            found.append(duplicates.uniqueness_issues(table, total, only=changed))
+            keep("duplicate_ids")
+        else:
+            keep("exact_duplicates", "duplicate_ids")
         if not row_key and config.get("near_duplicates", True) and duplicates.similar_columns(table):
             check_errors["near_duplicates"] = "left out: neighbours need a row key"
         if row_key and config.get("near_duplicates", True):
+            keep("near_duplicates")
             for i, c in enumerate(duplicates.similar_columns(table)):
-                part = duplicates.similar_pairs_issue(
+                part = None if before is not None and c not in changed else duplicates.similar_pairs_issue(
                     table, c, total, config.get("fuzzy_threshold", 90), first=1000 + i,
                     window=config.get("near_duplicates_window"))
                 if part is not None:
                     found.append(part)
     if total and "profiling" in wanted:
-        found.append(profile.high_cardinality(table, total, first=10_000))
+        found.append(profile.high_cardinality(table, total, first=10_000, only=changed))
+        keep("high_cardinality")
     if total and "survivorship" in wanted:
-        part = entities.survivorship_issues(table, total)
-        if part is not None:
-            found.append(part)
+        torn = {k: {k, *entities.compared_columns(table, k)} for k in entities.entity_keys(table)}
+        if before is None or any(c & changed for c in torn.values()):
+            part = entities.survivorship_issues(table, total)
+            if part is not None:
+                found.append(part)
+        else:
+            keep("survivorship_conflict", "missing_golden_record", columns=list(torn))
     if catalogue and "business_rules" in wanted:
         found.append(declared.declared_issues(table, *catalogue, as_of, check_errors))
     for part in found:
         rows += [tuple(r) for r in part.collect()]       # issue rows: a few per column
     issues = spark.createDataFrame(rows, ISSUE_SCHEMA)
+    rules = [r for r in every if r.dimension != "__facts"]
     facts = score_plan.Facts(
         total_rows=total, columns=len(table.columns),
         checked_columns=checks.validity_checked_columns(table),
@@ -175,7 +217,12 @@ def _analyze(df: DataFrame, as_of: dt.date, domain: str, row_key: str | None, co
     ran = [d for d in wanted if d not in errors]
     errors |= check_errors
     return Analysis(domain, issues, score_plan.dimension_scores(issues, facts, ran), facts, errors,
-                    table, [r for r in rules if r.dimension != "__facts"], config)
+                    table, rules, config, facts_of, counts["stale"],
+                    [_key(r) for r in rules if _key(r) not in kept_rules])
+
+
+def _key(rule: Rule) -> tuple:
+    return rule.dimension, rule.column, rule.issue_type
 
 
 def _with_samples(rows: list[tuple], table: Table, rules: list[Rule], size: int) -> list[tuple]:

@@ -12,7 +12,7 @@ from plumbline.plans import analysis as analysis_plan
 from plumbline.plans.analysis import DIMENSIONS, analyze
 from plumbline.plans.issue_rows import issue_rows
 from plumbline.streaming import monitor
-from plumbline.operators import checks
+from plumbline.operators import checks, rule
 from plumbline.operators.table import Table
 from workload import inputs
 
@@ -244,3 +244,31 @@ def test_every_fix_names_the_issue_it_answers(spark, tmp_path):
     capped = remediation.apply_all(orders, ["reasonableness", "accuracy"], Context(AS_OF, "row_key")).log.collect()
     assert {(r["action"], r["issue_type"]) for r in capped} == {
         ("cap_outliers_iqr", "statistical_outliers"), ("winsorize_outliers", "statistical_outlier")}
+
+
+@pytest.mark.parametrize("name, domain, repairs", [
+    ("dirty_orders", "supply_chain", ["validity"]), ("dirty_orders", "supply_chain", ["standardization", "consistency"]),
+    ("dirty_customers", "finance", ["conformity", "constraints"])])
+def test_incremental_check_equals_a_full_one(spark, name, domain, repairs):
+    """Same issues and scores; only rules on changed columns are measured."""
+    df = inputs.view(spark, SMALL, name)
+    done = remediation.remediate(df, repairs, Context(AS_OF, "row_key"), domain)
+    changed = remediation.changed_columns(df, done.fixed)
+    assert changed and changed != set(df.columns)
+    full = analyze(done.fixed.df, AS_OF, domain, "row_key")
+    columns = ["dimension", "column_name", "issue_type", "affected_rows", "affected_pct", "severity", "description"]
+    assert sorted(map(str, done.after.issues.select(*columns).collect())) == sorted(
+        map(str, full.issues.select(*columns).collect()))
+    assert sorted(map(tuple, done.after.scores.collect())) == sorted(map(tuple, full.scores.collect()))
+    assert done.after.overall.collect() == full.overall.collect()
+    assert 0 < len(done.after.measured) < 0.7 * len(full.measured)
+    again = [r for r in done.after.rules if (r.dimension, r.column, r.issue_type) in set(done.after.measured)]
+    assert all(rule.columns_read(r, done.after.table) & changed for r in again)
+
+
+def test_repairs_of_rows_are_checked_in_full(spark):
+    df = inputs.view(spark, SMALL, "dirty_orders")
+    fixed = remediation.apply_all(df, ["uniqueness"], Context(AS_OF, "row_key", {"uniqueness": {"keys": ["order_id"]}}))
+    assert remediation.changed_columns(df, fixed) is None
+    added = remediation.apply_all(df, ["lineage"], Context(AS_OF, "row_key"))
+    assert remediation.changed_columns(df, added) is None
