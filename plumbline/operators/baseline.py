@@ -24,6 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.errors import AnalysisException
 
+from ..session import stored
 from .table import Table
 
 STATE = "column_name string, kind string, part string, bucket bigint, value string, n bigint"
@@ -35,18 +36,32 @@ HASH_CELLS = 256
 MAJOR, MODERATE = 0.25, 0.1     # limits of the stability index
 
 
-def number_cell(x: Column) -> Column:
-    """Cell of a double, in the order of the numbers; 0 for zero. All steps are exact."""
-    a = F.abs(x)
-    guess = F.floor(F.log2(a)).cast("double")
-    power = (F.when(F.pow(F.lit(2.0), guess) > a, guess - 1)
-             .when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess))
+def _power(a: Column, guess: Column) -> Column:
+    """The exponent of a double from a guess that is off by one at most."""
+    return (F.when(F.pow(F.lit(2.0), guess) > a, guess - 1)
+            .when(F.pow(F.lit(2.0), guess + 1) <= a, guess + 1).otherwise(guess))
+
+
+def _cell(x: Column, a: Column, power: Column) -> Column:
     eighth = F.floor((a / F.pow(F.lit(2.0), power) - 1) * 8)
     cell = (power + EXPONENTS) * 8 + eighth + 1
     top = F.lit(float(EXPONENTS * 16))
     return F.when(a == 0, 0).otherwise(F.signum(x) * F.when(a == float("inf"), top).otherwise(cell)).cast("bigint")
 
 
+def number_cell(x: Column) -> Column:
+    """Cell of a double, in the order of the numbers; 0 for zero. All steps are exact."""
+    a = F.abs(x)
+    return _cell(x, a, _power(a, F.floor(F.log2(a)).cast("double")))
+
+
+def with_number_cell(df: DataFrame, number: str, name: str) -> DataFrame:
+    """``df`` with the ``number_cell`` of a column; each step is a column of its own, worked out once."""
+    steps = (df.withColumn("__a", F.abs(F.col(number))).withColumn("__guess", F.floor(F.log2("__a")).cast("double"))
+             .withColumn("__power", _power(F.col("__a"), F.col("__guess"))))
+    return steps.withColumn(name, _cell(F.col(number), F.col("__a"), F.col("__power"))).drop("__a", "__guess", "__power")
+
+
 def cell_middle(cell: Column) -> Column:
     """The number in the middle of a cell."""
     code = F.abs(cell) - 1
@@ -60,63 +75,92 @@ def kinds(table: Table) -> dict[str, str]:
             for c in table.columns if table.is_simple(c)}
 
 
-def _entries(table: Table, column: str, kind: str) -> Column:
-    """The (part, bucket, rank) entries of one value, as an array."""
+# Parts of a state as they are counted; the hash cells of all values serve to find the heavy ones.
+PARTS = ["nulls", "cells", "registers", "lengths", "hashes"]
+
+
+def _values(table: Table, kind: dict[str, str]) -> DataFrame:
+    """(c, kind, s, x) per row and column: place and kind of the column, the value as text, and as a number: the
+    number itself, the month of a date, the code points of a text."""
+    def cell(place: int, column: str) -> Column:
+        c = table.col(column)
+        x = {"number": lambda: c, "date": lambda: F.year(c) * 12 + F.month(c),
+             "text": lambda: F.length(c.cast("string"))}[kind[column]]()
+        return F.struct(F.lit(place).alias("c"), F.lit(kind[column]).alias("kind"), c.cast("string").alias("s"),
+                        x.cast("double").alias("x"))
+
+    return table.df.select(F.inline(F.array(*[cell(i, c) for i, c in enumerate(kind)])))
+
+
+def _counts(table: Table, kind: dict[str, str]) -> DataFrame:
+    """(c, p, bucket, n) of all rows: column and part by place. One scan, and one shuffle of partial counts.
+
+    Columns become rows first, so every step is written once whatever the number of columns, and small
+    enough to be compiled.
+    """
+    values = _values(table, kind).withColumn("name", F.md5(F.col("s").cast("binary")))
+    # 13 digits of the hash: 12 bits name a register, 32 its leading zeros, 8 the hash cell.
+    values = (values.withColumn("digits", F.conv(F.substring("name", 1, 13), 16, 10).cast("bigint"))
+              .withColumn("bits", F.shiftright("digits", 8).bitwiseAND(F.lit(0xFFFFFFFF))))
+    values = with_number_cell(values.withColumn("y", F.when(F.col("kind") != "date", F.col("x"))), "y", "number")
+    cell = (F.when(F.col("kind") == "number", F.col("number")).when(F.col("kind") == "date", F.col("x").cast("bigint"))
+            .otherwise(F.col("digits").bitwiseAND(F.lit(HASH_CELLS - 1))))
+    zeros = F.when(F.col("bits") == 0, 33).otherwise(33 - F.length(F.bin("bits")))
+
     def entry(part: str, bucket: Column, rank: Column | None = None) -> Column:
-        return F.struct(F.lit(column).alias("column_name"), F.lit(kind).alias("kind"), F.lit(part).alias("part"),
-                        bucket.cast("bigint").alias("bucket"),
+        return F.struct(F.lit(PARTS.index(part)).alias("p"), bucket.cast("bigint").alias("bucket"),
                         (F.lit(0) if rank is None else rank).cast("bigint").alias("rank"))
 
-    c = table.col(column)
-    name = F.md5(c.cast("string").cast("binary"))
-    # Leading zeros of 32 bits of the hash, in the register that ten other bits name.
-    bits = F.conv(F.substring(name, 4, 8), 16, 10).cast("bigint")
-    zeros = F.when(bits == 0, 33).otherwise(33 - F.length(F.bin(bits)))
-    register = F.conv(F.substring(name, 1, 3), 16, 10).cast("bigint") % REGISTERS
-    if kind == "number":
-        cell = number_cell(c.cast("double"))
-    elif kind == "date":
-        cell = F.year(c) * 12 + F.month(c)
-    else:
-        cell = F.conv(F.substring(name, 12, 2), 16, 10)
-    entries = [entry("cells", cell), entry("registers", register, zeros)]
-    if kind == "text":
-        entries.append(entry("lengths", number_cell(F.length(c.cast("string")).cast("double"))))
-    return F.when(c.isNull(), F.array(entry("nulls", F.lit(0)))).otherwise(F.array(*entries))
+    missing = F.array(entry("nulls", F.lit(0)))
+    some = [entry("cells", cell), entry("registers", F.shiftright("digits", 40) % REGISTERS, zeros),
+            entry("hashes", F.conv(F.substring("name", 20, 3), 16, 10))]
+    text = F.array(*some, entry("lengths", F.col("number")))
+    entries = F.when(F.col("s").isNull(), missing).when(F.col("kind") == "text", text).otherwise(F.array(*some))
+    return (values.select("c", F.inline(entries)).groupBy("c", "p", "bucket")
+            .agg(F.count(F.lit(1)).alias("rows"), F.max("rank").alias("rank"))
+            .select("c", "p", "bucket", F.when(F.col("p") == PARTS.index("registers"), F.col("rank"))
+                    .otherwise(F.col("rows")).alias("n")))
 
 
 def profile_state(table: Table) -> DataFrame:
     """The state of all rows: (column_name, kind, part, bucket, value, n).
 
     One scan and one shuffle of partial counts, then one more scan for the heavy values, which looks
-    only at values whose hash cell holds enough rows for one.
+    only at values whose hash cell holds enough rows for one. The state, a few thousand rows a column, is
+    written, so whatever reads it does not scan again.
     """
     spark, kind = table.df.sparkSession, kinds(table)
     if not kind:
         return spark.createDataFrame([], STATE)
-    entries = table.df.select(F.explode(F.concat(*[_entries(table, c, k) for c, k in kind.items()])).alias("e"))
-    counted = entries.select("e.*").groupBy("column_name", "kind", "part", "bucket").agg(
-        F.when(F.col("part") == "registers", F.max("rank")).otherwise(F.count(F.lit(1))).alias("n"))
-    return counted.withColumn("value", F.lit(None).cast("string")).select(*KEYS, "n").unionByName(heavy(table, kind))
+    counted = stored(_counts(table, kind))
+    names = F.array(*map(F.lit, kind))
+    kept = counted.where(F.col("p") != PARTS.index("hashes")).select(
+        names[F.col("c")].alias("column_name"), F.array(*map(F.lit, kind.values()))[F.col("c")].alias("kind"),
+        F.array(*map(F.lit, PARTS))[F.col("p")].alias("part"), "bucket", F.lit(None).cast("string").alias("value"), "n")
+    return stored(kept.unionByName(heavy(table, kind, counted)))
 
 
-def heavy(table: Table, kind: dict[str, str]) -> DataFrame:
+def heavy(table: Table, kind: dict[str, str], counted: DataFrame) -> DataFrame:
     """State rows of the heavy values.
 
-    A heavy value makes its hash cell heavy: cells are counted first, a few thousand per column, and
-    only values in heavy cells, at most a hundred a column, are counted themselves.
+    A heavy value makes its hash cell heavy. ``counted`` has the rows of the hash cells, a few thousand per
+    column, and only values in heavy cells, at most a hundred a column, are counted themselves.
     """
-    texts = table.df.select(*[table.col(c).cast("string").alias(c) for c in kind]).unpivot(
-        [], [f"`{c}`" for c in kind], "column_name", "value").where(F.col("value").isNotNull())
-    cell = F.substring(F.md5(F.col("value").cast("binary")), 20, 3)
-    rows = F.lit(HEAVY_SHARE) * F.col("n")
-    total = table.df.agg(F.count(F.lit(1)).alias("total"))
-    cells = (texts.groupBy("column_name", cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-             .crossJoin(F.broadcast(total)).where(rows >= F.col("total")).select("column_name", "cell"))
-    near = texts.withColumn("cell", cell).join(F.broadcast(cells), ["column_name", "cell"], "left_semi")
+    spark, names = table.df.sparkSession, list(kind)
+    whole = [PARTS.index("nulls"), PARTS.index("cells")]
+    total = counted.where((F.col("c") == 0) & F.col("p").isin(whole)).agg(F.sum("n")).first()[0] or 0
+    found = counted.where((F.col("p") == PARTS.index("hashes")) & (F.lit(HEAVY_SHARE) * F.col("n") >= total)).collect()
+    if not found:
+        return spark.createDataFrame([], STATE)
+    columns = sorted({r["c"] for r in found})
+    cells = spark.createDataFrame([(names[r["c"]], f"{r['bucket']:03x}") for r in found], "column_name string, cell string")
+    texts = table.df.select(*[table.col(names[i]).cast("string").alias(names[i]) for i in columns]).unpivot(
+        [], [f"`{names[i]}`" for i in columns], "column_name", "value").where(F.col("value").isNotNull())
+    near = (texts.withColumn("cell", F.substring(F.md5(F.col("value").cast("binary")), 20, 3))
+            .join(F.broadcast(cells), ["column_name", "cell"], "left_semi"))
     named = F.create_map(*[F.lit(x) for pair in kind.items() for x in pair])
     return (near.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("n"))
-            .crossJoin(F.broadcast(total)).where(rows >= F.col("total"))
+            .where(F.lit(HEAVY_SHARE) * F.col("n") >= total)
             .select("column_name", named[F.col("column_name")].alias("kind"), F.lit("heavy").alias("part"),
                     F.lit(0).cast("bigint").alias("bucket"), "value", "n"))
 

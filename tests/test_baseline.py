@@ -106,3 +106,25 @@ def test_empty_and_odd_tables(spark):
     state = baseline.profile_state(Table(odd, "k")).collect()
     assert [(r["column_name"], r["part"], r["n"]) for r in state] == [("x", "nulls", 2)]
     assert baseline.drift(state_of(spark, rows(50)), state_of(spark, [])).count() == 0
+
+
+def test_a_state_is_counted_once(spark, tmp_path):
+    """What reads a state, drift among them, reads its few rows and not the table."""
+    spark.createDataFrame(rows(400), SCHEMA).write.parquet(f"{tmp_path}/t")
+    state = baseline.profile_state(Table(spark.read.parquet(f"{tmp_path}/t"), "k"))
+    assert state.inputFiles() and not any(str(tmp_path / "t") in f for f in state.inputFiles())
+
+
+def test_states_of_all_kinds_of_values(spark):
+    """Cells and heavy values of nulls, zeros, empty texts and dates, counted here by hand."""
+    values = [(1, 0.0, "", dt.date(2020, 2, 29)), (2, -3.0, None, None), (3, None, "é€", dt.date(2020, 2, 1)), (4, 0.0, "", None)]
+    got = {(r["column_name"], r["part"], r["bucket"], r["value"]): r["n"] for r in state_of(spark, values).collect()
+           if r["part"] in ("nulls", "lengths", "heavy") or r["part"] == "cells" and r["column_name"] != "name"}
+    two = (1 + 1100) * 8 + 1
+    assert got == {
+        ("amount", "nulls", 0, None): 1, ("amount", "cells", 0, None): 2, ("amount", "cells", -(two + 4), None): 1,
+        ("amount", "heavy", 0, "0.0"): 2, ("amount", "heavy", 0, "-3.0"): 1,
+        ("name", "nulls", 0, None): 1, ("name", "lengths", 0, None): 2, ("name", "lengths", two, None): 1,
+        ("name", "heavy", 0, ""): 2, ("name", "heavy", 0, "é€"): 1,
+        ("day", "nulls", 0, None): 2, ("day", "cells", 2020 * 12 + 2, None): 2,
+        ("day", "heavy", 0, "2020-02-29"): 1, ("day", "heavy", 0, "2020-02-01"): 1}
