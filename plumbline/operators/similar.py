@@ -6,7 +6,9 @@ is missed, whatever its lengths:
 
 * Both values short: each is indexed by its subsequences of the lengths that the lengths in the
   table ask for. Two values are near exactly if they share one of a length that they need, so
-  whether a value has a near one follows from counts per key, without pairs.
+  whether a value has a near one follows from counts per key, without pairs. A key travels with the
+  smaller keys of its value, and a pair is taken at the smallest key it shares: it comes out of the join
+  once, with all that is asked of it, and is not shuffled again.
 * One longer: values are indexed by q-grams. At least ``c`` grams of either value stand unbroken in the
   other, so with all grams in one order both have a common one among the first |grams| - c + 1. The
   order is by rarity (counts per hash bucket, a table of fixed size), so common grams are hardly ever
@@ -35,6 +37,7 @@ from .table import Table
 SHORT, VARIANTS = 20, 2000      # longest value known by subsequences, and most subsequences of one value
 LONG = 200                      # from this length on, grams are longer
 GRAMS = (3, 4)                  # characters of a gram below and from LONG, fewer for low thresholds
+FEW = 64                        # a value with more subsequences does not carry them; its pairs are made distinct
 BUCKETS = 1 << 20               # counts that order the grams
 LONG_PAIR = 500                 # longer pairs are tested by grams instead of the edit distance
 SALT = 0x2545F491
@@ -120,7 +123,7 @@ def classes(table: Table, column: str) -> DataFrame:
 
 
 def _subsequences(short: DataFrame, threshold: float) -> DataFrame:
-    """(k1, k2, m, h, size): the subsequences of short values by two hashes, m characters long."""
+    """``short`` with ``keys``: the subsequences of its values by two hashes, m characters long."""
     lengths = [r["size"] for r in short.select("size").distinct().collect()]     # SHORT at most
     kept = {n: sorted(_kept_lengths(n, lengths, threshold)) for n in lengths}
 
@@ -128,10 +131,9 @@ def _subsequences(short: DataFrame, threshold: float) -> DataFrame:
         return pd.Series([list({"".join(x) for m in kept[len(v)] for x in itertools.combinations(v, m)})
                           for v in column], dtype=object)
 
-    keys = F.pandas_udf(subsequences, "array<string>")
-    return short.select("h", "size", F.explode(keys("v")).alias("key")).select(
-        F.xxhash64("key").alias("k1"), F.xxhash64(F.lit(SALT), "key").alias("k2"), F.length("key").alias("m"),
-        "h", "size")
+    texts = F.pandas_udf(subsequences, "array<string>")
+    return short.withColumn("texts", texts("v")).withColumn("keys", F.transform("texts", lambda s: F.struct(
+        F.xxhash64(s).alias("k1"), F.xxhash64(F.lit(SALT), s).alias("k2"), F.length(s).alias("m")))).drop("texts")
 
 
 def _gram_counts(values: DataFrame, q: int) -> np.ndarray:
@@ -258,23 +260,59 @@ class SimilarValues:
         self.threshold, self.limit = threshold, exact_limit(threshold)
         self.table, self.column = table, column
         self.values = stored(classes(table, column))
-        self._keys = None
+        self._keyed = None
+
+    @property
+    def keyed(self) -> DataFrame:
+        """The short values with their subsequences."""
+        if self._keyed is None:
+            short = self.values.where(F.col("size") <= self.limit)
+            self._keyed = stored(_subsequences(short, self.threshold))
+        return self._keyed
 
     @property
     def keys(self) -> DataFrame:
-        """The subsequences of short values that at least two values hold."""
-        if self._keys is None:
-            short = self.values.where(F.col("size") <= self.limit).select("h", "v", "size")
-            self._keys = stored(_subsequences(short, self.threshold))
-        return self._keys
-
-    def candidates(self) -> list[DataFrame]:
-        """(h, h2) per kind of key, not distinct: every near pair is among them."""
-        need = _needed("x.size", "y.size", self.threshold)
-        one, two = self.keys.alias("x"), self.keys.alias("y")
-        short = one.join(two, F.expr(
-            f"x.k1 = y.k1 AND x.k2 = y.k2 AND x.m = y.m AND x.h < y.h AND x.m >= {need}"))
-        return [short.select(F.col("x.h").alias("h"), F.col("y.h").alias("h2")), *self.long_candidates()]
+        """(k1, k2, m, h, size): one row per subsequence of a short value."""
+        return self.keyed.select(F.inline("keys"), "h", "size")
+
+    def short_pairs(self) -> DataFrame:
+        """(x, y, m): near pairs of short values, each once; both as (h, size, k, v, rows), and the length of the
+        common subsequence that they need.
+
+        A pair of values that carry their keys is taken at the smallest key of that length it shares.
+        """
+        key = F.col("key")
+        below = F.when(F.size("keys") <= FEW, F.transform(
+            F.filter("keys", lambda o: (o["m"] == key["m"]) & (o["k1"] < key["k1"])), lambda o: o["k1"]))
+        entries = self.keyed.select("*", F.explode("keys").alias("key")).select(
+            "key.k1", "key.k2", "key.m", below.alias("below"), "h", "size", "k", "v", "rows")
+        # The written values are much smaller than their keys, so their size must not choose a broadcast.
+        one, two = entries.alias("x"), entries.hint("merge").alias("y")
+        met = one.join(two, F.expr("x.k1 = y.k1 AND x.k2 = y.k2 AND x.m = y.m AND x.h < y.h AND "
+                                   f"x.m = {_needed('x.size', 'y.size', self.threshold)}"))
+        carried = F.expr("x.below IS NOT NULL AND y.below IS NOT NULL")
+        shape = [F.struct(*[f"{side}.{c}" for c in ("h", "size", "k", "v", "rows")]).alias(side) for side in "xy"]
+        first = met.where(carried & ~F.expr("arrays_overlap(x.below, y.below)")).select(*shape, F.col("x.m").alias("m"))
+        if self.keyed.where(F.size("keys") > FEW).isEmpty():
+            return first
+        rest = met.where(~carried).select(F.col("x.h").alias("h"), F.col("y.h").alias("h2"), *shape, F.col("x.m").alias("m"))
+        return first.unionByName(rest.dropDuplicates(["h", "h2"]).drop("h", "h2"))
+
+    def short_ratios(self) -> DataFrame:
+        """(x, y, ratio) of ``short_pairs``. Different values share all characters of the shorter one at most, one
+        less if both are as long: where they need that many, the ratio is known."""
+        a, b = F.col("x.size"), F.col("y.size")
+        pairs = self.short_pairs().withColumn("known", F.col("m") == F.least(a, b) - (a == b).cast("int"))
+        known = pairs.where("known").withColumn("ratio", F.lit(200.0) * F.col("m") / (a + b))
+        if self._ratios_known():
+            return known.select("x", "y", "ratio")
+        open_ = pairs.where("NOT known").withColumn("ratio", text.indel_ratio("x.v", "y.v"))
+        return known.unionByName(open_).select("x", "y", "ratio")
+
+    def _ratios_known(self) -> bool:
+        """Whether the ratio of all short pairs follows from their lengths."""
+        sizes = [r["size"] for r in self.keyed.select("size").distinct().collect()]      # SHORT at most
+        return all(needed(a, b, self.threshold) >= min(a, b) - (a == b) for a in sizes for b in sizes)
 
     def long_candidates(self) -> list[DataFrame]:
         """Candidates with a value beyond the limit of the subsequences."""
@@ -298,9 +336,15 @@ class SimilarValues:
         two = self.values.select(F.col("h").alias("h2"), F.col("v").alias("v2"))
         return nearly_equal(pairs.join(one, "h").join(two, "h2"), self.threshold).select("h", "h2", "ratio")
 
+    def long_pairs(self) -> DataFrame | None:
+        """(h, h2, ratio): near pairs with a value beyond the limit of the subsequences; none without such values."""
+        further = self.long_candidates()
+        return stored(self._confirmed(further)) if further else None
+
     def pairs(self) -> DataFrame:
         """(h, h2, ratio): all pairs of different values at the threshold."""
-        return stored(self._confirmed(self.candidates()))
+        short, further = self.short_ratios().select(F.col("x.h").alias("h"), F.col("y.h").alias("h2"), "ratio"), self.long_pairs()
+        return short if further is None else short.unionByName(further)
 
     def linked(self) -> DataFrame:
         """(h,): the values that have a near one.
@@ -317,18 +361,20 @@ class SimilarValues:
         met = self.keys.join(least, keys).withColumn(
             "other", F.when(F.col("size") == F.col("least"), F.col("second")).otherwise(F.col("least")))
         short = met.where(F.expr(f"m >= {_needed('size', 'other', self.threshold)}")).select("h")
-        further = self.long_candidates()
-        if further:
-            found = self._confirmed(further)
+        found = self.long_pairs()
+        if found is not None:
             short = short.unionByName(found.select(F.explode(F.array("h", "h2")).alias("h")))
         return short.distinct()
 
     def links(self) -> DataFrame:
         """(left_key, right_key, left_value, right_value, ratio, left_rows, right_rows): near values, each by
         the smallest row key that holds it, the smaller key first."""
-        one = self.values.select("h", F.struct("k", "v", "rows").alias("x"))
-        two = self.values.select(F.col("h").alias("h2"), F.struct("k", "v", "rows").alias("y"))
-        both = self.pairs().join(one, "h").join(two, "h2")
+        cells = [F.struct(*[F.col(f"{side}.{c}") for c in ("k", "v", "rows")]).alias(side) for side in "xy"]
+        both, further = self.short_ratios().select("ratio", *cells), self.long_pairs()
+        if further is not None:
+            one = self.values.select("h", F.struct("k", "v", "rows").alias("x"))
+            two = self.values.select(F.col("h").alias("h2"), F.struct("k", "v", "rows").alias("y"))
+            both = both.unionByName(further.join(one, "h").join(two, "h2").select("ratio", "x", "y"))
         low, high = F.least("x", "y"), F.greatest("x", "y")
         return both.select(low["k"].alias("left_key"), high["k"].alias("right_key"), low["v"].alias("left_value"),
                            high["v"].alias("right_value"), "ratio", low["rows"].alias("left_rows"),
@@ -336,11 +382,17 @@ class SimilarValues:
 
     def members(self) -> DataFrame:
         """(row key, class_key, class_rows, links, near_rows): every row with a value: the smallest row key of its
-        value, the rows that have it, the near values and the rows that have those."""
-        found = self.pairs()
-        ends = found.select("h", F.col("h2").alias("o")).unionByName(found.select(F.col("h2").alias("h"), F.col("h").alias("o")))
-        sizes = self.values.select(F.col("h").alias("o"), "rows")
-        near = ends.join(sizes, "o").groupBy("h").agg(F.count(F.lit(1)).alias("links"), F.sum("rows").alias("near_rows"))
+        value, the rows that have it, the near values and the rows that have those.
+
+        Pairs are counted where they are found; only counts per value are shuffled."""
+        def end(of: str, other: str) -> Column:
+            return F.struct(F.col(f"{of}.h").alias("h"), F.col(f"{other}.rows").alias("rows"))
+
+        ends, further = self.short_pairs().select(F.inline(F.array(end("x", "y"), end("y", "x")))), self.long_pairs()
+        if further is not None:
+            both = further.select("h", F.col("h2").alias("o")).unionByName(further.select(F.col("h2").alias("h"), F.col("h").alias("o")))
+            ends = ends.unionByName(both.join(self.values.select(F.col("h").alias("o"), "rows"), "o").select("h", "rows"))
+        near = ends.groupBy("h").agg(F.count(F.lit(1)).alias("links"), F.sum("rows").alias("near_rows"))
         facts = self.values.select("h", F.col("k").alias("class_key"), F.col("rows").alias("class_rows")).join(near, "h", "left")
         v = F.col(f"`{self.column}`")
         rows = self.table.df.where(F.length(v) > 0).select(*self.table.row_key, F.unhex(F.md5(v.cast("binary"))).alias("h"))

@@ -153,6 +153,19 @@ def test_hot_values_and_keys(spark):
     assert SimilarValues(empty, "customer_name").links().count() == 0
 
 
+def test_short_pairs_come_out_of_the_join_once(spark):
+    """Names of one length: no ratio in Python, no pair shuffled, though a pair shares several keys."""
+    names = [f"Customer#{i:09}" for i in [*range(40), 111, 1110, 11100, 111000]] + ["aaaaaaaaaaaaaaaaab", "aaaaaaaaaaaaaaaaba"]
+    t = Table(spark.createDataFrame(list(enumerate(names)), "k int, customer_name string"), "k")
+    found = SimilarValues(t, "customer_name").short_ratios()
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "ArrowEvalPython" not in plan and "Aggregate" not in plan
+    got = [(r["x"]["k"], r["y"]["k"], r["ratio"]) for r in found.collect()]
+    wanted = {(i, j): indel(names[i], names[j]) for i, j in itertools.combinations(range(len(names)), 2)}
+    assert len(got) == len(wanted := {p: r for p, r in wanted.items() if r >= 90})
+    assert {(min(a, b), max(a, b)): r for a, b, r in got} == wanted
+
+
 def test_repeated_rows_exactly(spark):
     rows = [(1, "a", None), (1, "a", None), (1, "a", None), (2, "b", 1.0), (2, "b", -0.0), (2, "b", 0.0)]
     got = duplicates.repeated_rows(spark.createDataFrame(rows, "i int, s string, x double")).first()
