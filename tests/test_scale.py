@@ -14,6 +14,8 @@ from plumbline.operators.quantiles import exact_quantiles
 from plumbline.operators.similar import SimilarValues
 from plumbline.operators.table import Table
 
+from workload import inputs
+
 from .helpers import indel
 
 
@@ -166,6 +168,19 @@ def test_short_pairs_come_out_of_the_join_once(spark):
     assert {(min(a, b), max(a, b)): r for a, b, r in got} == wanted
 
 
+@pytest.mark.parametrize("name", ["run_scores", "issue_log", "fix_events"])
+def test_views_of_many_groups_are_dealt_before_they_are_grouped(spark, tmp_path, name):
+    """One shuffle, of rows by their run, in pieces of a file split; also with null keys."""
+    rows = [(i % 50 if i % 7 else None, i % 9, i % 5, i % 4, float(i % 30), f"2000-01-{1 + i % 28:02}") for i in range(400)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                                "l_shipdate string").write.parquet(f"{tmp_path}/lineitem.parquet")
+    dealt = inputs.view(spark, str(tmp_path), name)
+    plain = inputs.table(spark, str(tmp_path), "lineitem")
+    assert dealt.rdd.getNumPartitions() >= inputs.PIECES * plain.rdd.getNumPartitions()
+    plain.createOrReplaceTempView("lineitem")
+    assert sorted(dealt.collect(), key=str) == sorted(spark.sql(inputs.VIEWS[name]).collect(), key=str)
+
+
 def test_repeated_rows_exactly(spark):
     rows = [(1, "a", None), (1, "a", None), (1, "a", None), (2, "b", 1.0), (2, "b", -0.0), (2, "b", 0.0)]
     got = duplicates.repeated_rows(spark.createDataFrame(rows, "i int, s string, x double")).first()
