@@ -41,6 +41,7 @@ class Fixed:
     df: DataFrame
     log: DataFrame
     token_maps: dict = field(default_factory=dict)
+    answered: DataFrame | None = None       # the log of one repair with the issue type that each change answers
 
 
 class Rewrite:
@@ -505,4 +506,5 @@ def apply_fix(df: DataFrame, dimension: str, context: Context) -> Fixed:
     fix = FIXES.get(ALIASES.get(dimension, dimension))
     if fix is None:
         return Fixed(df, df.sparkSession.createDataFrame([], LOG_SCHEMA))
-    return fix(df, context)
+    done = fix(df, context)
+    return Fixed(done.df, done.log.drop("issue_type"), done.token_maps, done.log)

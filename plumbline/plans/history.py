@@ -126,7 +126,7 @@ class Store:
         """Append a change log with the type of the issue that each fix answers. ``successes``
         (dimension, column_name, success) says whether the issue count fell after the fix; without it a
         fix counts as successful."""
-        rows = log
+        rows = log if "issue_type" in log.columns else log.withColumn("issue_type", F.lit(None).cast("string"))
         if successes is not None:
             rows = rows.join(F.broadcast(successes), ["dimension", "column_name"], "left")
         else:

@@ -26,7 +26,8 @@ def apply_all(df: DataFrame, dimensions: list[str], context: Context) -> Fixed:
         options = context.options.get(dimension, {})
         fixed = apply_fix(out, dimension, Context(context.as_of, context.row_key, options))
         out = fixed.df
-        logs = fixed.log if logs is None else logs.unionByName(fixed.log)
+        log = fixed.log if fixed.answered is None else fixed.answered
+        logs = log if logs is None else logs.unionByName(log)
         maps.update(fixed.token_maps)
     return Fixed(out, logs, maps)
 
