@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.operators import duplicates, entities, privacy
+from plumbline.operators import duplicates, entities, privacy, similar
 from plumbline.operators.fixes import keep_last
 from plumbline.operators.ordering import attach, with_row_number
 from plumbline.operators.quantiles import exact_quantiles
@@ -275,3 +275,40 @@ def test_texts_stay_out_of_the_shuffle(spark):
     copied = duplicates.copy_rows(Table(spark.createDataFrame(
         [(3, "a"), (1, "a"), (2, "b"), (4, None), (5, None)], "k int, v string"), "k"))
     assert sorted(r["k"] for r in copied.collect()) == [3, 5]
+
+
+def test_long_values_meet_block_by_block(spark, monkeypatch):
+    """Long values that share their grams: no pair is lost between blocks or bands, none is compared twice, and
+    no gram of them is indexed."""
+    rng = random.Random(5)
+    words = ["ation", "ment", "er", "ing", "un", "ly"]
+    texts = ["".join(rng.choice(words) for _ in range(rng.randint(60, 160))) for _ in range(90)]
+    copies = ["".join(c if rng.random() > 0.06 else rng.choice("xyz") for c in t) for t in texts[:25]]
+    copies += [t[len(t) // 12:] for t in texts[:10]] + [t[:90] + "é" * 20 + t[90:] for t in texts[5:15]]
+    monkeypatch.setattr(similar, "BLOCK", 16)
+    indexed = []
+    prefixes = similar._prefixes
+    monkeypatch.setattr(similar, "_prefixes", lambda values, *a: (indexed.append(values), prefixes(values, *a))[1])
+    pairs = check_similar(spark, list(enumerate(texts + copies + texts[:4])), 90.0, "name")
+    assert len(pairs) > 40
+    assert all(r["size"] < 250 for values in indexed for r in values.select("size").collect())
+
+
+def test_common_subsequence_within_reach():
+    """The comparison gives the length of the common subsequence wherever it reaches the need, else nothing;
+    comparing the starts never gives up such a pair."""
+    rng = random.Random(6)
+    for _ in range(300):
+        a = "".join(rng.choice("abcd ") for _ in range(rng.randint(2, 300)))
+        b = "".join(c for c in a if rng.random() > 0.1) + "é" * rng.randint(0, len(a) // 4) + "a"
+        cut = rng.randint(0, len(a) // 5)
+        b = b[cut:] or "a"
+        common = round(indel(a, b) * (len(a) + len(b)) / 200)
+        for need in {max(1, common - 7), common, common + 1} - {0}:
+            assert similar.Compared(a).common(b, need) == (common if common >= need else -1)
+        if common:
+            alphabet = {ch: i for i, ch in enumerate(sorted(set(b)), 1)}
+            codes = [np.array([alphabet[ch] for ch in b], np.uint8)]
+            for share in (0.2, 0.5, 1.0):
+                assert similar._starts_agree(a, codes, alphabet, np.array([common]), share)[0]
+            assert not similar._starts_agree(a, codes, alphabet, np.array([common + 1]), 1.0)[0] or common + 1 > len(b)
