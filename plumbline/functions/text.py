@@ -16,12 +16,18 @@ def strip(c: Column) -> Column:
     """Drop all leading and trailing white space, Unicode spaces included.
 
     Text that starts and ends with a visible ASCII character, nearly all of it, is left alone
-    without a search.
+    without a search: its bytes and those of its last character are compared with the ends of that range.
     """
-    plain = F.ascii(c).between(33, 126) & F.ascii(F.right(c, F.lit(1))).between(33, 126)
+    last = F.substring(c, -1, 1)
+    plain = (c >= F.lit("!")) & (c < F.lit("\x7f")) & (last >= F.lit("!")) & (last < F.lit("\x7f"))
     return F.when(plain, c).otherwise(F.btrim(c, F.lit(WHITESPACE)))
 
 
+def non_ascii_sql(c: str) -> str:
+    """SQL test for what ``NON_ASCII`` finds, without a search: a character of several bytes, or bytes that are none."""
+    return f"octet_length({c}) <> length({c}) OR NOT is_valid_utf8({c})"
+
+
 def not_title_case(c: Column) -> Column:
     return c.rlike(BREAKS_TITLE_CASE)
 

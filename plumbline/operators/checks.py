@@ -261,7 +261,7 @@ def constraints(table: Table) -> list[Rule]:
 
 
 def accessibility(table: Table) -> list[Rule]:
-    return [Rule("accessibility", c, "unreadable_chars", f"`{c}` RLIKE r'{text.NON_ASCII}'",
+    return [Rule("accessibility", c, "unreadable_chars", text.non_ascii_sql(f"`{c}`"),
                  fix="strip_non_ascii", auto=True, text="characters outside ASCII",
                  value=table.col(c))
             for c in table.texts]

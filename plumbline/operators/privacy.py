@@ -27,6 +27,9 @@ def _unnamed(table: Table) -> list[str]:
 # What every match of a pattern holds, cheaper to look for than the pattern: text without it is not searched.
 HELD = {"SSN": "[0-9]-[0-9]{2}-[0-9]", "Credit Card": "[0-9]{13}", "Phone": "[0-9]{4}", "Date of Birth": "[0-9][-/][0-9]{2}[-/]",
         "IP Address": "[0-9][.][0-9]", "Passport": "[A-Z][0-9]{6}", "Driver License": "[A-Z][0-9]{7}", "Bank Routing": "[0-9]{9}"}
+# Bytes of the shortest match.
+SHORTEST = {"SSN": 11, "Credit Card": 13, "Phone": 10, "Date of Birth": 10, "IP Address": 7, "Passport": 7, "Driver License": 8,
+            "Bank Routing": 9}
 SHORTEST_DIGIT_MATCH = 7      # no pattern but the e-mail one matches a shorter text
 ANY_DIGITS = "[0-9]{2}|[0-9][.][0-9]"
 
@@ -35,14 +38,14 @@ def pattern_tests(table: Table, name: str) -> dict[str, str]:
     """SQL tests of one text column, by type of personal data.
 
     A text is searched for digits once; only one that has some meets the tests of the single patterns,
-    and each pattern only a text that holds what all its matches do.
+    and each pattern only a text that is long enough and holds what all its matches do.
     """
     table.flag("any_digits", name, lambda: F.expr(
         f"length(`{name}`) >= {SHORTEST_DIGIT_MATCH} AND `{name}` RLIKE r'{ANY_DIGITS}'"))
     tests = {}
     for kind, pattern in fv.PII_PATTERNS:
         possible = f"contains(`{name}`, '@')" if "@" in pattern else \
-            f"`{PREFIX}any_digits_{name}` AND `{name}` RLIKE r'{HELD[kind]}'"
+            f"`{PREFIX}any_digits_{name}` AND octet_length(`{name}`) >= {SHORTEST[kind]} AND `{name}` RLIKE r'{HELD[kind]}'"
         tests[kind] = f"{possible} AND `{name}` RLIKE r'{pattern}'"
     return tests
 

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.functions import fixed_values as fv, text
 from plumbline.operators import checks, declared, duplicates, outliers, privacy, profile, rule
 from plumbline.operators.declared import CheckSpec, FieldSpec
 from plumbline.operators.table import Table
@@ -191,3 +192,27 @@ def test_samples_are_the_first_in_key_order(spark):
     assert got["sample_values"] == ["-1.0", "-2.0", "-3.0"]
     kinds = rule.violations(t, checks.validity(t, AS_OF)).groupBy("issue_type").agg(F.count("*").alias("n"))
     assert [(r["issue_type"], r["n"]) for r in kinds.collect()] == [("range_violation", 19)]
+
+
+def test_cheap_tests_find_what_the_patterns_find(spark):
+    """Rules without a regular expression where bytes tell, and patterns tried on texts long enough only."""
+    texts = ["", " ", "plain", " led", "trail\t", "café", "é", "~", "!", "a\x7f", "\x7f", " x", "x ", "tab\tin", None,
+             "123-45-6789", "x 123-45-6789 y", "4111111111111", "4111111111111111", "555-010-1234", "5550101234", "1999-01-02",
+             "1.2.3.4", "A123456", "AB1234567", "A1234567", "123456789", "12345678", "a@b.co", "é 123456789", "7" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, v string")
+    df = df.unionByName(spark.sql("SELECT 100 AS k, CAST(X'80' AS STRING) AS v UNION ALL SELECT 101, CAST(X'41FF42' AS STRING)"))
+    t = Table(df, "k")
+    readable, = checks.accessibility(t)
+    assert "RLIKE" not in readable.predicate
+    both = df.select(F.expr(readable.predicate).alias("a"), F.col("v").rlike(text.NON_ASCII).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and sum(r["a"] is True for r in both) >= 5
+    space = fv.WHITESPACE
+    for r in df.where("k < 100").select("v", text.strip(F.col("v")).alias("s")).collect():
+        assert r["s"] == (None if r["v"] is None else r["v"].strip(space))
+    tests = privacy.pattern_tests(t, "v")
+    found = t.frame().select("v", *[F.expr(test).alias(k) for k, test in tests.items()], *[
+        F.col("v").rlike(p).alias("all " + k) for k, p in fv.PII_PATTERNS]).where("k < 100").collect()
+    for kind, _ in fv.PII_PATTERNS:
+        assert [r[kind] for r in found] == [r["all " + kind] for r in found], kind
+        assert kind == "Email" or "octet_length" in tests[kind]
+        assert any(r[kind] for r in found), kind
