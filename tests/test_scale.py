@@ -312,3 +312,38 @@ def test_common_subsequence_within_reach():
             for share in (0.2, 0.5, 1.0):
                 assert similar._starts_agree(a, codes, alphabet, np.array([common]), share)[0]
             assert not similar._starts_agree(a, codes, alphabet, np.array([common + 1]), 1.0)[0] or common + 1 > len(b)
+
+
+def test_lanes_share_their_masks(monkeypatch):
+    """A character of a long value is one step for many others, several of them in one lane: values are compared one by one
+    only where few are left, and no pair is lost, with hardly a character in common or many, or more characters than kinds."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 7))) for _ in range(400)]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(42, 50))) for _ in range(36)]
+    far = ["".join(chr(0x4e00 + rng.randrange(600)) for _ in range(rng.randint(210, 230))) for _ in range(10)]
+    copies = ["".join(c if rng.random() > share else rng.choice("xyz") for c in t)
+              for t in texts[:6] + far[:3] for share in (0.03, 0.08)]
+    copies += [t[:cut] + "é" * 12 + t[cut + move:] for t, cut, move in zip(texts[:8], range(0, 240, 30), (0, 3, 20, 12) * 2)]
+    hot = ["".join(c if rng.random() > 0.02 else rng.choice("xyz") for c in texts[20]) for _ in range(14)]
+    rows = sorted(texts + far + copies + hot, key=len)
+    steps, alone = [], []
+    step, one = similar.Lanes.common, similar.Compared.common
+    monkeypatch.setattr(similar.Lanes, "common", lambda self, code, *a: (steps.append(self.group), step(self, code, *a))[1])
+    monkeypatch.setattr(similar.Compared, "common", lambda self, *a: (alone.append(1), one(self, *a))[1])
+    got = {tuple(sorted((i, j))): ratio for i, j, ratio in similar._near_in_block(rows, rows, True, 90.0)}
+    wanted = {(i, j): r for (i, a), (j, b) in itertools.combinations(enumerate(rows), 2)
+              if 200 * min(len(a), len(b)) >= 90 * (len(a) + len(b)) and 90 <= (r := indel(a, b)) < 100}
+    assert got.keys() == wanted.keys() and all(abs(got[k] - wanted[k]) < 1e-9 for k in got)
+    assert similar.GROUP in steps and 1 in steps and len(alone) < len(rows) ** 2 // 10
+    # Two blocks of mixed lengths find the pairs between them, whatever side the shorter value is on.
+    left, right = rows[::2], rows[1::2]
+    between = {(2 * i, 2 * j + 1) for i, j, _ in similar._near_in_block(left, right, False, 90.0)}
+    assert {tuple(sorted(k)) for k in between} == {k for k in wanted if (k[0] + k[1]) % 2}
+    # Blocks follow the lengths, and those that a value may be near to are among the ones it is sent to.
+    sizes = [(s, n, s, s) for s, n in ((200, 5000), (210, 10), (230, 4000), (250, 1), (300, 3), (5_000_000, 2))]
+    blocks = similar._blocks(sizes, 110 / 90)
+    for size, at, parts, first, last in blocks:
+        for size2, at2, parts2, _, _ in blocks:
+            if 200 * min(size, size2) >= 90 * (size + size2):
+                assert first <= at2 and at2 + parts2 - 1 <= last
+    assert [parts for _, _, parts, _, _ in blocks[:2]] == [3, 1]
